@@ -7,13 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netaudit.llm import language_id, quality
 from netaudit.llm.common import table
 from netaudit.llm.exact_dedup import exact_dedup
+from netaudit.llm.html_text import html_text
 from netaudit.llm.line_dedup import LEAST_PAGES, RATIO, host_of, line_dedup, lines_of
 from netaudit.llm.mixing import mix
+from netaudit.llm.ngram_join import ngram_components
+from netaudit.llm.packing import pack
+from netaudit.llm.quality_rules import quality_rules
 from netaudit.llm.secret_scan import digest, secret_scan
 
 
+#: The tokenizer that op9 and the pipeline pack for.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out(F.col("doc_id"), 4, 2)
+    model = language_id.learn(docs.where(F.col("doc_id").isNotNull() & ~out))
+    return language_id.identify(docs, model, ["doc_id"]).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = language_id.held_out(F.col("doc_id"), 5, 0)
+    model = quality.learn(docs, labels.where(~out))
+    return quality.score(docs, model, ["doc_id"]).select("doc_id", out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secret_scan(table(spark, sf_dir, "documents")))
 
@@ -27,12 +60,31 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(pages, host_of(F.col("url")), lines_of(F.col("html")), "page_id").select("page_id", "host", "n_lines", "n_dropped", "clean_text")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_pass", "mix_tokens", "mix_block", "mix_start")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_secret_scan, op5_exact_dedup, op6_line_dedup, op10_mixing)}
+    ops = (op1_html_extraction, op2_language_id, op3_quality, op4_secret_scan, op5_exact_dedup, op6_line_dedup, op7_ngram_join, op8_quality_rules, op9_packing, op10_mixing, pipeline)
+    return {f.__name__: f for f in ops}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
