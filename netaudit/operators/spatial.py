@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,10 +63,12 @@ def without_near(points: DataFrame, others: DataFrame, size: float, keys: list[s
     return points.join(found, [*keys, *id_cols], "left_anti")
 
 
-def nearest_other(ends: DataFrame, keys: list[str], id_cols: list[str], code: str, start: float, rounds: int = 24) -> DataFrame:
+def nearest_other(ends: DataFrame, keys: list[str], id_cols: list[str], code: str, start: float) -> DataFrame:
     """(keys…, ids…, d, code): for each end the nearest end of another code, by cells that double in size until each end has found one at most a cell
-    away; ends without any have d null. Only ends without an answer go on to the next round."""
+    away; ends without any have d null. Only ends without an answer go on to the next round, and cells grow to the extent of all ends at most."""
     todo, found, size = ends, None, start
+    extent = ends.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
+    rounds = 1 + max(0, math.ceil(math.log(max(1.5 * extent, start) / start, 4)))
     other = ends.select(*keys, "x", "y", F.col(code).alias("other"))
     for _ in range(rounds):
         met = near_points(todo, other, size, keys).where(F.col("b_other") != F.col(code))
