@@ -95,12 +95,12 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn_docs: int = LEARN_DOCS) -> Model | None:
-    """Fits on about `learn_docs` of the labelled rows, chosen by a hash of the id, in one task; None unless both labels occur. Labels other than 0 and 1
+    """Fits on about `learn_docs` of the labelled rows, chosen by a hash of the id, in one task; that bound also holds for the ids that are broadcast. None unless both labels occur. Labels other than 0 and 1
     and null ids are left out; a repeated label of an id counts once."""
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("label"))
     share = min(1.0, learn_docs / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = docs.join(marks, docs[id_col] == marks["_id"]).select("_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("label").cast("long").alias("label"))
+    rows = docs.join(F.broadcast(marks), docs[id_col] == marks["_id"]).select("_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("label").cast("long").alias("label"))
     got = rows.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "text").select("text", "label").mapInArrow(_fitted, "weights binary, bias double, slope double, shift double").collect()
     return Model(np.frombuffer(got[0][0], np.float32).reshape(2, -1), *got[0][1:]) if got else None
 
