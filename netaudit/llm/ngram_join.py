@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,18 @@ from netaudit.llm.common import components, materialize, union_all
 from netaudit.llm.words import mixed, shingles, slices, word_hashes
 
 _U = np.uint64
-#: Counters of the frequency sketch, and its slots in rows of that table. Their number is fixed, whatever the input.
-_BITS, _SLOT = 18, 1 << 14
+#: Bits of a place in the frequency sketch and in the bitmap of repeated keys, and places in a row of their tables. Their sizes are
+#: fixed, whatever the input; where they fill up, keys are told apart less well and more rows are shuffled, with the same result.
+_BITS, _KEY_BITS, _SLOT = 22, 26, 1 << 20
+#: A token is frequent beyond this count, and four times the mean of the sketch's counters.
+FREQUENT = 64
 #: Sets of a bucket or component that meet in one task at once.
-_CHUNK = 256
+_CHUNK = 512
+#: Components that share a key are paired up to this many; beyond it they meet in blocks.
+CROWD = 12
+#: Each of these picks a key of a node under which it meets others before components are verified; from the third on in crowds only.
+#: They save work and change no result.
+SEEDS = (1, 2, 3, 4, 5, 6)
 
 
 def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
@@ -34,6 +44,11 @@ def extended_lengths(n: np.ndarray, percent: int) -> np.ndarray:
     return p + p + prefix_lengths(n * 100 // percent, percent) - 1
 
 
+def half_lengths(n: np.ndarray, percent: int) -> np.ndarray:
+    """The first token that two linked sets share stands among so many first of the smaller one, which shares more than percent / 100 of itself."""
+    return n + (-n * 2 * percent // (100 + percent)) + 1
+
+
 def _longs(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
@@ -42,20 +57,21 @@ def _profiles(n: int):
     """Rows (doc_id, rid, n, h1, h2) of all texts, and at the end of a task its part of the frequency sketch as rows (slot, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << _BITS, np.int64)
+        sketch = np.zeros(1 << _BITS, np.int32)
         for whole in batches:
             for batch in slices(whole):
                 sets = list(shingles(*word_hashes(batch.column("text")), n))
                 sizes = np.array([len(s) for s in sets], np.int64)
                 every = np.concatenate(sets) if sets else np.zeros(0, _U)
-                sketch += np.bincount((every >> _U(64 - _BITS)).astype(np.int64), minlength=1 << _BITS)
+                at, times = np.unique(every >> _U(64 - _BITS), return_counts=True)
+                sketch[at.astype(np.int64)] += times.astype(np.int32)
                 h1 = np.array([mixed(s).sum(dtype=_U) for s in sets], _U)
                 h2 = np.array([mixed(s ^ _U(0x9E3779B97F4A7C15)).sum(dtype=_U) for s in sets], _U)
                 rest = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(sizes), _longs(mixed(h1 + sizes.astype(_U))), _longs(h2), *rest], names=["doc_id", "rid", "n", "h1", "h2", "slot", "counts"])
         k = (1 << _BITS) // _SLOT
         nulls = [pa.nulls(k, pa.int64()) for _ in range(5)]
-        yield pa.RecordBatch.from_arrays([*nulls, pa.array(np.arange(k, dtype=np.int32)), pa.array([sketch[i * _SLOT : (i + 1) * _SLOT].tobytes() for i in range(k)], pa.binary())], names=["doc_id", "rid", "n", "h1", "h2", "slot", "counts"])
+        yield pa.RecordBatch.from_arrays([*nulls, pa.array(np.arange(k, dtype=np.int32)), pa.array([zstandard.compress(sketch[i * _SLOT : (i + 1) * _SLOT].tobytes(), 1) for i in range(k)], pa.binary())], names=["doc_id", "rid", "n", "h1", "h2", "slot", "counts"])
 
     return run
 
@@ -65,19 +81,56 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for slot, counts in zip(b.column("slot").to_pylist(), b.column("counts").to_pylist(), strict=True):
-            sums[slot] = sums.get(slot, 0) + np.frombuffer(counts, np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slot", "counts"])
+            sums[slot] = sums.get(slot, 0) + np.frombuffer(zstandard.decompress(counts), np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zstandard.compress(np.minimum(v, 65535).astype(np.uint16).tobytes(), 1) for v in sums.values()], pa.binary())], names=["slot", "counts"])
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, once, twice): bitmaps of the places that keys of a task fall on, and of those hit more than once."""
+    seen = np.zeros(1 << _KEY_BITS, np.uint8)
+    for b in batches:
+        at, times = np.unique(np.asarray(b.column("key")).view(_U) >> _U(64 - _KEY_BITS), return_counts=True)
+        at = at.astype(np.int64)
+        seen[at] = np.minimum(seen[at] + np.minimum(times, 2), 2)
+    if seen.any():
+        k = (1 << _KEY_BITS) // _SLOT
+        parts = [seen[i * _SLOT : (i + 1) * _SLOT] for i in range(k)]
+        pack = lambda least: pa.array([zstandard.compress(np.packbits(x >= least).tobytes(), 1) for x in parts], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pack(1), pack(2)], names=["slot", "once", "twice"])
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, bits): the places hit more than once by all tasks together."""
+    once: dict[int, np.ndarray] = {}
+    twice: dict[int, np.ndarray] = {}
+    for b in batches:
+        for slot, *bits in zip(*(b.column(c).to_pylist() for c in ("slot", "once", "twice")), strict=True):
+            one, two = (np.frombuffer(zstandard.decompress(x), np.uint8) for x in bits)
+            twice[slot] = twice.get(slot, 0) | two | (one & once.get(slot, 0))
+            once[slot] = once.get(slot, 0) | one
+    yield pa.RecordBatch.from_arrays([pa.array(list(twice), pa.int32()), pa.array([zstandard.compress(v.tobytes(), 1) for v in twice.values()], pa.binary())], names=["slot", "bits"])
+
+
+def _shared(bits):
+    """The rows whose key falls on a place that is hit more than once; keys that only one node has mostly go here, before any shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = (np.asarray(b.column("key")).view(_U) >> _U(64 - _KEY_BITS)).astype(np.int64)
+            yield b.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    return run
 
 
 def _postings(n: int, percent: int, sketch, least: int):
-    """Rows (key, node, n): a set's keys in the index. Rare tokens of the prefix are keys themselves; if the prefix holds a frequent
-    one, the pairs of adjacent frequent tokens of the extended prefix are keys as well."""
+    """Rows (key, node, n, i): a set's keys in the index. Rare tokens of the prefix are keys themselves, with their place i in the order; if the
+    prefix holds a frequent one, the pairs of adjacent frequent tokens of the extended prefix are keys as well, with i = -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, limit, seen = sketch.value[0], sketch.value[1], set()
         for whole in batches:
             for batch in slices(whole):
-                keys, nodes, sizes = [], [], []
+                keys, nodes, sizes, places = [], [], [], []
                 for s in shingles(*word_hashes(batch.column("text")), n):
                     if len(s) < least:
                         continue
@@ -90,28 +143,18 @@ def _postings(n: int, percent: int, sketch, least: int):
                     s, often = s[order], often[order]
                     p = int(prefix_lengths(np.int64(len(s)), percent))
                     rare = int(np.searchsorted(often, limit, "right"))
-                    own = [s[: min(p, rare)]]
+                    own, at = [s[: min(p, rare)]], [np.arange(min(p, rare))]
                     if rare < p:
                         f = s[rare : int(extended_lengths(np.int64(len(s)), percent))]
                         own.append(np.unique(mixed(f[:-1] * _U(0xD6E8FEB86659FD93) + mixed(f[1:]))))
+                        at.append(np.full(len(own[1]), -1))
                     own = np.concatenate(own)
+                    places += at
                     keys.append(own)
                     nodes.append(np.full(len(own), node, _U))
                     sizes.append(np.full(len(own), len(s), np.int64))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([_longs(np.concatenate(keys)), _longs(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["key", "node", "n"])
-
-    return run
-
-
-def _sets(n: int):
-    """Rows (node, set): the sorted shingle hashes of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                sets = list(shingles(*word_hashes(batch.column("text")), n))
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
+                    yield pa.RecordBatch.from_arrays([_longs(np.concatenate(keys)), _longs(np.concatenate(nodes)), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(places).astype(np.int32))], names=["key", "node", "n", "i"])
 
     return run
 
@@ -136,30 +179,30 @@ class _Block:
         return 100 * shared >= percent * (len(s) + self.sizes - shared)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, Iterator[tuple]]]:
-    """Runs of rows with equal keys, rows given one by one; the stream is sorted by the keys."""
-    from itertools import groupby
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, n: int) -> Iterator[Iterator[tuple]]:
+    """Runs of rows that are equal in their first columns, with the last column, a text, as its set; the stream is sorted."""
 
     def rows():
-        for b in batches:
-            yield from zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True)
+        for whole in batches:
+            for b in slices(whole):
+                rest = [b.column(c).to_pylist() for c in b.schema.names if c != "text"]
+                yield from zip(*rest, shingles(*word_hashes(b.column("text")), n), strict=True)
 
-    at = None
-    for at, run in groupby(rows(), key=lambda r: r[: len(keys)]):
-        yield at, run
+    for _, run in groupby(rows(), key=lambda r: r[:keys]):
+        yield run
 
 
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
 
-def _contracted(percent: int):
-    """Groups (seed, key, chunk) of rows (node, set): the links within each group, as a star for each of its components."""
+def _contracted(percent: int, n: int):
+    """Groups (seed, key, chunk) of rows (node, text): the links within each group, as a star for each of its components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        for _, rows in _groups(batches, ["seed", "key", "chunk"]):
-            nodes, sets = zip(*((r[3], np.frombuffer(r[4], _U)) for r in rows), strict=True)
+        for rows in _groups(batches, 3, n):
+            nodes, sets = zip(*(r[3:] for r in rows), strict=True)
             if len(nodes) < 2:
                 continue
             block, todo = _Block(list(sets)), set(range(len(nodes)))
@@ -179,16 +222,15 @@ def _contracted(percent: int):
     return run
 
 
-def _verified(percent: int):
-    """Groups (comp, blk): first the rows of one block of that component (role 0), then the rows (other, node, set) of components that
+def _verified(percent: int, n: int):
+    """Groups (comp, blk): first the rows of one block of that component (role 0), then the rows (other, node, text) of components that
     may link with it (role 1). Gives one link for each other component that has any with the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        for _, rows in _groups(batches, ["comp", "blk"]):
+        for rows in _groups(batches, 2, n):
             nodes, sets, block, met = [], [], None, set()
-            for _, _, role, other, node, data in rows:
-                s = np.frombuffer(data, _U)
+            for _, _, role, other, node, s in rows:
                 if role == 0:
                     nodes.append(node)
                     sets.append(s)
@@ -208,6 +250,45 @@ def _verified(percent: int):
     return run
 
 
+def _crossed(percent: int, n: int):
+    """Groups (cluster, i, j) of rows (role, comp, node, text): the nodes of block i (role 0) and of block j (role 1) of a cluster, or of one block if
+    i = j. Gives links between different components, as few as join them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches, 3, n):
+            held, block, found, parent = [], None, [], {}
+
+            def root(c):
+                while parent.setdefault(c, c) != c:
+                    parent[c] = parent[parent[c]]
+                    c = parent[c]
+                return c
+
+            def ask(comp, node, s):
+                for k in np.flatnonzero(block.linked(s, percent)).tolist():
+                    a, b = root(comp), root(held[k][0])
+                    if a != b:
+                        parent[a] = b
+                        found.append((node, held[k][1]))
+
+            same = False
+            for _, i, j, role, comp, node, s in rows:
+                same = i == j
+                if role == 0:
+                    held.append((comp, node, s))
+                    continue
+                if held:
+                    block = block or _Block([x[2] for x in held])
+                    ask(comp, node, s)
+            if same and len(held) > 1:
+                block = _Block([x[2] for x in held])
+                for x in held:
+                    ask(*x)
+            yield _edges(found)
+
+    return run
+
+
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rid, n_shingles, component_id) for every row of docs: two rows link when the Jaccard similarity of their sets of n-word
     shingles, A-Z lower-cased, is percent / 100 at least; component_id is the smallest id reachable. rid tells rows apart by
@@ -216,11 +297,12 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     1. One pass hashes each text's set, and counts all tokens in a sketch of fixed size, which orders tokens from rare to frequent.
        Rows with equal sets are one node from here on, so a hot group of copies is one set.
     2. A second pass writes the index: single tokens for rare ones, pairs of adjacent tokens for the frequent class (see
-       extended_lengths). Keys with one node go.
+       extended_lengths). Keys with one node go, most of them by a bitmap of fixed size before any shuffle, and so do rows whose
+       key holds no other node of a size that fits.
     3. Contraction, which only saves work: under two of its keys each node meets others of the same key, in chunks of bounded
        size, and links found there merge nodes into components.
     4. Every two components that share a key are verified: members of the smaller meet the larger in blocks, and stop at the
-       first link. Links inside a component are not looked for, as they change no result; all others are found.
+       first link. Components under a crowded key are not paired: all that such keys connect meet in blocks of bounded size. Links inside a component are not looked for, as they change no result; all others are found.
 
     Texts without words have no shingles and link with nothing, and so do null texts. Repeated rows are linked like copies.
     A null id is never the smallest unless all ids of a component are null. Hashes have 64 bits."""
@@ -230,42 +312,67 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     least = -(-percent // (100 - percent))  # smaller sets link with equal sets only
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     first = materialize(rows.mapInArrow(_profiles(n), "doc_id long, rid long, n long, h1 long, h2 long, slot int, counts binary"))
-    slots = (1 << _BITS) // _SLOT
-    sums = dict(tuple(r) for r in first.where("slot IS NOT NULL").select("slot", "counts").repartition(slots, "slot").mapInArrow(_added, "slot int, counts binary").collect())
-    counts = np.concatenate([np.frombuffer(sums[i], np.int64) if i in sums else np.zeros(_SLOT, np.int64) for i in range(slots)])
-    sketch = spark.sparkContext.broadcast((counts, 64 + 4 * counts.mean()))
+    parts = lambda rows, run, schema, bits: {r[0]: zstandard.decompress(r[1]) for r in rows.repartition((1 << bits) // _SLOT, "slot").mapInArrow(run, schema).collect()}
+    sums = parts(first.where("slot IS NOT NULL").select("slot", "counts"), _added, "slot int, counts binary", _BITS)
+    counts = np.concatenate([np.frombuffer(sums[i], np.uint16) if i in sums else np.zeros(_SLOT, np.uint16) for i in range((1 << _BITS) // _SLOT)])
+    sketch = spark.sparkContext.broadcast((counts, FREQUENT + 4 * float(counts.mean())))
     profiles = first.where("slot IS NULL").drop("slot", "counts")
 
-    index = materialize(rows.select("text").mapInArrow(_postings(n, percent, sketch, least), "key long, node long, n long"))
-    shared = index.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    index = materialize(rows.select("text").mapInArrow(_postings(n, percent, sketch, least), "key long, node long, n int, i int"))
+    hits = parts(index.select("key").mapInArrow(_marked, "slot int, once binary, twice binary"), _repeated, "slot int, bits binary", _KEY_BITS)
+    bits = spark.sparkContext.broadcast(np.concatenate([np.frombuffer(hits[i], np.uint8) if i in hits else np.zeros(_SLOT // 8, np.uint8) for i in range((1 << _KEY_BITS) // _SLOT)]))
+    index = index.mapInArrow(_shared(bits), "key long, node long, n int, i int")
+    first_half = (F.col("i") < 0) | (F.col("i") < F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1)
+    shared = index.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(first_half).alias("may")).where("lo <> hi AND may").select("key")
     index = materialize(index.join(shared, "key", "left_semi").distinct())
+    # a row stays if another node of its key has a size that fits, told by classes of sizes half a threshold wide
+    classed = index.withColumn("c", F.floor(2 * F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))))
+    fits = classed.groupBy("key", "c").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).withColumn("c", F.explode(F.sequence(F.col("c") - 3, F.col("c") + 3)))
+    fits = fits.groupBy("key", "c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("key", "c")
+    index = materialize(classed.join(fits, ["key", "c"], "left_semi").drop("c"))
     member = index.groupBy("node").agg(F.max("n").alias("n"))
     reps = profiles.join(member.select("node"), profiles.h1 == F.col("node"), "left_semi").groupBy(F.col("h1").alias("node")).agg(F.min("rid").alias("rid"))
-    sets = materialize(rows.join(reps, "rid").select("node", "text").mapInArrow(_sets(n), "node long, set binary").dropDuplicates(["node"]))
+    texts = materialize(rows.join(reps, "rid").select("node", "text"))
+    sketch.destroy()
+    bits.destroy()
 
-    picks = union_all([index.groupBy("node").agg(F.min_by("key", F.xxhash64("key", F.lit(seed))).alias("key")).withColumn("seed", F.lit(seed)) for seed in (1, 2)])
-    crowd = picks.groupBy("seed", "key").count().where("count >= 6")
+    picks = union_all([index.groupBy("node").agg(F.min_by("key", F.xxhash64("key", F.lit(seed))).alias("key")).withColumn("seed", F.lit(seed)) for seed in SEEDS])
+    crowd = picks.groupBy("seed", "key").count().where("count >= IF(seed <= 2, 4, 16)")
     dealt = picks.join(crowd, ["seed", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node", "seed"), F.ceil(F.col("count") / _CHUNK)))
     place = ["seed", "key", "chunk"]
-    near = dealt.join(sets, "node").select(*place, "node", "set").repartition(*place).sortWithinPartitions(*place)
-    links = materialize(near.mapInArrow(_contracted(percent), "a long, b long"))
+    near = dealt.join(texts, "node").select(*place, "node", "text").repartition(*place).sortWithinPartitions(*place)
+    links = materialize(near.mapInArrow(_contracted(percent, n), "a long, b long"))
     merged = components(links)
 
     comps = materialize(member.join(merged, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp")))
     about = comps.groupBy("comp").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    under = index.join(comps.select("node", "comp"), "node").select("key", "comp").distinct()
+    under = index.join(comps.select("node", "comp"), "node").groupBy("key", "comp").agg(F.min("i").alias("i"))
     open_ = under.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
     under = materialize(under.join(open_, "key", "left_semi").join(about, "comp"))
     l, r = under.alias("l"), under.alias("r")
     small_first = "(l.size < r.size OR (l.size = r.size AND l.comp < r.comp))"
-    pairs = l.join(r, "key").where(f"{small_first} AND 100 * l.hi >= {percent} * r.lo AND 100 * r.hi >= {percent} * l.lo")
+    # the first token that two linked sets share leaves enough tokens after it on either side; of merged nodes only the sizes' bounds are known
+    room = lambda x: f"(CASE WHEN {x}.i < 0 THEN {x}.hi ELSE {x}.hi - {x}.i END)"
+    enough = f"least({room('l')}, {room('r')}) >= ceil({percent} * (l.lo + r.lo) / {100 + percent})"
+    crowded = materialize(under.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("hub")))
+    pairs = l.join(crowded.where(F.col("m") <= CROWD).select("key"), "key").join(r, "key").where(f"{small_first} AND 100 * l.hi >= {percent} * r.lo AND 100 * r.hi >= {percent} * l.lo AND {enough}")
     pairs = materialize(pairs.select(F.col("l.comp").alias("other"), F.col("r.comp").alias("comp"), F.ceil(F.col("r.size") / _CHUNK).alias("blks")).distinct())
     held = comps.join(pairs.select("comp", "blks").distinct(), "comp").select("comp", F.pmod(F.xxhash64("node"), F.col("blks")).alias("blk"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("other"), "node")
     asking = pairs.join(comps.select(F.col("comp").alias("other"), "node"), "other").select("comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blks") - 1)).alias("blk"), F.lit(1).alias("role"), "other", "node")
     place = ["comp", "blk"]
-    meet = held.unionByName(asking).join(sets, "node").select(*place, "role", "other", "node", "set").repartition(*place).sortWithinPartitions(*place, "role", "other")
-    more = meet.mapInArrow(_verified(percent), "a long, b long")
-    final = components(materialize(links.union(more)))
+    meet = held.unionByName(asking).join(texts, "node").select(*place, "role", "other", "node", "text").repartition(*place).sortWithinPartitions(*place, "role", "other")
+    more = meet.mapInArrow(_verified(percent, n), "a long, b long")
+    # keys that many components share: those components, joined over such keys, meet in blocks, all with all, so no pair is made for a key
+    star = under.select("key", "comp").join(crowded.where(F.col("m") > CROWD), "key").where("comp <> hub").select(F.col("comp").alias("a"), F.col("hub").alias("b"))
+    clusters = components(star.distinct()).select(F.col("node").alias("comp"), F.col("comp").alias("cluster"))
+    dense = comps.join(clusters, "comp").select("cluster", "comp", "node")
+    sizes = dense.groupBy("cluster").agg(F.ceil(F.count("*") / _CHUNK).alias("blks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blks"))
+    spread = dense.join(sizes, "cluster").withColumn("b", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blks") - 1)))
+    spread = spread.select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") > F.col("o")).cast("int").alias("role"), "comp", "node")
+    place = ["cluster", "i", "j"]
+    blocks = spread.join(texts, "node").select(*place, "role", "comp", "node", "text").repartition(*place).sortWithinPartitions(*place, "role")
+    final = components(materialize(links.union(more).union(blocks.mapInArrow(_crossed(percent, n), "a long, b long"))))
 
     named = profiles.where("n > 0").groupBy(F.col("h1").alias("node")).agg(F.min("doc_id").alias("least")).join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = named.groupBy("comp").agg(F.min("least").alias("component_id"))
