@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from netaudit.llm.words import mixed, raw, slices
 
 _U = np.uint64
 #: Bytes of an n-gram; bits of a position in the filter; hash functions; labelled rows to learn from, at most about.
-SIZES, BITS, HASHES, LEARN_DOCS = (3, 4, 5), 20, 3, 8000
+SIZES, BITS, HASHES, LEARN_DOCS, _SLOT = (3, 4, 5), 20, 3, 8000, 1 << 16
 #: A language contains an n-gram that stands in two of its rows at least, and as often a row as this part of where it is most frequent.
 SHARE = 0.05
 _FOLD = np.full(256, 32, np.uint8)
@@ -84,6 +85,17 @@ def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(at), b.column("word"), bits], names=["at", "word", "bits"])
 
 
+def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slot, word, masks): runs of the filter's positions, packed, so that few bytes go to the driver."""
+    found: dict[tuple[int, int], np.ndarray] = {}
+    for b in batches:
+        slot, word, at, bits = (np.asarray(b.column(c)) for c in ("slot", "word", "at", "bits"))
+        for key in set(zip(slot.tolist(), word.tolist(), strict=True)):
+            own = (slot == key[0]) & (word == key[1])
+            found.setdefault(key, np.zeros(_SLOT, _U))[at[own] - key[0] * _SLOT] |= bits[own].view(_U)
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.int32()), pa.array([zstandard.compress(v.tobytes(), 1) for v in found.values()], pa.binary())], names=["slot", "word", "masks"])
+
+
 def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", learn_docs: int = LEARN_DOCS) -> Model:
     """Fits the filters on about `learn_docs` of the labelled rows, chosen by a hash of the text; all of them if there are fewer."""
     rows = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
@@ -100,10 +112,12 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", learn
         best = rated.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("word", "bit", "rate")).alias("all"))
         owned = best.select("gram", "most", F.explode("all").alias("x")).where(F.col("x.rate") >= SHARE * F.col("most"))
         bits = owned.groupBy("gram", F.col("x.word").alias("word")).agg(F.bit_or("x.bit").alias("bits"))
-        at = bits.mapInArrow(_set_bits, "at long, word int, bits long").groupBy("at", "word").agg(F.bit_or("bits").alias("bits")).toPandas()
-        masks[at["word"].to_numpy(), at["at"].to_numpy()] = at["bits"].to_numpy(np.int64).view(_U)
+        at = bits.mapInArrow(_set_bits, "at long, word int, bits long").groupBy("at", "word").agg(F.bit_or("bits").alias("bits"))
+        parts = at.withColumn("slot", F.floor(F.col("at") / _SLOT)).repartition((1 << BITS) // _SLOT, "slot", "word").mapInArrow(_filters, "slot long, word int, masks binary")
+        for slot, word, data in parts.collect():
+            masks[word, slot * _SLOT : (slot + 1) * _SLOT] = np.frombuffer(zstandard.decompress(data), _U)
     filled = np.array([float(np.mean(masks[k // 64] >> _U(k % 64) & _U(1))) for k in range(len(langs))])
-    return Model(langs, masks, filled**HASHES)
+    return Model(langs, masks.astype(np.uint8) if len(langs) <= 8 else masks, filled**HASHES)
 
 
 def _decided(model):
@@ -115,11 +129,11 @@ def _decided(model):
                 total = np.maximum(np.bincount(row, minlength=batch.num_rows), 1)
                 share = np.zeros((batch.num_rows, max(1, len(m.langs))))
                 for w, mask in enumerate(m.masks):
-                    held = np.full(len(h), ~_U(0), _U)
+                    held = np.full(len(h), np.iinfo(mask.dtype).max, mask.dtype)
                     for at in _places(h):
                         held &= mask[at]
                     for k in range(64 * w, min(64 * w + 64, len(m.langs))):
-                        hits = np.bincount(row[(held >> _U(k - 64 * w) & _U(1)).astype(bool)], minlength=batch.num_rows)
+                        hits = np.bincount(row[(held >> held.dtype.type(k - 64 * w) & held.dtype.type(1)).astype(bool)], minlength=batch.num_rows)
                         share[:, k] = (hits / total - m.false_positive[k]) / (1 - m.false_positive[k])
                 best = share.argmax(axis=1)
                 known = np.asarray(batch.column("letters").fill_null(False)) & bool(m.langs)
