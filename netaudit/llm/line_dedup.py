@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netaudit.llm.common import materialize
+
 #: Elements whose tags end a line.
 _BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 #: A line is boilerplate of its host beyond this share of the host's pages, if at least this many pages hold it.
@@ -26,24 +28,25 @@ def lines_of(html: Column) -> Column:
 
 
 def line_dedup(rows: DataFrame, host: Column, lines: Column, id_col: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """Every row of rows with n_lines, n_dropped and clean_text: its lines without the boilerplate of its host.
+    """(id, host, n_lines, n_dropped, clean_text) for every row of rows: its lines without the boilerplate of its host.
 
     For each host, the pages that hold a line are counted once each and divided by the pages of the host; lines in at
     least `least_pages` pages and beyond `ratio` of them are dropped wherever they stand on that host. Pages of an empty
     host are a group like any other. Null lines make an empty page, which counts as a page. Rows count as pages one
-    by one, also where ids repeat or are null. Lines meet as 128 bits of two hashes, so texts are not shuffled: counting
-    moves one small row a line and task, and the lines to drop come back to the rows as lists of places. Those lists meet
-    rows by id, host and a hash of the lines; rows alike in all three get the same answer. Columns of rows named like
-    an added column are replaced."""
-    rows = rows.drop(*[c for c in ("n_lines", "n_dropped", "clean_text") if c in rows.columns])
-    page = rows.select(F.col(id_col).alias("_id"), host.alias("_host"), lines.alias("_lines")).select("_id", "_host", F.xxhash64("_lines").alias("_h"), "_lines")
-    total = page.groupBy("_host").agg(F.count("*").alias("_pages"))
-    each = page.select("_id", "_host", "_h", F.posexplode("_lines").alias("_at", "_line")).select("_id", "_host", "_h", "_at", F.xxhash64("_line").alias("_k1"), F.concat_ws(":", F.hash("_line"), F.crc32(F.col("_line").cast("binary"))).alias("_k2"))
-    once = page.select("_host", F.explode(F.array_distinct("_lines")).alias("_line")).groupBy("_host", F.xxhash64("_line").alias("_k1"), F.concat_ws(":", F.hash("_line"), F.crc32(F.col("_line").cast("binary"))).alias("_k2")).agg(F.count("*").alias("_with"))
-    drop = once.where(F.col("_with") >= least_pages).join(total, "_host").where(F.col("_with") > ratio * F.col("_pages")).select("_host", "_k1", "_k2")
-    at = each.join(drop, ["_host", "_k1", "_k2"]).groupBy("_id", "_host", "_h").agg(F.collect_set("_at").alias("_drop"))
-    out = rows.withColumn("_host", host).withColumn("_lines", lines).withColumn("_h", F.xxhash64("_lines"))
-    out = out.join(at.withColumnRenamed("_host", "_host2").withColumnRenamed("_h", "_h2").withColumnRenamed("_id", "_id2"), F.col(id_col).eqNullSafe(F.col("_id2")) & (F.col("_host") == F.col("_host2")) & (F.col("_h") == F.col("_h2")), "left")
-    drop_ = F.coalesce("_drop", F.array().cast("array<int>"))
-    kept = F.filter("_lines", lambda x, i: ~F.array_contains(drop_, i))
-    return out.select(*rows.columns, F.col("_host").alias("host"), F.size("_lines").cast("long").alias("n_lines"), F.size(drop_).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("clean_text"))
+    by one, also where ids repeat or are null. Lines are cut once and written. They meet as 128 bits of three hashes, so texts are not
+    shuffled for counting: it moves one small row a line and task, and the lines to drop come back to the rows as lists of places.
+    Those lists meet rows by id, host and a hash of the lines; rows alike in all three get the same answer. Other columns of rows
+    don't matter."""
+    page = rows.select(F.col(id_col).alias("id"), host.alias("host"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
+    page = materialize(page.withColumn("h", F.xxhash64("lines")).withColumn("keys", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("k1"), F.hash(x).alias("k2"), F.crc32(x.cast("binary")).alias("k3")))))
+    total = page.groupBy("host").agg(F.count("*").alias("pages"))
+    key = ["host", "k1", "k2", "k3"]
+    once = page.select("host", F.explode(F.array_distinct("keys")).alias("k")).select("host", "k.*").groupBy(*key).agg(F.count("*").alias("with"))
+    drop = once.where(F.col("with") >= least_pages).join(total, "host").where(F.col("with") > ratio * F.col("pages")).select(*key)
+    each = page.select("id", "host", "h", F.posexplode("keys").alias("at", "k")).select("id", "host", "h", "at", "k.*")
+    gone = each.join(drop, key).groupBy("id", "host", "h").agg(F.collect_set("at").alias("gone"))
+    gone = gone.select(F.col("id").alias("id2"), F.col("host").alias("host2"), F.col("h").alias("h2"), "gone")
+    at = F.coalesce("gone", F.array().cast("array<int>"))
+    kept = F.filter("lines", lambda x, i: ~F.array_contains(at, i))
+    out = page.join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("host") == F.col("host2")) & (F.col("h") == F.col("h2")), "left")
+    return out.select(F.col("id").alias(id_col), "host", F.size("lines").cast("long").alias("n_lines"), F.size(at).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("clean_text"))

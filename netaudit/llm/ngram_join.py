@@ -15,8 +15,8 @@ from netaudit.llm.common import components, materialize, union_all
 from netaudit.llm.words import mixed, shingles, slices, word_hashes
 
 _U = np.uint64
-#: Bits of a place in the frequency sketch and in the bitmap of repeated keys, and places in a row of their tables. Their sizes are
-#: fixed, whatever the input; where they fill up, keys are told apart less well and more rows are shuffled, with the same result.
+#: Bits of a place in the frequency sketch, most bits of one in the bitmap of repeated keys, and places in a row of their tables. The sketch is fixed, the
+#: bitmap has about five places a key up to that size; where they fill up, keys are told apart less well and more rows are shuffled, with the same result.
 _BITS, _KEY_BITS, _SLOT = 22, 26, 1 << 20
 #: A token is frequent beyond this count, and four times the mean of the sketch's counters.
 FREQUENT = 64
@@ -85,18 +85,22 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zstandard.compress(np.minimum(v, 65535).astype(np.uint16).tobytes(), 1) for v in sums.values()], pa.binary())], names=["slot", "counts"])
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _marked(bits: int):
     """Rows (slot, once, twice): bitmaps of the places that keys of a task fall on, and of those hit more than once."""
-    seen = np.zeros(1 << _KEY_BITS, np.uint8)
-    for b in batches:
-        at, times = np.unique(np.asarray(b.column("key")).view(_U) >> _U(64 - _KEY_BITS), return_counts=True)
-        at = at.astype(np.int64)
-        seen[at] = np.minimum(seen[at] + np.minimum(times, 2), 2)
-    if seen.any():
-        k = (1 << _KEY_BITS) // _SLOT
-        parts = [seen[i * _SLOT : (i + 1) * _SLOT] for i in range(k)]
-        pack = lambda least: pa.array([zstandard.compress(np.packbits(x >= least).tobytes(), 1) for x in parts], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pack(1), pack(2)], names=["slot", "once", "twice"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << bits, np.uint8)
+        for b in batches:
+            at, times = np.unique(np.asarray(b.column("key")).view(_U) >> _U(64 - bits), return_counts=True)
+            at = at.astype(np.int64)
+            seen[at] = np.minimum(seen[at] + np.minimum(times, 2), 2)
+        if seen.any():
+            k = (1 << bits) // _SLOT
+            parts = [seen[i * _SLOT : (i + 1) * _SLOT] for i in range(k)]
+            pack = lambda least: pa.array([zstandard.compress(np.packbits(x >= least).tobytes(), 1) for x in parts], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pack(1), pack(2)], names=["slot", "once", "twice"])
+
+    return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +115,13 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(twice), pa.int32()), pa.array([zstandard.compress(v.tobytes(), 1) for v in twice.values()], pa.binary())], names=["slot", "bits"])
 
 
-def _shared(bits):
+def _shared(bits: int, places):
     """The rows whose key falls on a place that is hit more than once; keys that only one node has mostly go here, before any shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = (np.asarray(b.column("key")).view(_U) >> _U(64 - _KEY_BITS)).astype(np.int64)
-            yield b.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+            at = (np.asarray(b.column("key")).view(_U) >> _U(64 - bits)).astype(np.int64)
+            yield b.filter(pa.array((places.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
 
     return run
 
@@ -319,9 +323,10 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     profiles = first.where("slot IS NULL").drop("slot", "counts")
 
     index = materialize(rows.select("text").mapInArrow(_postings(n, percent, sketch, least), "key long, node long, n int, i int"))
-    hits = parts(index.select("key").mapInArrow(_marked, "slot int, once binary, twice binary"), _repeated, "slot int, bits binary", _KEY_BITS)
-    bits = spark.sparkContext.broadcast(np.concatenate([np.frombuffer(hits[i], np.uint8) if i in hits else np.zeros(_SLOT // 8, np.uint8) for i in range((1 << _KEY_BITS) // _SLOT)]))
-    index = index.mapInArrow(_shared(bits), "key long, node long, n int, i int")
+    size = min(_KEY_BITS, max(20, (5 * index.count()).bit_length()))
+    hits = parts(index.select("key").mapInArrow(_marked(size), "slot int, once binary, twice binary"), _repeated, "slot int, bits binary", size)
+    places = spark.sparkContext.broadcast(np.concatenate([np.frombuffer(hits[i], np.uint8) if i in hits else np.zeros(_SLOT // 8, np.uint8) for i in range((1 << size) // _SLOT)]))
+    index = materialize(index.mapInArrow(_shared(size, places), "key long, node long, n int, i int"))
     first_half = (F.col("i") < 0) | (F.col("i") < F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1)
     shared = index.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(first_half).alias("may")).where("lo <> hi AND may").select("key")
     index = materialize(index.join(shared, "key", "left_semi").distinct())
@@ -334,7 +339,7 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     reps = profiles.join(member.select("node"), profiles.h1 == F.col("node"), "left_semi").groupBy(F.col("h1").alias("node")).agg(F.min("rid").alias("rid"))
     texts = materialize(rows.join(reps, "rid").select("node", "text"))
     sketch.destroy()
-    bits.destroy()
+    places.destroy()
 
     picks = union_all([index.groupBy("node").agg(F.min_by("key", F.xxhash64("key", F.lit(seed))).alias("key")).withColumn("seed", F.lit(seed)) for seed in SEEDS])
     crowd = picks.groupBy("seed", "key").count().where("count >= IF(seed <= 2, 4, 16)")

@@ -57,7 +57,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return line_dedup(pages, host_of(F.col("url")), lines_of(F.col("html")), "page_id").select("page_id", "host", "n_lines", "n_dropped", "clean_text")
+    return line_dedup(pages, host_of(F.col("url")), lines_of(F.col("html")), "page_id")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
