@@ -27,10 +27,11 @@ def trace_objects(issues: DataFrame, objects: DataFrame) -> DataFrame:
     return rows.join(hit, "_i", "left").drop("_i")
 
 
-def audit(features: DataFrame, projects: DataFrame, params: dict[str, dict] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(issues, summary a project) of all projects; projects are (project_id, category). Rules that no category asks for are not planned."""
+def audit(features: DataFrame, projects: DataFrame, params: dict[str, dict] | None = None, rule_ids: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(issues, summary a project) of all projects; projects are (project_id, category). Rules that no category asks for are not planned, nor those that
+    rule_ids, if given, leaves out."""
     x = Context(features)
-    wanted = [r for r in RULES if r in ALWAYS or any(r in rules for rules in config.ROUTES.values())]
+    wanted = [r for r in rule_ids or RULES if r in ALWAYS or any(r in rules for rules in config.ROUTES.values())]
     objects = x.features.where("code IS NOT NULL").select("project_id", "code", F.concat_ws(":", F.lower("layer"), "code").alias("ref"))
     found = route(run_all(x, wanted, params), projects)
     return found, severity_counts(found, ["project_id"])

@@ -113,7 +113,7 @@ def test_audit_routes_and_traces(spark):
     rows = [("CABLE", {"CODE": "C-1", "ORIGINE": "B-1", "EXTREMITE": "GHOST"}, "LINESTRING (0 0 1, 1 1 1)"), ("BOITE", {"CODE": "B-1"}, "POINT (0 0)")]
     f = features(spark, rows, "full").unionByName(features(spark, rows, "survey"))
     p = spark.createDataFrame([("full", "full_design"), ("survey", "survey_design")], "project_id string, category string")
-    got, summary = audit(f, p)
+    got, summary = audit(f, p, rule_ids=["R008", "R-SAFE-001", "R007"])
     rules = {(r.project_id, r.rule_id) for r in got.collect()}
     assert ("full", "R008") in rules and ("survey", "R008") not in rules and ("survey", "R-SAFE-001") in rules
     assert {r.project_id for r in summary.collect()} == {"full", "survey"}
