@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from netaudit.llm.common import WORD
 
 CHUNK, LEVEL = 4096, 3
-#: (bytes from, least ratio, greatest ratio) of whole texts. Short texts hardly compress, so only long ones have a lower limit.
-BANDS = ((0, 0.0, 2.4), (200, 1.0, 2.6), (500, 1.1, 3.0), (1000, 1.2, 3.5), (5000, 1.25, 4.0), (20000, 1.25, 5.0))
+#: (bytes from, least ratio, greatest ratio) of whole texts. Short texts hardly compress, so only long ones have a lower limit:
+#: above what random letters and digits give (at most 1.27 up to 1000 bytes, 1.33 up to 5000, 1.35 beyond), below prose.
+BANDS = ((0, 0.0, 2.4), (200, 1.0, 2.6), (500, 1.28, 3.0), (1000, 1.4, 3.5), (5000, 1.4, 4.0), (20000, 1.4, 5.0))
 #: The same of chunks, and the share of chunks out of their band that rejects a text.
-CHUNK_BAND, CHUNK_SHARE = (1.15, 4.0), 0.5
+CHUNK_BAND, CHUNK_SHARE = (1.4, 4.0), 0.5
 _WORD, _SYMBOL = re.compile(WORD), re.compile(r"[#*$%&|<>]")
 
 
