@@ -40,12 +40,15 @@ def counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 def bands(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """(whole ratio, share of chunks out of band, within the limits) of a text's bytes. The last chunk counts if it is full or the only one."""
+    """(whole ratio, share of chunks out of band, within the limits) of a text's bytes. Texts up to a chunk have no chunks; the last chunk
+    of longer ones is their final 4096 bytes, so that each byte lies in a full chunk."""
     if not data:
         return 1.0, 0.0, True
     ratio = len(data) / len(packer.compress(data))
     _, low, high = max(b for b in BANDS if b[0] <= len(data))
     chunks = [data[i : i + CHUNK] for i in range(0, len(data) - CHUNK + 1, CHUNK)] if len(data) > CHUNK else []
+    if chunks and len(data) % CHUNK:
+        chunks.append(data[-CHUNK:])
     odd = sum(not CHUNK_BAND[0] <= len(c) / len(packer.compress(c)) <= CHUNK_BAND[1] for c in chunks) / max(1, len(chunks))
     return ratio, odd, low <= ratio <= high and odd < CHUNK_SHARE
 

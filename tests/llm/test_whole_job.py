@@ -4,8 +4,9 @@ import random
 import string
 
 import pytest
+import zstandard
 
-from netaudit.llm.quality_rules import quality_rules
+from netaudit.llm.quality_rules import bands, quality_rules
 
 
 def noise(rng, size, width=60):
@@ -24,3 +25,13 @@ def test_quality_rules_reject_noise_of_any_length(spark, size):
     rows = [(1, noise(rng, size)), (2, prose(rng, size)), (3, noise(rng, size, 20))]
     got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
     assert [got[k].kept for k in (1, 2, 3)] == [False, True, False] and not any(r.base_failed for r in got.values())
+
+
+@pytest.mark.parametrize(("first", "size"), [(5000, 8191), (4096, 8000), (4096, 8192), (12288, 16383)])
+def test_the_end_of_a_text_lies_in_a_chunk(first, size):
+    rng, packer = random.Random(size), zstandard.ZstdCompressor(level=3)
+    text = (prose(rng, first) + " " + noise(rng, size))[:size].encode()
+    assert len(text) == size
+    whole, odd, _ = bands(text, packer)
+    assert whole >= 1.4 and odd == 1 / -(-size // 4096)
+    assert bands(text[:4096], packer)[1] == 0.0 and bands(prose(rng, 9000).encode(), packer)[1:] == (0.0, True)
