@@ -1,5 +1,6 @@
 """Cases that a shortened job would get wrong."""
 
+import os
 import random
 import string
 
@@ -8,6 +9,8 @@ import zstandard
 
 from netaudit.llm.quality_rules import bands, quality_rules
 
+SF = "/root/testdata/sf0.001"
+
 
 def noise(rng, size, width=60):
     t = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=size))
@@ -35,3 +38,15 @@ def test_the_end_of_a_text_lies_in_a_chunk(first, size):
     whole, odd, _ = bands(text, packer)
     assert whole >= 1.4 and odd == 1 / -(-size // 4096)
     assert bands(text[:4096], packer)[1] == 0.0 and bands(prose(rng, 9000).encode(), packer)[1:] == (0.0, True)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+def test_language_stage_drops_gibberish_and_foreign_scripts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    junk = [" ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 10))) for _ in range(80)), noise(rng, 2000), "日本語の文章がここにある。これは別の言語です。" * 5, "Это совсем другой язык, которого модель никогда не видела", "123 ### 456"]
+    both = docs.union(spark.createDataFrame([(-k, t, None) for k, t in enumerate(junk, 1)], "doc_id long, text string, lang string"))
+    left = {r.doc_id for r in corpus_pipeline.languages(spark, both, SF).select("doc_id").collect()}
+    assert left == {r.doc_id for r in docs.where(r"text RLIKE '\\p{L}'").select("doc_id").collect()}
