@@ -547,20 +547,44 @@ def zone_overlap(spark, d):
 @query(f"""WITH s AS (SELECT vec_id, layer, e[k] AS x1, e[k+1] AS y1, e[k+2] AS x2, e[k+3] AS y2 FROM ({_E}), (VALUES (1), (3)) v(k)), c AS (SELECT a.layer, a.vec_id AS a_id, b.vec_id AS b_id, (a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1) AS d, (b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1) AS t, (b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1) AS u FROM s a JOIN s b ON a.layer = b.layer AND a.vec_id < b.vec_id)
 SELECT DISTINCT layer, a_id, b_id FROM c WHERE d <> 0 AND t / d > 0 AND t / d < 1 AND u / d > 0 AND u / d < 1""")
 def line_crossing(spark, d):
-    f = _features(spark, d, 3)
+    return _crossings(_features(spark, d, 3))
+
+
+@query(None)
+def line_crossing_whole(spark, d):
+    return _crossings(_features(spark, d))
+
+
+def _crossings(f):
     return G.crossings(f, f, 0.2, ["layer"], ("vec_id", "vec_id")).where("a_id < b_id").select("layer", "a_id", "b_id").distinct()
 
 
 @query(f"""WITH v AS (SELECT vec_id, label, e[2*k-1] AS x, e[2*k] AS y FROM ({_E}), (SELECT range AS k FROM range(1, 9))) SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(min(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2))), 6) AS d FROM v a JOIN v b ON a.label = 0 AND b.label = 1 GROUP BY 1, 2 HAVING min(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2))) < 0.02""")
 def min_distance(spark, d):
-    f = _features(spark, d, 8)
+    return _distances(_features(spark, d, 8))
+
+
+@query(None)
+def min_distance_whole(spark, d):
+    return _distances(_features(spark, d))
+
+
+def _distances(f):
     return G.closer_than(f.where("label = 0"), f.where("label = 1"), 0.02, [], ("vec_id", "vec_id")).select("a_id", "b_id", F.round("d", 6).alias("d"))
 
 
 @query(f"""WITH f AS (SELECT vec_id, label, e[1:16] AS e FROM ({_E})), v AS (SELECT vec_id, label, e[2*k-1] AS x, e[2*k] AS y FROM f, (SELECT range AS k FROM range(1, 9))), lim(label, kind, m) AS (VALUES (1, 'water', 0.03), (2, 'gas', 0.02))
 SELECT a.vec_id AS a_id, b.vec_id AS b_id, kind, round(min(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2))), 6) AS d FROM v a JOIN v b ON a.label = 0 JOIN lim ON b.label = lim.label GROUP BY 1, 2, 3, m HAVING min(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2))) < m""")
 def utility_clearance(spark, d):
-    f = _features(spark, d, 8)
+    return _clearances(spark, _features(spark, d, 8))
+
+
+@query(None)
+def utility_clearance_whole(spark, d):
+    return _clearances(spark, _features(spark, d))
+
+
+def _clearances(spark, f):
     limits = spark.createDataFrame([(1, "water", 0.03), (2, "gas", 0.02)], "label int, kind string, m double")
     met = G.closer_than(f.where("label = 0"), f.where("label IN (1, 2)"), 0.03, [], ("vec_id", "vec_id"))
     of = f.select(F.col("vec_id").alias("b_id"), F.col("label").cast("int").alias("label"))
@@ -576,7 +600,15 @@ def ground_height(spark, d):
 @query(f"""WITH f AS ({_E}), s AS (SELECT vec_id, label, e, e[1] AS x1, e[2] AS y1, e[3] AS x2, e[4] AS y2 FROM f), c AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.e AS ae, b.e AS be, (a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1) AS d, (b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1) AS t, (b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1) AS u FROM s a JOIN s b ON a.label = 0 AND b.label = 1)
 SELECT a_id, b_id, round(abs((CASE WHEN t / d <= 0.5 THEN ae[1] ELSE ae[4] END) - (CASE WHEN u / d <= 0.5 THEN be[1] ELSE be[4] END)), 6) AS gap FROM c WHERE d <> 0 AND t / d > 0 AND t / d < 1 AND u / d > 0 AND u / d < 1""")
 def power_gap(spark, d):
-    f = _features(spark, d, 2)
+    return _gaps(_features(spark, d, 2))
+
+
+@query(None)
+def power_gap_whole(spark, d):
+    return _gaps(_features(spark, d))
+
+
+def _gaps(f):
     return G.height_gaps(f.where("label = 0"), f.where("label = 1"), 0.2, [], ("vec_id", "vec_id")).select("a_id", "b_id", F.round("gap", 6).alias("gap"))
 
 
