@@ -413,6 +413,12 @@ def fill_down(spark, d):
     return W.fill_down(c, ["head"], ["conv_id"], ["turn", "role", "text"]).select("conv_id", "turn", "head")
 
 
+@query(None)
+def fill_down_whole(spark, d):
+    c = _t(spark, d, "conversations").withColumn("head", F.when(F.col("role") == "user", F.col("text")))
+    return W.fill_down(c, ["head"], ["conv_id"], ["turn", "role", "text"]).select("conv_id", "turn", "head")
+
+
 @query("""SELECT o_orderpriority, o_orderkey, row_no, total FROM (SELECT o_orderpriority, o_orderkey, row_number() OVER w AS row_no, count(*) OVER (PARTITION BY o_orderpriority) AS total FROM orders WHERE o_orderstatus = 'F' WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)) WHERE row_no BETWEEN 21 AND 40""")
 def page_filter(spark, d):
     return W.page(_t(spark, d, "orders"), ["o_orderpriority"], ["o_orderkey"], 2, 20, F.col("o_orderstatus") == "F").select("o_orderpriority", "o_orderkey", "row_no", "total")
@@ -538,6 +544,11 @@ def coverage(spark, d):
     return G.outside(_features(spark, d, 2).select("vec_id", "x", "y"), zones, 0.1, [], "vec_id").select("vec_id")
 
 
+@query(None)
+def coverage_whole(spark, d):
+    return G.outside(_features(spark, d, 2).select("vec_id", "x", "y"), _rectangles(spark, d).select("coords"), 0.1, [], "vec_id").select("vec_id")
+
+
 @query(f"""WITH r AS ({_RECT}) SELECT a.layer, a.vec_id AS a_id, b.vec_id AS b_id, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS area FROM r a JOIN r b ON a.layer = b.layer AND a.vec_id < b.vec_id
 WHERE least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 1e-9""")
 def zone_overlap(spark, d):
@@ -617,6 +628,11 @@ def grounding(spark, d):
     return A.over_limit(_features(spark, d).where("vec_id % 2 = 0"), geo.line_length(F.col("coords")), F.lit(5.5)).select("vec_id")
 
 
+@query(None)
+def grounding_whole(spark, d):
+    return A.over_limit(_features(spark, d), geo.line_length(F.col("coords")), F.lit(5.5)).select("vec_id")
+
+
 # Bill of materials
 
 

@@ -62,3 +62,27 @@ def test_power_gap_whole(spark, lines):
     gaps = {(a, b): [abs(height(a, p) - height(b, p)) for p in crossing_points(f[a][1], f[b][1])] for a in f for b in f if f[a][0] == 0 and f[b][0] == 1}
     want = Counter((a, b, round(round(min(g), 6), 5)) for (a, b), g in gaps.items() if g)
     assert got(spark, "power_gap_whole", folder) == want and want != got(spark, "power_gap", folder)
+
+
+def test_coverage_whole(spark, lines):
+    folder, f = lines
+    boxes = [(min(x), max(x), min(y), max(y)) for x, y in (zip(*v[1][:4]) for v in f.values())]
+    want = Counter((k,) for k, (_, v, _) in f.items() if not any(x0 < v[0][0] < x1 and y0 < v[0][1] < y1 for x0, x1, y0, y1 in boxes))
+    assert got(spark, "coverage_whole", folder) == want and want != got(spark, "coverage", folder)
+
+
+def test_grounding_whole(spark, lines):
+    folder, f = lines
+    want = Counter((k,) for k, (_, v, _) in f.items() if sum(map(math.dist, v, v[1:])) > 5.5)
+    assert got(spark, "grounding_whole", folder) == want and want != got(spark, "grounding", folder)
+
+
+def test_fill_down_whole(spark, tmp_path):
+    rows = [(1, 1, "system", "s"), (1, 2, "user", "a question longer than twenty characters"), (1, 3, "assistant", "b"), (1, 4, "user", " " * 25 + "late"), (1, 5, "user", None), (2, 1, "assistant", "c")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want, head = Counter(), {}
+    for conv, turn, role, text in rows:
+        if role == "user" and (text or "").strip(" "):
+            head[conv] = text
+        want[(conv, turn, head.get(conv))] += 1
+    assert got(spark, "fill_down_whole", str(tmp_path)) == want and want != got(spark, "fill_down", str(tmp_path))
