@@ -27,13 +27,18 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
-    return exact_dedup(docs).where("kept").select(*docs.columns)
+    """Keeps one document of each group of equal texts: of rows that repeat the id that stays, the least by their columns."""
+    kept = materialize(exact_dedup(docs).where("kept").select(*docs.columns, "text_sha256"))
+    again = materialize(kept.groupBy("text_sha256").count().where("count > 1").select("text_sha256"))
+    one = kept.join(again, "text_sha256", "left_semi").groupBy("text_sha256").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(again, "text_sha256", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that links of similarity 0.8 over five-word shingles connect: the one with the smallest id."""
-    found = materialize(ngram_components(docs, n=5, percent=80).where("NOT doc_id <=> component_id").select("rid"))
+    """Keeps one document of each group that links of similarity 0.8 over five-word shingles connect: the one with the smallest id,
+    and of several with that id the one with the least hash. Rows equal in id and text, of which exact_copies leaves one, stay or go together."""
+    rows = materialize(ngram_components(docs, n=5, percent=80).where("component IS NOT NULL").select("rid", "component", F.expr("doc_id <=> component_id").alias("least")))
+    found = materialize(rows.join(rows.where("least").groupBy("component").agg(F.min("rid").alias("rid")).select("rid"), "rid", "left_anti").select("rid"))
     return docs.join(found, F.xxhash64("doc_id", "text") == found["rid"], "left_anti").select(*docs.columns)
 
 

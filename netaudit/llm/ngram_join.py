@@ -294,9 +294,9 @@ def _crossed(percent: int, n: int):
 
 
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, rid, n_shingles, component_id) for every row of docs: two rows link when the Jaccard similarity of their sets of n-word
+    """(id, rid, n_shingles, component_id, component) for every row of docs: two rows link when the Jaccard similarity of their sets of n-word
     shingles, A-Z lower-cased, is percent / 100 at least; component_id is the smallest id reachable. rid tells rows apart by
-    id and text. percent is 75 to 99.
+    id and text; component tells components apart, even those of one component_id, and is null for a text without shingles. percent is 75 to 99.
 
     1. One pass hashes each text's set, and counts all tokens in a sketch of fixed size, which orders tokens from rare to frequent.
        Rows with equal sets are one node from here on, so a hot group of copies is one set.
@@ -381,6 +381,6 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
 
     named = profiles.where("n > 0").groupBy(F.col("h1").alias("node")).agg(F.min("doc_id").alias("least")).join(final, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    ids = materialize(named.join(whole, "comp").select(F.col("node").alias("h1"), "component_id"))
+    ids = materialize(named.join(whole, "comp").select(F.col("node").alias("h1"), "component_id", F.col("comp").alias("component")))
     out = profiles.join(ids, "h1", "left")
-    return out.select(F.col("doc_id").alias(id_col), "rid", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(F.col("doc_id").alias(id_col), "rid", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("component")).alias("component"))

@@ -3,6 +3,7 @@
 import os
 import random
 import string
+from collections import Counter
 
 import pytest
 import zstandard
@@ -50,3 +51,41 @@ def test_language_stage_drops_gibberish_and_foreign_scripts(spark):
     both = docs.union(spark.createDataFrame([(-k, t, None) for k, t in enumerate(junk, 1)], "doc_id long, text string, lang string"))
     left = {r.doc_id for r in corpus_pipeline.languages(spark, both, SF).select("doc_id").collect()}
     assert left == {r.doc_id for r in docs.where(r"text RLIKE '\\p{L}'").select("doc_id").collect()}
+
+
+def test_pipeline_by_hand_with_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+    from netaudit.llm.packing import Encoder
+    from netaudit.llm.queries import tokenizer_path
+
+    rng = random.Random(9)
+    base = [prose(rng, 600) for _ in range(8)]
+    near = [f"{t} tail{k}" for k, t in enumerate(base)]
+    a, b, c, d, e, f, g, h = base
+    rows = [(1, a), (1, a), (2, a), (2, a.upper()), (None, b), (None, b), (None, near[1]), (None, b + " other end"), (5, c), (5, near[2]), (5, d), (5, near[3]), (6, c + " more"), (7, e), (7, e.upper()), (None, e), (3, f), (None, f), (None, near[5]), (8, g), (None, h), (9, "12 ###"), (10, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    low = lambda t: t.lower()
+    texts = {}
+    for i, t in rows:
+        if t and any(x.isalpha() for x in t):
+            texts[low(t)] = max(texts.get(low(t), -1), -1 if i is None else i)
+    sets = {t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts}
+    group = {}
+    for t in texts:
+        group[t] = next((group[u] for u in group if len(sets[t] & sets[u]) >= 0.8 * len(sets[t] | sets[u])), len(group))
+    least = {}
+    for t, i in texts.items():
+        least.setdefault(group[t], []).append(i)
+    want = Counter({(k, min((i for i in v if i >= 0), default=None)): 1 for k, v in least.items()})
+
+    stage = docs
+    for _, run in corpus_pipeline.STAGES[:3]:
+        stage = corpus_pipeline.materialize(run(spark, stage, str(tmp_path)))
+    left = stage.collect()
+    assert Counter((group[low(r.text)], r.doc_id) for r in left) == want
+    encoder = Encoder(tokenizer_path())
+    tokens = Counter((r.doc_id, len(encoder.ids(r.text)) + 1) for r in left)
+    packed = Counter((r.doc_id, r.doc_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.start == 0)
+    assert packed.keys() == tokens.keys() and all(tokens[k] <= n <= 2 * tokens[k] for k, n in packed.items())
