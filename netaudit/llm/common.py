@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: shared scratch tables, components, table access."""
+"""Helpers shared by the training-data operators: shared scratch tables, joins of hot groups, components, table access."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Word separators of the query contracts: the space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A group is hot beyond one part in so many of all rows; so there are never more hot groups than this, and they may be broadcast.
+HOT_PART = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +31,52 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+class Scratch:
+    """Tables in the shared folder that an operator writes for itself. The lineage ends at each, a lost executor costs nothing that was
+    written, and later plans see real file sizes. drop() deletes one when its last reader is done, and close() all but those to stay."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t))[0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def close(self, *stay: DataFrame) -> None:
+        self.drop(*[t for _, t in list(self.paths.values()) if all(t is not s for s in stay)])
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as a Parquet table into the shared folder and reads it again. The lineage ends there, a lost
-    executor costs nothing that was written, and later plans see real file sizes."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A written table that stays until the owner of the shared folder clears it."""
+    return Scratch(df.sparkSession).write(df)
+
+
+def free(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as it takes to differ from every column of df, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join of rows with groups, one row a key (not null), of which `size` is the number of rows. Groups of more than a part of all rows
+    (HOT_PART) are fewer than that number, so they are broadcast and their rows stay where they are; the others are shuffled."""
+    least = (groups.agg(F.sum(size)).first()[0] or 0) / HOT_PART
+    hot, cold = groups.where(F.col(size) > least), groups.where(F.col(size) <= least)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -42,15 +84,16 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Connected components of edges(a, b), two columns of one comparable type, as (node, comp); comp is the
     smallest node reachable. Nodes without an edge don't appear.
 
     Alternates large-star and small-star steps, so the number of rounds grows with the logarithm of the longest path;
     each round is two aggregations with map-side minima and two joins, and ends in a written table. It ends when a round
-    leaves the edges as they were, told by their number and two 64-bit exclusive-ors of their hashes."""
+    leaves the edges as they were, told by their number and two 64-bit exclusive-ors of their hashes. The last table is the scratch's."""
     mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
-    cur = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    scratch = scratch or Scratch(edges.sparkSession)
+    cur = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = mark(cur)
     while True:
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -60,7 +103,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: the smaller neighbours of a, and a itself, move to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        new = materialize(small)
+        new = scratch.write(small)
+        scratch.drop(cur)
         after = mark(new)
         same, before, cur = after == before, after, new
         if same:

@@ -1,5 +1,6 @@
 """HTML, language, quality, n-gram join, quality rules and packing: brute force, round trips and edge cases."""
 
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from netaudit.llm import language_id, ngram_join, quality
 from netaudit.llm.html_text import html_text, parse, render
-from netaudit.llm.ngram_join import extended_lengths, ngram_components, prefix_lengths
+from netaudit.llm.ngram_join import keys_of, ngram_components
 from netaudit.llm.packing import Encoder, pack
 from netaudit.llm.quality_rules import counts, quality_rules
 from netaudit.llm.words import shingles, word_hashes
@@ -132,33 +133,75 @@ def test_join_by_hand(spark, n, percent, size):
     assert got == by_hand(rows, n, percent)
 
 
-def test_join_where_every_token_is_frequent(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "_CHUNK", 8)
-    monkeypatch.setattr(ngram_join, "FREQUENT", 1)
+@pytest.mark.parametrize("rare", [0, 3, 10**9])
+def test_join_of_crowds(spark, monkeypatch, rare):
+    """All tokens frequent, few, none; small blocks, crowds and hot keys."""
+    for name, value in {"_CHUNK": 8, "RARE": rare, "CROWD": 2, "_HOT": 4, "_HELD": 500, "SEEDS": (1,)}.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(5)
     base = [f"w{k}" for k in range(60)]
     rows = []
-    for k in range(60):
+    for k in range(90):
         t = list(base)
         for _ in range(rng.randint(0, 4)):
             t[rng.randrange(60)] = f"w{rng.randrange(60)}"
-        rows.append((k, " ".join(t)))
+        rows.append((k, " ".join(t + [f"u{j}" for j in range(k % 9)])))
+    rows += [(k, " ".join(base[:30] + [f"v{k}x{j}" for j in range(8)])) for k in range(200, 240)]
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(docs(spark, rows), 3, 80).collect())
     assert got == by_hand(rows, 3, 80)
 
 
+def test_hot_keys_are_salted_and_still_meet_others():
+    keys, tags = np.array([7] * 100 + [8] * 3, np.uint64), np.arange(103, dtype=np.uint64)
+    got = [b.to_pydict() for b in ngram_join._salted(keys, tags)]
+    rows = [(k, t, s) for b in got for k, t, s in zip(b["key"], b["h1"], b["salt"], strict=True)]
+    assert {(k, t) for k, t, _ in rows} == set(zip(keys.tolist(), tags.tolist(), strict=True))
+    assert len({s for k, _, s in rows if k == 7}) > 20 and sum(k == 7 and s == 0 for k, _, s in rows) == 2 and [s for k, _, s in rows if k == 8] == [0, 0, 0]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables are not here")
+def test_pairs_of_frequent_tokens_carry_part_of_the_index(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    sets = [s for s in shingles(*word_hashes(pa.array(texts)), 3) if len(s) >= 9]
+    counts = np.zeros(1 << ngram_join._BITS, np.int64)
+    np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - ngram_join._BITS)).astype(np.int64), 1)
+    found = [keys_of(s, counts, 90) for s in sets]
+    singles, pairs = Counter(np.concatenate([f[0] for f in found]).tolist()), Counter(np.concatenate([f[1] for f in found]).tolist())
+    assert len(pairs) > 100 and sum(n > 1 for n in pairs.values()) > 50 and len(singles) > 1000
+
+
+def test_join_with_clashing_columns(spark):
+    rows = corpus(random.Random(3), 4, 60)
+    names = ["key", "row", "h1", "h2", "comp", "m", "salt", "blk", "n_shingles", "component_id", "component", "size"]
+    df = spark.createDataFrame([(i, t, *["x"] * len(names)) for i, t in rows], "doc_id int, text string, " + ", ".join(f"{c} string" for c in names))
+    got = ngram_components(df, 3, 90)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == by_hand(rows, 3, 90) and got.schema["doc_id"].dataType.simpleString() == "int"
+
+
 def test_join_of_nothing(spark):
     assert ngram_components(docs(spark, []), 3, 90).count() == 0
     assert ngram_components(docs(spark, [(1, None)]), 3, 90).first().component_id == 1
 
 
 @pytest.mark.parametrize("percent", [75, 80, 90, 99])
-def test_prefixes_leave_room_for_an_adjacent_pair(percent):
-    n = np.arange(-(-percent // (100 - percent)), 5000)
-    p, largest = prefix_lengths(n, percent), prefix_lengths(n * 100 // percent, percent)
-    overlap = -(-n * percent // 100)
-    need = p + largest
-    assert (extended_lengths(n, percent) - p + 1 >= need).all() and (overlap >= need)[n >= 9].all()
+def test_linked_sets_share_a_key(percent):
+    """Random linked sets, as unlike as they may be, share a key, whichever of their tokens are rare."""
+    rng = np.random.default_rng(percent)
+    for _ in range(600):
+        size, seed = int(rng.integers(-(-percent // (100 - percent)), 200)), rng.integers(2**63)
+        base = np.unique(np.random.default_rng(seed).integers(0, 2**63, 2 * size, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+        a, b, extra = base[rng.permutation(len(base))[:size]], None, list(base[rng.permutation(len(base))])
+        b = list(a)
+        while True:
+            c = [x for k, x in enumerate(b) if k != rng.integers(len(b))] if rng.random() < 0.5 else [*b, extra.pop()]
+            c = list(dict.fromkeys(c))
+            s = len(set(a.tolist()) & {int(x) for x in c})
+            if 100 * s < percent * (len(a) + len(c) - s) or not extra:
+                break
+            b = c
+        counts = rng.integers(2, 8, 1 << ngram_join._BITS)
+        one, two = (np.concatenate(keys_of(np.unique(np.array(x, np.uint64)), counts, percent)) for x in (a, b))
+        assert len(np.intersect1d(one, two))
 
 
 def test_hashes_don_t_depend_on_neighbours():
