@@ -71,12 +71,22 @@ def free(df: DataFrame, *wanted: str) -> list[str]:
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """Inner join of rows with groups, one row a key (not null), of which `size` is the number of rows. Groups of more than a part of all rows
-    (HOT_PART) are fewer than that number, so they are broadcast and their rows stay where they are; the others are shuffled."""
+    """Inner join of rows with groups, one row a key (never null), of which `size` is the number of rows. Groups of more than a part of all rows
+    (HOT_PART) are fewer than that number, so they are broadcast, and their rows go on under salts; the others meet by a join on the key.
+    Columns of groups other than the keys follow those of rows; their names differ from those."""
     least = (groups.agg(F.sum(size)).first()[0] or 0) / HOT_PART
-    hot, cold = groups.where(F.col(size) > least), groups.where(F.col(size) <= least)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+    hot, cold, salt = free(rows, "_hot", "_cold", "_salt")
+    rest = F.struct(*[c for c in groups.columns if c not in keys])
+    met = rows.join(F.broadcast(groups.where(F.col(size) > least).select(*keys, rest.alias(hot))), keys, "left")
+    met = met.withColumn(salt, F.when(F.col(hot).isNull(), 0).otherwise(1 + F.monotonically_increasing_id() % 1023).cast("int"))
+    met = met.join(groups.where(F.col(size) <= least).select(*keys, F.lit(0).alias(salt), rest.alias(cold)), [*keys, salt], "left")
+    got = F.coalesce(hot, cold)
+    return met.where(got.isNotNull()).select(*rows.columns, *[got[c].alias(c) for c in groups.columns if c not in keys])
+
+
+def row_hashes(id_col: str, text: Column) -> list[Column]:
+    """r1 and r2, 128 bits that tell rows apart by id and text."""
+    return [F.xxhash64(F.col(id_col), text).alias("r1"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("r2")]
 
 
 def ascii_lower(text: Column) -> Column:

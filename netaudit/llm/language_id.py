@@ -7,15 +7,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from netaudit.llm.common import free
 from netaudit.llm.words import mixed, raw, slices
 
 _U = np.uint64
 #: Bytes of an n-gram; bits of a position in the filter; hash functions; labelled rows to learn from, at most about.
 SIZES, BITS, HASHES, LEARN_DOCS, _SLOT = (3, 4, 5), 20, 3, 8000, 1 << 16
+#: Languages, at most; the filter takes 8 MB for each 64.
+MOST_LANGS = 1024
 #: A language contains an n-gram that stands in two of its rows at least, and as often a row as this part of where it is most frequent.
 SHARE = 0.05
 _FOLD = np.full(256, 32, np.uint8)
@@ -103,6 +108,8 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", learn
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sizes = {r[0]: r[1] for r in sample.groupBy("lang").count().collect()}
     langs = tuple(sorted(sizes))
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"{len(langs)} languages: the filter is made for {MOST_LANGS} at most")
     words = max(1, -(-len(langs) // 64))
     masks = np.zeros((words, 1 << BITS), _U)
     if langs:
@@ -120,18 +127,21 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", learn
     return Model(langs, masks.astype(np.uint8) if len(langs) <= 8 else masks, filled**HASHES)
 
 
-def _decided(model):
+def _decided(model, at: int | None):
+    """The text is the column of that name, or the field at that place of the row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        for whole in batches:
+        for given in batches:
+            whole = given if at is None else given.append_column("text", pc.struct_field(given.column("row"), at))
             for batch in slices(whole):
                 h, row = grams(batch.column("text"))
                 total = np.maximum(np.bincount(row, minlength=batch.num_rows), 1)
                 share = np.zeros((batch.num_rows, max(1, len(m.langs))))
                 for w, mask in enumerate(m.masks):
                     held = np.full(len(h), np.iinfo(mask.dtype).max, mask.dtype)
-                    for at in _places(h):
-                        held &= mask[at]
+                    for place in _places(h):
+                        held &= mask[place]
                     for k in range(64 * w, min(64 * w + 64, len(m.langs))):
                         hits = np.bincount(row[(held >> held.dtype.type(k - 64 * w) & held.dtype.type(1)).astype(bool)], minlength=batch.num_rows)
                         share[:, k] = (hits / total - m.false_positive[k]) / (1 - m.false_positive[k])
@@ -139,22 +149,24 @@ def _decided(model):
                 known = np.asarray(batch.column("letters").fill_null(False)) & bool(m.langs)
                 score = np.where(known, np.clip(share[np.arange(len(best)), best], 0, 1), 0.0)
                 named = [m.langs[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names] + [pa.array(named, pa.string()), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(named, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
     return run
 
 
 def identify(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The given columns of every row of docs, with lang_pred and score.
+    """The given columns of every row of docs, with lang_pred and score; if the columns hold such a name, the added one has an underscore before it.
 
     For each n-gram of a text the filter gives at once the bitmask of all languages that contain it. Counting each language's bits and taking
     away what the filter's fill lets through by chance gives the share of the text's n-grams in each language: the largest
     decides, the first by name among equals, and is the score. A text without a letter, and a null text, is `und` with score 0; so is every
-    text if nothing was learned. Rows are judged one by one, so repeated rows and ids get equal answers."""
+    text if nothing was learned. Very long texts are read whole. Rows are judged one by one, so repeated rows and ids get equal answers, and
+    an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*columns, F.col(text_col).alias("text") if "text" not in columns else F.lit(None).cast("boolean").alias("_"), F.col(text_col).rlike(r"\p{L}").alias("letters"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", lang_pred string, score double"
-    return rows.mapInArrow(_decided(shared), schema).select(*columns, "lang_pred", "score")
+    at = columns.index(text_col) if text_col in columns else None
+    rows = docs.select(F.struct(*columns).alias("row"), *([F.col(text_col).alias("text")] if at is None else []), F.col(text_col).rlike(r"\p{L}").alias("letters"))
+    out = rows.mapInArrow(_decided(shared, at), StructType([rows.schema["row"], *StructType.fromDDL("lang_pred string, score double")]))
+    return out.select("row.*", *[F.col(c).alias(n) for c, n in zip(("lang_pred", "score"), free(docs.select(*columns), "lang_pred", "score"), strict=True)])
 
 
 def held_out(id_col: Column, folds: int, fold: int) -> Column:

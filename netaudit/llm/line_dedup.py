@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netaudit.llm.common import materialize
+from netaudit.llm.common import Scratch, join_groups
 
 #: Elements whose tags end a line.
 _BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
@@ -33,20 +33,24 @@ def line_dedup(rows: DataFrame, host: Column, lines: Column, id_col: str, ratio:
     For each host, the pages that hold a line are counted once each and divided by the pages of the host; lines in at
     least `least_pages` pages and beyond `ratio` of them are dropped wherever they stand on that host. Pages of an empty
     host are a group like any other. Null lines make an empty page, which counts as a page. Rows count as pages one
-    by one, also where ids repeat or are null. Lines are cut once and written. They meet as 128 bits of three hashes, so texts are not
+    by one, also where ids repeat or are null. A very long page is one row like any other, and an empty table gives an empty result. Lines are cut once and written. They meet as 128 bits of three hashes, so texts are not
     shuffled for counting: it moves one small row a line and task, and the lines to drop come back to the rows as lists of places.
-    Those lists meet rows by id, host and a hash of the lines; rows alike in all three get the same answer. Other columns of rows
-    don't matter."""
+    Those lists meet rows by 128 bits over id, host and lines; rows alike in all three get the same answer. Other columns of rows
+    don't matter. Hot hosts, lines and rows are broadcast (join_groups)."""
+    scratch = Scratch(rows.sparkSession)
     page = rows.select(F.col(id_col).alias("id"), host.alias("host"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
-    page = materialize(page.withColumn("h", F.xxhash64("lines")).withColumn("keys", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("k1"), F.hash(x).alias("k2"), F.crc32(x.cast("binary")).alias("k3")))))
-    total = page.groupBy("host").agg(F.count("*").alias("pages"))
+    page = page.withColumn("keys", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("k1"), F.hash(x).alias("k2"), F.crc32(x.cast("binary")).alias("k3"))))
+    page = scratch.write(page.withColumn("r1", F.xxhash64("id", "host", "keys")).withColumn("r2", F.xxhash64(F.lit(1), "keys", "host", "id")))
+    total = scratch.write(page.groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.size("keys")).alias("held")))
     key = ["host", "k1", "k2", "k3"]
     once = page.select("host", F.explode(F.array_distinct("keys")).alias("k")).select("host", "k.*").groupBy(*key).agg(F.count("*").alias("with"))
-    drop = once.where(F.col("with") >= least_pages).join(total, "host").where(F.col("with") > ratio * F.col("pages")).select(*key)
-    each = page.select("id", "host", "h", F.posexplode("keys").alias("at", "k")).select("id", "host", "h", "at", "k.*")
-    gone = each.join(drop, key).groupBy("id", "host", "h").agg(F.collect_set("at").alias("gone"))
-    gone = gone.select(F.col("id").alias("id2"), F.col("host").alias("host2"), F.col("h").alias("h2"), "gone")
+    drop = scratch.write(join_groups(once.where(F.col("with") >= least_pages), total, ["host"], "held").where(F.col("with") > ratio * F.col("pages")).select(*key, "with"))
+    each = page.select("host", "r1", "r2", F.posexplode("keys").alias("at", "k")).select("host", "r1", "r2", "at", "k.*")
+    gone = join_groups(each, drop, key, "with").groupBy("r1", "r2").agg(F.collect_set("at").alias("gone"))
+    whole = scratch.write(page.groupBy("r1", "r2").agg(F.count("*").alias("copies")).join(gone, ["r1", "r2"], "left"))
     at = F.coalesce("gone", F.array().cast("array<int>"))
     kept = F.filter("lines", lambda x, i: ~F.array_contains(at, i))
-    out = page.join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("host") == F.col("host2")) & (F.col("h") == F.col("h2")), "left")
-    return out.select(F.col("id").alias(id_col), "host", F.size("lines").cast("long").alias("n_lines"), F.size(at).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("clean_text"))
+    out = join_groups(page, whole, ["r1", "r2"], "copies")
+    out = out.select(F.col("id").alias(id_col), "host", F.size("lines").cast("long").alias("n_lines"), F.size(at).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("clean_text"))
+    scratch.close(page, whole)
+    return out

@@ -9,12 +9,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from netaudit.llm.common import Scratch, components, join_groups
+from netaudit.llm.common import Scratch, components, join_groups, row_hashes
 from netaudit.llm.words import mixed, shingles, slices, word_hashes
 
 _U = np.uint64
@@ -286,11 +286,6 @@ def _crossed(percent: int, n: int):
     return run
 
 
-def row_hashes(id_col: str, text_col: str) -> list[Column]:
-    """r1 and r2, 128 bits that tell rows apart by id and text."""
-    return [F.xxhash64(id_col, text_col).alias("r1"), F.xxhash64(F.lit(1), text_col, id_col).alias("r2")]
-
-
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, r1, r2, n_shingles, component_id, component) for every row of docs: two rows link when the Jaccard similarity of their sets of
     n-word shingles, A-Z lower-cased, is percent / 100 at least; component_id is the smallest id reachable. r1 and r2 are row_hashes; component
@@ -315,7 +310,7 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     spark = docs.sparkSession
     scratch = Scratch(spark)
     least = -(-percent // (100 - percent))  # smaller sets link with equal sets only
-    rows = docs.select(F.col(id_col).alias("doc_id"), *row_hashes(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *row_hashes(id_col, F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType
     first = scratch.write(rows.mapInArrow(_profiles(n, to_arrow_type(id_type)), f"doc_id {id_type.simpleString()}, r1 long, r2 long, n long, h1 long, h2 long, slot int, part int, counts binary"))
     sketch = spark.sparkContext.broadcast(_sketch(first.where("slot IS NOT NULL").select("slot", "part", "counts")))

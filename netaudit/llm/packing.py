@@ -40,6 +40,7 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.width = 2 if len(self.blank) <= 1 << 16 else 4  # bytes that hold any id
         self.blank[[i for w, i in vocabulary.items() if w.startswith("\u0120")]] = True
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
@@ -79,13 +80,14 @@ def _encoded(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = Encoder(path), TaskContext.get().partitionId(), 0
         tail = np.array([end], "<u4").tobytes()
+        width = max(encoder.width, 2 if end < 1 << 16 else 4)
         for whole in batches:
             for batch in slices(whole):
                 ids = [x + tail for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 begins = at + np.append(0, np.cumsum(n)[:-1])
                 at += int(n.sum())
-                small = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                small = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(n), part, np.int64)), pa.array(begins), pa.array(n), pa.array(small, pa.binary())], names=["doc_id", "part", "begins", "n", "ids"])
 
     return run
@@ -96,7 +98,7 @@ def _cut(length: int):
         for batch in batches:
             out = []
             for doc, n, at, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("at").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                data, start = np.frombuffer(ids, "<u2").astype("<u4"), 0
+                data, start = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4"), 0
                 while start < n:
                     sequence, offset = divmod(at + start, length)
                     size = min(length - offset, n - start)
@@ -116,7 +118,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     stream; a row that crosses a boundary leaves a piece on either side. Only the last sequence can be short; it is padded. The ids
     are written once and read once, so both passes see the same order, also when a task is repeated.
 
-    Null and empty texts are the end id alone. Repeated rows and ids are packed one by one. Ids must fit 16 bits. An empty table gives no piece."""
+    Null and empty texts are the end id alone. Repeated rows and ids are packed one by one. A very long text is encoded whole and cut into as many
+    pieces as it takes. Ids take 16 bits each where all of the vocabulary fit, and 32 otherwise. An empty table gives no piece. Other columns don't matter."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     coded = materialize(rows.mapInArrow(_encoded(tokenizer, end), "doc_id long, part long, begins long, n long, ids binary"))
     totals = coded.groupBy("part").agg(F.sum("n").alias("total"))

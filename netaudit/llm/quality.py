@@ -9,12 +9,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from netaudit.llm.common import free
 from netaudit.llm.words import mixed, raw, slices, word_hashes
 
 _U = np.uint64
 #: Bits of a feature; labelled rows to learn from, at most about; the hinge loss's weight; sweeps over the rows.
 BITS, LEARN_DOCS, COST, SWEEPS = 18, 8000, 1.0, 8
+#: Features of the rows to learn from, at most about: the sample ends where it reaches so many, which bounds the memory of the one task.
+LEARN_FEATURES = 50_000_000
 
 
 @dataclass(frozen=True)
@@ -47,12 +51,14 @@ def fit(offsets: np.ndarray, found: np.ndarray, labels: np.ndarray, seed: int =
     """A linear hinge-loss model on indicators scaled by log-count ratios and brought to unit length, by dual coordinate descent; every
     fifth row is kept for the sigmoid."""
     rows, y = len(labels), np.where(labels == 1, 1.0, -1.0)
-    counts = [np.bincount(np.concatenate([found[offsets[i] : offsets[i + 1]] for i in np.flatnonzero(y == s)] or [np.zeros(0, np.int32)]), minlength=1 << BITS) + 1.0 for s in (1, -1)]
-    ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
-    row = [found[offsets[i] : offsets[i + 1]] for i in range(rows)]
-    length = np.array([np.sqrt(np.sum(ratio[r] ** 2)) + 1e-9 for r in row])
     tune = np.arange(rows) % 5 == 4
     learn = np.flatnonzero(~tune) if tune.any() and len(set(y[~tune])) > 1 else np.arange(rows)
+    row = [found[offsets[i] : offsets[i + 1]] for i in range(rows)]
+    counts = [np.ones(1 << BITS), np.ones(1 << BITS)]
+    for i in learn:
+        counts[int(y[i] < 0)][row[i]] += 1
+    ratio = np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum())
+    length = np.array([np.sqrt(np.sum(ratio[r] ** 2)) + 1e-9 for r in row])
     w, b, alpha, rng = np.zeros(1 << BITS), 0.0, np.zeros(rows), np.random.default_rng(seed)
     cost = np.where(y > 0, COST * max(1, (y < 0).sum()) / max(1, (y > 0).sum()), COST)  # either class weighs the same
     for _ in range(SWEEPS):
@@ -85,6 +91,8 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     offsets, found, labels = [np.zeros(1, np.int64)], [], []
     for whole in batches:
         for batch in slices(whole):
+            if offsets[-1][-1] > LEARN_FEATURES:
+                break
             o, f = features(batch.column("text"))
             offsets.append(o[1:] + offsets[-1][-1])
             found.append(f)
@@ -117,15 +125,16 @@ def _scored(model):
                     sums = [np.append(0.0, np.cumsum(w[found], dtype=np.float64)) for w in m.weights]
                     margin = (sums[0][offsets[1:]] - sums[0][offsets[:-1]]) / (np.sqrt(np.maximum(sums[1][offsets[1:]] - sums[1][offsets[:-1]], 0)) + 1e-9) + m.bias
                     score = 1 / (1 + np.exp(-np.clip(m.slope * margin + m.shift, -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names if c != "text"] + [pa.array(score)], names=[*(c for c in batch.schema.names if c != "text"), "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score)], names=["row", "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model | None, columns: list[str], text_col: str = "text") -> DataFrame:
     """The given columns (not the text) of every row of docs with score, the chance of label 1: 0 to 1, also for empty and null texts, which have no
-    n-gram and get the bias's score. Without a model every score is 0.5."""
+    n-gram and get the bias's score. Without a model every score is 0.5. Very long texts are scored whole. Rows are scored one by one, so repeated
+    rows get equal scores, and an empty table gives an empty result. If score is among the columns, the added one is _score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*columns, F.col(text_col).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", score double"
-    return rows.mapInArrow(_scored(shared), schema)
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(text_col).alias("text"))
+    out = rows.mapInArrow(_scored(shared), StructType([rows.schema["row"], *StructType.fromDDL("score double")]))
+    return out.select("row.*", F.col("score").alias(*free(docs.select(*columns), "score")))

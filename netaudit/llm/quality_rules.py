@@ -10,8 +10,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from netaudit.llm.common import WORD
+from netaudit.llm.common import WORD, free
+from netaudit.llm.words import slices
 
 CHUNK, LEVEL = 4096, 3
 #: (bytes from, least ratio, greatest ratio) of whole texts. Short texts hardly compress, so only long ones have a lower limit:
@@ -19,6 +21,7 @@ CHUNK, LEVEL = 4096, 3
 BANDS = ((0, 0.0, 2.4), (200, 1.0, 2.6), (500, 1.28, 3.0), (1000, 1.4, 3.5), (5000, 1.4, 4.0), (20000, 1.4, 5.0))
 #: The same of chunks, and the share of chunks out of their band that rejects a text.
 CHUNK_BAND, CHUNK_SHARE = (1.4, 4.0), 0.5
+ADDED = {c: "long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"base_failed": "boolean", "kept": "boolean", "ratio": "double", "odd_chunks": "double"}
 _WORD, _SYMBOL = re.compile(WORD), re.compile(r"[#*$%&|<>]")
 
 
@@ -55,20 +58,22 @@ def bands(data: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, float,
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=LEVEL)
-    for batch in batches:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        got = np.array([counts(t) for t in texts], np.int64).reshape(-1, 5)
-        band = [bands(t.encode(), packer) for t in texts]
-        failed = (got[:, 0] < 10) | (100 * got[:, 4] > 20 * got[:, 0])
-        kept = ~failed & np.array([b[2] for b in band], bool)
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-        arrays = [batch.column(c) for c in batch.schema.names if c != "text"] + [pa.array(got[:, k]) for k in range(5)] + [pa.array(failed), pa.array(kept), pa.array([b[0] for b in band], pa.float64()), pa.array([b[1] for b in band], pa.float64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*(c for c in batch.schema.names if c != "text"), *names, "base_failed", "kept", "ratio", "odd_chunks"])
+    for whole in batches:
+        for batch in slices(whole):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            got = np.array([counts(t) for t in texts], np.int64).reshape(-1, 5)
+            band = [bands(t.encode(), packer) for t in texts]
+            failed = (got[:, 0] < 10) | (100 * got[:, 4] > 20 * got[:, 0])
+            kept = ~failed & np.array([b[2] for b in band], bool)
+            arrays = [batch.column("row"), *[pa.array(got[:, k]) for k in range(5)], pa.array(failed), pa.array(kept), pa.array([b[0] for b in band], pa.float64()), pa.array([b[1] for b in band], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", *ADDED])
 
 
 def quality_rules(docs: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The given columns (not the text) of every row of docs with its counts, base_failed, kept, ratio and odd_chunks. Null texts count as empty: no
-    words, so base_failed. Rows are judged one by one."""
-    rows = docs.select(*columns, F.col(text_col).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(_judged, schema + ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, odd_chunks double")
+    """The given columns (not the text) of every row of docs with its counts, base_failed, kept, ratio and odd_chunks; where docs has a column of
+    that name among them, the added one has an underscore before it. Null texts count as empty: no words, so base_failed. Very long texts are judged
+    whole and chunk by chunk. Rows are judged one by one, so repeated rows get equal answers, and an empty table gives an empty result."""
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(text_col).alias("text"))
+    types = ", ".join(f"{c} {t}" for c, t in ADDED.items())
+    out = rows.mapInArrow(_judged, StructType([rows.schema["row"], *StructType.fromDDL(types)]))
+    return out.select("row.*", *[F.col(c).alias(n) for c, n in zip(ADDED, free(docs.select(*columns), *ADDED), strict=True)])

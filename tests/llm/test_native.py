@@ -87,11 +87,30 @@ def test_exact_dedup_by_hand(spark, block):
 def test_exact_dedup_tells_hash_collisions_apart(spark, monkeypatch):
     rows = [(k, t, "a") for k, t in enumerate(["aa", "ab", "aa", "ba" * 5, "ba" * 5, "bb" * 5, ""])]
     real = F.xxhash64
-    monkeypatch.setattr("netaudit.llm.exact_dedup.F.xxhash64", lambda *c: F.lit(7).cast("long") if isinstance(c[0], str) and c[0] == "content" else real(*c))
+    monkeypatch.setattr("netaudit.llm.exact_dedup.F.xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 1 else real(*c))
     out = exact_dedup(docs(spark, rows), block=4)
     assert Counter(tuple(r) for r in out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == dedup_by_hand(rows)
 
 
+def test_exact_dedup_keeps_columns_of_any_name(spark):
+    names = ["keep_id", "kept", "_kept", "group_size", "text_sha256", "_id", "_h", "_r1", "_copies", "r1", "r2", "bh", "name", "_hot", "_salt"]
+    rows = [(k % 7, t, *[f"{c}{k}" for c in names]) for k, t in enumerate(["a", "A", "b", None, "", "a"] * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    out = exact_dedup(df)
+    assert Counter(tuple(r)[: len(rows[0])] for r in out.collect()) == Counter(rows)
+    assert out.columns == df.columns + ["_keep_id", "_group_size", "__kept", "_text_sha256"]
+    assert Counter((r.doc_id, r._keep_id, r._group_size, r["__kept"], r._text_sha256) for r in out.collect()) == dedup_by_hand([(r[0], r[1], None) for r in rows])
+
+
+def test_block_names_don_t_depend_on_partitions(spark):
+    from netaudit.llm.common import Scratch
+    from netaudit.llm.exact_dedup import block_names
+
+    rows = [(k, "xy" * (k % 9) + "z" * (k % 5), "a") for k in range(60)]
+    got = [{r.id: (r.n_blocks, r.name) for r in block_names(Scratch(spark), docs(spark, rows).repartition(n), "doc_id", "text", 3).collect()} for n in (1, 5)]
+    assert got[0] == got[1] and min(name for n, name in got[0].values() if n == 1) == 0
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup(docs(spark, [])).count() == 0
 
@@ -139,6 +158,36 @@ def test_mix_reads_every_row_within_budget(spark, block):
     assert first != sorted(first) and mix(docs(spark, [])).count() == 0
 
 
+def test_mix_by_hand(spark):
+    """Row by row: each source's stream from the operator's places, against the budget that a plain bisection gives."""
+    rows = [(k, "w " * (k % 5 + 1), "big") for k in range(300)] + [(k, "a b c", "mid") for k in range(400, 430)] + [(k, "x", None) for k in range(500, 510)]
+    out = mix(docs(spark, rows), block_tokens=40).collect()
+    totals = Counter()
+    for _, t, s in rows:
+        totals[s] += len(t.split())
+    low, high, whole = 0.0, 1.0, sum(totals.values())
+    for _ in range(50):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (max(totals.values()) / min(totals.values())) ** (1 - mid) > 2.0 else (low, mid)
+    z = sum((n / whole) ** high for n in totals.values())
+    weight = {s: (n / whole) ** high / z for s, n in totals.items()}
+    budget = {s: max(totals[s], round(weight[s] * max(totals[x] / weight[x] for x in totals))) for s in totals}
+    for s in totals:
+        mine = sorted((r.mix_start, r.mix_tokens, r.mix_pass, r.doc_id) for r in out if r.source == s)
+        at = 0
+        for start, n, k, _ in mine:
+            assert start == at and k == at // totals[s]
+            at += n
+        assert budget[s] <= at < budget[s] + 5
+        full = Counter(i for _, _, k, i in mine if k == 0)
+        assert full == Counter(i for i, _, x in rows if x == s)
+    one = [r.doc_id for r in sorted(out, key=lambda r: r.mix_start) if r.source == "mid" and r.mix_pass == 0]
+    assert one != sorted(one)
+    clash = docs(spark, rows[:3]).selectExpr("*", "'a' AS _k", "'b' AS _reads", "'c' AS mix_pass")
+    got = mix(clash).collect()
+    assert [r.mix_pass for r in got][:1] == ["c"] and {r._mix_pass for r in got} == {0} and {r._k for r in got} == {"a"}
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 20)] + [(7, 7), (300, 200), (200, 300)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

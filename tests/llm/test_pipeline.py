@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -26,3 +27,20 @@ def test_queries_are_registered():
     import __spark_entry__ as e
 
     assert {f"op{n}_" for n in range(1, 11)} <= {q.split("_")[0] + "_" for q in e.queries()} and "pipeline" in e.queries()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as c
+
+    names = ["letters", "score", "lang_pred", "kept", "keep_id", "_id", "_k", "_reads", "_r1", "_row", "r1", "component", "mix_pass", "row", "name"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = docs.union(docs.limit(5)).union(spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0)], docs.schema))
+    rows = c.materialize(rows.select("*", *[F.concat(F.lit(x), F.coalesce("doc_id", F.lit(0)).cast("string")).alias(x) for x in names]))
+    for name, stage in c.STAGES:
+        assert stage(spark, rows.limit(0), SF).count() == 0, name
+        out = stage(spark, rows, SF)
+        if name != "packing":
+            assert out.columns == rows.columns, name
+            assert all(r[x] == f"{x}{r.doc_id or 0}" for r in out.collect() for x in names), name
+    once = c.exact_copies(spark, rows, SF)
+    assert once.count() == rows.select(F.lower(F.coalesce("text", F.lit("")))).distinct().count()
