@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netaudit.llm import language_id
-from netaudit.llm.common import materialize, table
-from netaudit.llm.exact_dedup import exact_dedup
+from netaudit.llm.common import free, join_groups, materialize, row_hashes, table
+from netaudit.llm.exact_dedup import exact_groups, normal
 from netaudit.llm.mixing import mix
 from netaudit.llm.ngram_join import ngram_components
 from netaudit.llm.packing import pack
@@ -21,34 +21,54 @@ LEAST_SCORE = 0.2
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language of the labels: those of which nothing can be told (`und`: no text, no letter) go, and those
-    whose n-grams the filters of the best language hardly hold (score below LEAST_SCORE)."""
+    whose n-grams the filters of the best language hardly hold (score below LEAST_SCORE). Null and empty texts go, very long ones are judged
+    whole, repeated rows go or stay together, and an empty table gives an empty result. Columns of any name stay as they are."""
     model = language_id.learn(docs)
-    return language_id.identify(docs, model, docs.columns).where(f"lang_pred <> 'und' AND score >= {LEAST_SCORE}").select(*docs.columns)
+    lang, score = free(docs, "lang_pred", "score")
+    return language_id.identify(docs, model, docs.columns).where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+
+
+def _without(docs: DataFrame, marks: DataFrame, text: Column) -> DataFrame:
+    """The rows of docs but those whose row_hashes stand in marks (r1, r2, copies, stays); of several rows with the hashes of one
+    that stays, one stays."""
+    r1, r2 = free(docs, "_r1", "_r2")
+    keyed = docs.select("*", *[h.alias(n) for h, n in zip(row_hashes("doc_id", text), (r1, r2), strict=True)])
+    again = materialize(marks.where("stays AND copies > 1").select(F.col("r1").alias(r1), F.col("r2").alias(r2)))
+    gone = marks.where("NOT stays OR copies > 1").select(F.col("r1").alias(r1), F.col("r2").alias(r2))
+    left = keyed.join(gone, [r1, r2], "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return left
+    row = free(docs, "_row")[0]
+    one = keyed.join(again, [r1, r2], "left_semi").groupBy(r1, r2).agg(F.first(F.struct(*docs.columns)).alias(row))
+    return left.unionByName(one.select(f"{row}.*"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts: of rows that repeat the id that stays, the least by their columns."""
-    kept = materialize(exact_dedup(docs).where("kept").select(*docs.columns, "text_sha256"))
-    again = materialize(kept.groupBy("text_sha256").count().where("count > 1").select("text_sha256"))
-    one = kept.join(again, "text_sha256", "left_semi").groupBy("text_sha256").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return kept.join(again, "text_sha256", "left_anti").select(*docs.columns).unionByName(one)
+    """Keeps one document of each group of equal texts: the one with the largest id, and one row of several that repeat it. Null texts
+    are empty ones, and a null id is smaller than any other. An empty table gives an empty result. Columns of any name stay as they are."""
+    found = exact_groups(docs)
+    return _without(docs, found.select("r1", "r2", "copies", F.col("kept").alias("stays")), normal("text"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that links of similarity 0.8 over five-word shingles connect: the one with the smallest id,
-    and of several with that id the one with the least hash. Rows equal in id and text, of which exact_copies leaves one, stay or go together."""
-    rows = materialize(ngram_components(docs, n=5, percent=80).where("component IS NOT NULL").select("rid", "component", F.expr("doc_id <=> component_id").alias("least")))
-    found = materialize(rows.join(rows.where("least").groupBy("component").agg(F.min("rid").alias("rid")).select("rid"), "rid", "left_anti").select("rid"))
-    return docs.join(found, F.xxhash64("doc_id", "text") == found["rid"], "left_anti").select(*docs.columns)
+    of several with that id the one with the least hash, and one row of several alike in both. A null id is larger than any other. Null texts and texts
+    without words are no copies and stay. An empty table gives an empty result. Columns of any name stay as they are."""
+    rows = ngram_components(docs, n=5, percent=80).where("component IS NOT NULL").groupBy("component", "r1", "r2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
+    rows = materialize(rows.withColumn("order", F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")))
+    best = materialize(rows.groupBy("component").agg(F.min("order").alias("best"), F.count("*").alias("members")))
+    marks = materialize(join_groups(rows, best, ["component"], "members").select("r1", "r2", "copies", (F.col("order") == F.col("best")).alias("stays"), "members").where("members > 1 OR copies > 1"))
+    return _without(docs, marks, F.col("text"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reads the sources by tempered weights: every document at least once, none more than twice."""
+    """Reads the sources by tempered weights: every document at least once, none more than twice. A null source is one of its own; null and empty
+    texts count one token; repeated rows are read alike. An empty table gives an empty result. Columns of any name stay as they are."""
     return mix(docs).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens; see pack for nulls, empty and very long texts, repeated rows and other columns."""
     return pack(docs, tokenizer_path())
 
 
