@@ -16,6 +16,11 @@ def normal(text_col: str) -> Column:
     return ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def once(value: Column) -> Column:
+    """The value as a generated column, which is worked out once a row however often it is used."""
+    return F.explode(F.array(value))
+
+
 def ranked(scratch: Scratch, rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows with name, their place from 0 on in the order of the keys, whatever the number of partitions: a range sort, then prefix sums
     of the partitions' counts, one number a partition. Written before use, so every later reader sees the same names."""
@@ -36,7 +41,7 @@ def block_names(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, b
     meet in map-side sets before the shuffle, so a hot text costs one row a task, and names of hot blocks are broadcast."""
     t = F.col("t")
     cut = F.when(F.char_length(t) <= block, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
-    texts = docs.select(F.col(id_col).alias("id"), normal(text_col).alias("t"))
+    texts = docs.select(F.col(id_col).alias("id"), once(normal(text_col)).alias("t"))
     rows = texts.select("id", *row_hashes("id", t), F.transform(cut, lambda x: F.xxhash64(x)).alias("hashes"))
     rows = scratch.write(rows.groupBy("r1", "r2").agg(F.first("id").alias("id"), F.first("hashes").alias("hashes"), F.count("*").alias("copies")))
     parts = texts.select(F.explode(cut).alias("content"))
@@ -86,9 +91,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group_size and are all marked kept if that id stays; rows that repeat an id with another text belong to that text's
     group. Very long texts are named block by block. An empty table gives an empty result. Rows meet their group by 128 bits over id and text."""
     found = exact_groups(docs, id_col, text_col, block)
-    r1, r2, copies = free(docs, "_r1", "_r2", "_copies")
-    k1, k2 = row_hashes(id_col, normal(text_col))
+    r1, r2, copies, t = free(docs, "_r1", "_r2", "_copies", "_t")
     names = free(docs, "keep_id", "group_size", "kept", "text_sha256")
     found = found.select(F.col("r1").alias(r1), F.col("r2").alias(r2), F.col("copies").alias(copies), *[F.col(c).alias(n) for c, n in zip(("keep_id", "group_size", "kept"), names, strict=False)])
-    out = join_groups(docs.select("*", k1.alias(r1), k2.alias(r2)), found, [r1, r2], copies)
-    return out.select(*docs.columns, *names[:3], F.sha2(normal(text_col), 256).alias(names[3]))
+    rows = docs.select("*", once(normal(text_col)).alias(t))
+    rows = rows.select(*docs.columns, *[h.alias(n) for h, n in zip(row_hashes(id_col, F.col(t)), (r1, r2), strict=True)], F.sha2(t, 256).alias(names[3]))
+    return join_groups(rows, found, [r1, r2], copies).select(*docs.columns, *names)
