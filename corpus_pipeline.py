@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netaudit.llm import language_id
 from netaudit.llm.common import free, join_groups, materialize, row_hashes, table
-from netaudit.llm.exact_dedup import exact_groups, normal
+from netaudit.llm.exact_dedup import exact_groups, normal, once
 from netaudit.llm.mixing import mix
 from netaudit.llm.ngram_join import ngram_components
 from netaudit.llm.packing import pack
@@ -31,8 +31,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _without(docs: DataFrame, marks: DataFrame, text: Column) -> DataFrame:
     """The rows of docs but those whose row_hashes stand in marks (r1, r2, copies, stays); of several rows with the hashes of one
     that stays, one stays."""
-    r1, r2 = free(docs, "_r1", "_r2")
-    keyed = docs.select("*", *[h.alias(n) for h, n in zip(row_hashes("doc_id", text), (r1, r2), strict=True)])
+    r1, r2, t = free(docs, "_r1", "_r2", "_t")
+    keyed = docs.select("*", once(text).alias(t)).select(*docs.columns, *[h.alias(n) for h, n in zip(row_hashes("doc_id", F.col(t)), (r1, r2), strict=True)])
     again = materialize(marks.where("stays AND copies > 1").select(F.col("r1").alias(r1), F.col("r2").alias(r2)))
     gone = marks.where("NOT stays OR copies > 1").select(F.col("r1").alias(r1), F.col("r2").alias(r2))
     left = keyed.join(gone, [r1, r2], "left_anti").select(*docs.columns)
