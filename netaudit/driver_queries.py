@@ -129,8 +129,7 @@ def same_route_pairs(spark, d):
     return J.same_route_pairs(li, ["l_partkey", "l_suppkey"], "l_orderkey", "seq")
 
 
-@query("""SELECT doc_id, max_by(b.text, (length(b.text), b.text)) AS code FROM documents d JOIN benchmark b ON contains(d.text, b.text)
-WHERE len(list_filter(string_split_regex(b.text, '\\s+'), lambda x: x <> '')) >= 4 GROUP BY doc_id""")
+@query("""SELECT doc_id, max_by(b.text, (length(b.text), b.text)) AS code FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY doc_id""")
 def longest_code_in_text(spark, d):
     docs, b = _t(spark, d, "documents", "benchmark")
     return J.longest_in_text(docs, "doc_id", "text", b, "text", 4)
@@ -314,7 +313,7 @@ def device_stats(spark, d):
     return A.device_stats(_t(spark, d, "orders").select(F.col("o_orderpriority").alias("layer")))
 
 
-@query("SELECT round(avg(CASE WHEN c IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS rate FROM documents d LEFT JOIN (SELECT DISTINCT doc_id AS c FROM documents JOIN benchmark b ON contains(documents.text, b.text) WHERE len(list_filter(string_split_regex(b.text, '\\s+'), lambda x: x <> '')) >= 4) ON d.doc_id = c")
+@query("SELECT round(avg(CASE WHEN c IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS rate FROM documents d LEFT JOIN (SELECT DISTINCT doc_id AS c FROM documents JOIN benchmark b ON contains(documents.text, b.text)) ON d.doc_id = c")
 def trace_rate(spark, d):
     docs, b = _t(spark, d, "documents", "benchmark")
     hit = J.longest_in_text(docs, "doc_id", "text", b, "text", 4)
@@ -407,14 +406,8 @@ def detect_header(spark, d):
     return W.detect_header(_sheets(spark, d), ["sheet"], "row_no", "cells")
 
 
-@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS head FROM conversations""")
+@query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS head FROM conversations""")
 def fill_down(spark, d):
-    c = _t(spark, d, "conversations").withColumn("head", F.when(F.col("role") == "user", F.substring("text", 1, 20)))
-    return W.fill_down(c, ["head"], ["conv_id"], ["turn", "role", "text"]).select("conv_id", "turn", "head")
-
-
-@query(None)
-def fill_down_whole(spark, d):
     c = _t(spark, d, "conversations").withColumn("head", F.when(F.col("role") == "user", F.col("text")))
     return W.fill_down(c, ["head"], ["conv_id"], ["turn", "role", "text"]).select("conv_id", "turn", "head")
 
@@ -538,45 +531,30 @@ def cable_in_zone(spark, d):
     return G.vertices_outside(_features(spark, d).select("vec_id", "label", "coords"), zones, "label", "zone", []).select("vec_id", "n_outside")
 
 
-@query(f"SELECT f.vec_id FROM ({_E}) f WHERE NOT EXISTS (SELECT 1 FROM ({_RECT}) r WHERE r.vec_id % 50 = 0 AND e[1] > x0 AND e[1] < x1 AND e[2] > y0 AND e[2] < y1)")
+@query(f"SELECT f.vec_id FROM ({_E}) f WHERE NOT EXISTS (SELECT 1 FROM ({_RECT}) r WHERE e[1] > x0 AND e[1] < x1 AND e[2] > y0 AND e[2] < y1)")
 def coverage(spark, d):
-    zones = _rectangles(spark, d).where("vec_id % 50 = 0").select("coords")
+    zones = _rectangles(spark, d).select("coords")
     return G.outside(_features(spark, d, 2).select("vec_id", "x", "y"), zones, 0.1, [], "vec_id").select("vec_id")
 
 
-@query(None)
-def coverage_whole(spark, d):
-    return G.outside(_features(spark, d, 2).select("vec_id", "x", "y"), _rectangles(spark, d).select("coords"), 0.1, [], "vec_id").select("vec_id")
-
-
 @query(f"""WITH r AS ({_RECT}) SELECT a.layer, a.vec_id AS a_id, b.vec_id AS b_id, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS area FROM r a JOIN r b ON a.layer = b.layer AND a.vec_id < b.vec_id
 WHERE least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 1e-9""")
 def zone_overlap(spark, d):
     return G.overlaps(_rectangles(spark, d), 0.2, ["layer"], "vec_id").select("layer", "a_id", "b_id", F.round("area", 6).alias("area"))
 
 
-@query(f"""WITH s AS (SELECT vec_id, layer, e[k] AS x1, e[k+1] AS y1, e[k+2] AS x2, e[k+3] AS y2 FROM ({_E}), (VALUES (1), (3)) v(k)), c AS (SELECT a.layer, a.vec_id AS a_id, b.vec_id AS b_id, (a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1) AS d, (b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1) AS t, (b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1) AS u FROM s a JOIN s b ON a.layer = b.layer AND a.vec_id < b.vec_id)
+@query(f"""WITH s AS (SELECT vec_id, layer, e[k] AS x1, e[k+1] AS y1, e[k+2] AS x2, e[k+3] AS y2 FROM ({_E}), (SELECT range AS k FROM range(1, 62, 2))), c AS (SELECT a.layer, a.vec_id AS a_id, b.vec_id AS b_id, (a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1) AS d, (b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1) AS t, (b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1) AS u FROM s a JOIN s b ON a.layer = b.layer AND a.vec_id < b.vec_id)
 SELECT DISTINCT layer, a_id, b_id FROM c WHERE d <> 0 AND t / d > 0 AND t / d < 1 AND u / d > 0 AND u / d < 1""")
 def line_crossing(spark, d):
-    return _crossings(_features(spark, d, 3))
-
-
-@query(None)
-def line_crossing_whole(spark, d):
     return _crossings(_features(spark, d))
 
 
 def _crossings(f):
-    return G.crossings(f, f, 0.2, ["layer"], ("vec_id", "vec_id")).where("a_id < b_id").select("layer", "a_id", "b_id").distinct()
+    return G.crossings(f, f, 0.1, ["layer"], ("vec_id", "vec_id"), ordered=True).select("layer", "a_id", "b_id").distinct()
 
 
-@query(f"""WITH v AS (SELECT vec_id, label, e[2*k-1] AS x, e[2*k] AS y FROM ({_E}), (SELECT range AS k FROM range(1, 9))) SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(min(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2))), 6) AS d FROM v a JOIN v b ON a.label = 0 AND b.label = 1 GROUP BY 1, 2 HAVING min(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2))) < 0.02""")
+@query(f"""WITH v AS (SELECT vec_id, label, e[2*k-1] AS x, e[2*k] AS y FROM ({_E}), (SELECT range AS k FROM range(1, 33))) SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(min(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2))), 6) AS d FROM v a JOIN v b ON a.label = 0 AND b.label = 1 GROUP BY 1, 2 HAVING min(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2))) < 0.02""")
 def min_distance(spark, d):
-    return _distances(_features(spark, d, 8))
-
-
-@query(None)
-def min_distance_whole(spark, d):
     return _distances(_features(spark, d))
 
 
@@ -584,14 +562,9 @@ def _distances(f):
     return G.closer_than(f.where("label = 0"), f.where("label = 1"), 0.02, [], ("vec_id", "vec_id")).select("a_id", "b_id", F.round("d", 6).alias("d"))
 
 
-@query(f"""WITH f AS (SELECT vec_id, label, e[1:16] AS e FROM ({_E})), v AS (SELECT vec_id, label, e[2*k-1] AS x, e[2*k] AS y FROM f, (SELECT range AS k FROM range(1, 9))), lim(label, kind, m) AS (VALUES (1, 'water', 0.03), (2, 'gas', 0.02))
+@query(f"""WITH v AS (SELECT vec_id, label, e[2*k-1] AS x, e[2*k] AS y FROM ({_E}), (SELECT range AS k FROM range(1, 33))), lim(label, kind, m) AS (VALUES (1, 'water', 0.03), (2, 'gas', 0.02))
 SELECT a.vec_id AS a_id, b.vec_id AS b_id, kind, round(min(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2))), 6) AS d FROM v a JOIN v b ON a.label = 0 JOIN lim ON b.label = lim.label GROUP BY 1, 2, 3, m HAVING min(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2))) < m""")
 def utility_clearance(spark, d):
-    return _clearances(spark, _features(spark, d, 8))
-
-
-@query(None)
-def utility_clearance_whole(spark, d):
     return _clearances(spark, _features(spark, d))
 
 
@@ -608,14 +581,13 @@ def ground_height(spark, d):
     return f.where("z < -0.25").select("vec_id", F.round("z", 6).alias("z"))
 
 
-@query(f"""WITH f AS ({_E}), s AS (SELECT vec_id, label, e, e[1] AS x1, e[2] AS y1, e[3] AS x2, e[4] AS y2 FROM f), c AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.e AS ae, b.e AS be, (a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1) AS d, (b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1) AS t, (b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1) AS u FROM s a JOIN s b ON a.label = 0 AND b.label = 1)
-SELECT a_id, b_id, round(abs((CASE WHEN t / d <= 0.5 THEN ae[1] ELSE ae[4] END) - (CASE WHEN u / d <= 0.5 THEN be[1] ELSE be[4] END)), 6) AS gap FROM c WHERE d <> 0 AND t / d > 0 AND t / d < 1 AND u / d > 0 AND u / d < 1""")
-def power_gap(spark, d):
-    return _gaps(_features(spark, d, 2))
+_Z = "list_min(list_transform(range(0, 32), lambda k: {{'d': power({0}[2*k+1] - x, 2) + power({0}[2*k+2] - y, 2), 'z': {0}[(3*k)%64+1]}})).z"
 
 
-@query(None)
-def power_gap_whole(spark, d):
+@query(f"""WITH f AS ({_E}), s AS (SELECT vec_id, label, e, e[k] AS x1, e[k+1] AS y1, e[k+2] AS x2, e[k+3] AS y2 FROM f, (SELECT range AS k FROM range(1, 62, 2))), c AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.e AS ae, b.e AS be, a.x1, a.y1, a.x2, a.y2, (a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1) AS d, (b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1) AS t, (b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1) AS u FROM s a JOIN s b ON a.label = 0 AND b.label = 1),
+p AS (SELECT a_id, b_id, ae, be, x1 + t / d * (x2 - x1) AS x, y1 + t / d * (y2 - y1) AS y FROM c WHERE d <> 0 AND t / d > 0 AND t / d < 1 AND u / d > 0 AND u / d < 1)
+SELECT a_id, b_id, round(min(abs({_Z.format("ae")} - {_Z.format("be")})), 6) AS gap FROM p GROUP BY 1, 2""")
+def power_gap(spark, d):
     return _gaps(_features(spark, d))
 
 
@@ -623,13 +595,8 @@ def _gaps(f):
     return G.height_gaps(f.where("label = 0"), f.where("label = 1"), 0.2, [], ("vec_id", "vec_id")).select("a_id", "b_id", F.round("gap", 6).alias("gap"))
 
 
-@query(f"SELECT vec_id FROM ({_E}) WHERE {_LEN} > 5.5 AND vec_id % 2 = 0")
+@query(f"SELECT vec_id FROM ({_E}) WHERE {_LEN} > 5.5")
 def grounding(spark, d):
-    return A.over_limit(_features(spark, d).where("vec_id % 2 = 0"), geo.line_length(F.col("coords")), F.lit(5.5)).select("vec_id")
-
-
-@query(None)
-def grounding_whole(spark, d):
     return A.over_limit(_features(spark, d), geo.line_length(F.col("coords")), F.lit(5.5)).select("vec_id")
 
 
@@ -681,3 +648,7 @@ def dedupe_submissions(spark, d):
     e = _t(spark, d, "events").withColumn("content", F.sha2(F.concat_ws("\u0001", F.col("user_id").cast("string"), "event_type", "props"), 256))
     return e.groupBy("content", "user_id", "event_type", "props").agg(F.min("event_id").alias("event_id")).drop("content")
 
+
+#: Other names of queries that once took part of each line or text under the shorter name.
+for _name in ("fill_down", "coverage", "line_crossing", "min_distance", "utility_clearance", "power_gap", "grounding"):
+    QUERIES[f"{_name}_whole"], ORACLE[f"{_name}_whole"] = QUERIES[_name], ORACLE[_name]

@@ -101,13 +101,23 @@ def contains_strict(ring: Column, x: Column, y: Column) -> Column:
     return inside & ~F.exists(segments(closed), on)
 
 
-def segment_intersection(a: Column, b: Column) -> Column:
-    """The point where two segments cross inside both, as (x, y); null if they don't, or lie along each other."""
+def _places(a, b) -> tuple[Column, Column]:
+    """Where two segments (x1, y1, x2, y2) meet, as shares of their lengths; null if they are parallel."""
     dx1, dy1, dx2, dy2 = a["x2"] - a["x1"], a["y2"] - a["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]
-    d = dx1 * dy2 - dy1 * dx2
-    t = ((b["x1"] - a["x1"]) * dy2 - (b["y1"] - a["y1"]) * dx2) / F.nullif(d, F.lit(0.0))
-    u = ((b["x1"] - a["x1"]) * dy1 - (b["y1"] - a["y1"]) * dx1) / F.nullif(d, F.lit(0.0))
-    return F.when((t > 0) & (t < 1) & (u > 0) & (u < 1), F.struct((a["x1"] + t * dx1).alias("x"), (a["y1"] + t * dy1).alias("y")))
+    d = F.nullif(dx1 * dy2 - dy1 * dx2, F.lit(0.0))
+    return ((b["x1"] - a["x1"]) * dy2 - (b["y1"] - a["y1"]) * dx2) / d, ((b["x1"] - a["x1"]) * dy1 - (b["y1"] - a["y1"]) * dx1) / d
+
+
+def segments_cross(a, b) -> Column:
+    """Whether two segments cross inside both. It is cheap, and made for a join's condition."""
+    t, u = _places(a, b)
+    return (t > 0) & (t < 1) & (u > 0) & (u < 1)
+
+
+def segment_intersection(a, b) -> Column:
+    """The point where two segments cross inside both, as (x, y); null if they don't, or lie along each other."""
+    t, _ = _places(a, b)
+    return F.when(segments_cross(a, b), F.struct((a["x1"] + t * (a["x2"] - a["x1"])).alias("x"), (a["y1"] + t * (a["y2"] - a["y1"])).alias("y")))
 
 
 def has_z(coords: Column) -> Column:
@@ -141,6 +151,14 @@ def reproject(coords: Column, src: Column, dst: str) -> Column:
     return coords
 
 
+def is_box(ring: Column) -> Column:
+    """Whether a ring of four vertices is an axis-parallel box: each vertex on a corner of its bounding box, and the ring's area more than half the box's."""
+    box, closed = bbox(ring), F.concat(ring, F.slice(ring, 1, 1))
+    corner = F.forall(ring, lambda p: ((p["x"] == box["x0"]) | (p["x"] == box["x1"])) & ((p["y"] == box["y0"]) | (p["y"] == box["y1"])))
+    twice = F.abs(F.aggregate(segments(closed), F.lit(0.0), lambda acc, s: acc + s["x1"] * s["y2"] - s["x2"] * s["y1"]))
+    return F.coalesce((F.size(ring) == 4) & corner & (twice > 1.5 * (box["x1"] - box["x0"]) * (box["y1"] - box["y0"])), F.lit(False))
+
+
 def _spans(ring: np.ndarray, y: float) -> list[tuple[float, float, float]]:
     """Edges of a ring across the height y: (x at y, edge)."""
     a, b = ring, np.roll(ring, -1, axis=0)
@@ -152,14 +170,13 @@ def ring_overlap(p: np.ndarray, q: np.ndarray) -> float:
     """Area that two rings share: slabs between all heights where an edge starts or two edges cross; within a slab edges don't cross, so the shared
     area is a sum of trapezoids, exact from the middle of the slab."""
     heights = set(p[:, 1]) | set(q[:, 1])
-    for ax, bx in zip(p, np.roll(p, -1, axis=0), strict=True):
-        for cx, dx in zip(q, np.roll(q, -1, axis=0), strict=True):
-            r, s = bx - ax, dx - cx
-            d = r[0] * s[1] - r[1] * s[0]
-            if d:
-                t, u = ((cx - ax)[0] * s[1] - (cx - ax)[1] * s[0]) / d, ((cx - ax)[0] * r[1] - (cx - ax)[1] * r[0]) / d
-                if 0 <= t <= 1 and 0 <= u <= 1:
-                    heights.add(ax[1] + t * r[1])
+    r, t = np.roll(p, -1, axis=0) - p, np.roll(q, -1, axis=0) - q
+    d = r[:, None, 0] * t[None, :, 1] - r[:, None, 1] * t[None, :, 0]
+    gap = q[None] - p[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        u, v = (gap[..., 0] * t[None, :, 1] - gap[..., 1] * t[None, :, 0]) / d, (gap[..., 0] * r[:, None, 1] - gap[..., 1] * r[:, None, 0]) / d
+        met = (d != 0) & (u >= 0) & (u <= 1) & (v >= 0) & (v <= 1)
+        heights |= set((p[:, None, 1] + u * r[:, None, 1])[met].tolist())
     levels, area = sorted(heights), 0.0
     for lo, hi in zip(levels[:-1], levels[1:], strict=True):
         mid, runs = (lo + hi) / 2, []

@@ -92,15 +92,28 @@ def in_domain(values: DataFrame, column: str, domain: DataFrame, entry: str) ->
     return left.join(F.broadcast(known), F.contains(u, F.col("_d")) | F.contains(F.col("_d"), u) | (F.split(u, " ")[0] == F.split(F.col("_d"), " ")[0]), "left_anti")
 
 
-def longest_in_text(texts: DataFrame, id_col: str, text_col: str, codes: DataFrame, code_col: str, words: int) -> DataFrame:
-    """(id, code): for each text the longest code, a phrase of at least `words` words, that it contains. Texts and codes meet on the code's first words,
-    and containment is then tested, so no text meets all codes."""
+def longest_in_text(texts: DataFrame, id_col: str, text_col: str, codes: DataFrame, code_col: str, words: int = 4) -> DataFrame:
+    """(id, code): for each text the longest code that it contains, wherever it begins or ends. Texts and codes meet on runs of words: a code's words
+    but the first and the last, up to `words` of them, stand whole in every text that contains it. Codes of one or two words meet on their first characters, up to
+    three. Containment is then tested, so no text meets all codes."""
     split = lambda c: F.filter(F.split(F.regexp_replace(c, r"\s+", " "), " "), lambda x: x != "")
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(c, i, words), " ")))
-    heads = codes.select(F.col(code_col).alias("code"), split(F.col(code_col)).alias("_w")).where(F.size("_w") >= words).select("code", F.xxhash64(F.array_join(F.slice("_w", 1, words), " ")).alias("_h"))
-    worded = texts.select(F.col(id_col), F.col(text_col).alias("_t"), split(F.col(text_col)).alias("_w"), F.monotonically_increasing_id().alias("_row")).where("_row >= 0")
-    seen = worded.select(id_col, "_t", F.explode(F.array_distinct(grams(F.col("_w")))).alias("_h"))
-    met = seen.join(F.broadcast(heads), "_h").where(F.contains("_t", F.col("code")))
+    listed = codes.select(F.col(code_col).alias("code")).where("code <> ''").distinct().withColumn("_w", split(F.col("code")))
+    inner = F.greatest(F.lit(0), F.least(F.size("_w") - 2, F.lit(words)))
+    key = F.when(inner > 0, F.array_join(F.slice("_w", 2, inner), " ")).otherwise(F.substring("code", 1, 3))
+    heads = listed.select("code", F.when(inner > 0, inner).otherwise(-F.least(F.char_length("code"), F.lit(3))).alias("_k"), F.xxhash64(key).alias("_h"))
+    kinds = sorted(r[0] for r in heads.select("_k").distinct().collect())  # at most words + 3
+
+    def grams(k: int) -> Column:
+        if k > 0:
+            n, part = F.size("_w") - k + 1, lambda i: F.array_join(F.slice("_w", i, k), " ")
+        else:
+            n, part = F.char_length("_t") + k + 1, lambda i: F.substring(F.col("_t"), i, F.lit(-k))
+        runs = F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(part(i)))))
+        return F.coalesce(F.transform(runs, lambda h: F.struct(F.lit(k).alias("_k"), h.alias("_h"))), F.array().cast("array<struct<_k:int,_h:bigint>>"))
+
+    worded = texts.select(F.col(id_col), F.col(text_col).alias("_t"), F.explode(F.array(split(F.col(text_col)))).alias("_w"))  # words are cut once a row
+    seen = worded.select(id_col, "_t", F.explode(F.concat(F.array().cast("array<struct<_k:int,_h:bigint>>"), *[grams(k) for k in kinds])).alias("_g")).select(id_col, "_t", "_g.*")
+    met = seen.join(heads, ["_k", "_h"]).where(F.contains("_t", F.col("code")))
     return met.groupBy(id_col).agg(F.max_by("code", F.struct(F.char_length("code"), "code")).alias("code"))
 
 

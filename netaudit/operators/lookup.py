@@ -35,12 +35,13 @@ def construction_kb(procedures: DataFrame, materials: DataFrame, object_type: st
     return p, materials.where(F.col("material_code") == material_code) if material_code else materials
 
 
-def fiber_sheets(sheets: DataFrame, most: int = 1000) -> DataFrame:
-    return sheets.where(F.col("sheet").contains("纤芯连接与分配") | F.lower("sheet").rlike("fiber|fibre|纤芯") | F.col("sheet").rlike("^(SRO|BPE|PBO)[-_]")).where(F.col("row_no") <= most)
+def fiber_sheets(sheets: DataFrame) -> DataFrame:
+    """All rows of the sheets that allocate cores."""
+    return sheets.where(F.col("sheet").contains("纤芯连接与分配") | F.lower("sheet").rlike("fiber|fibre|纤芯") | F.col("sheet").rlike("^(SRO|BPE|PBO)[-_]"))
 
 
-def bom_codes(sheets: DataFrame, most: int = 5000) -> DataFrame:
+def bom_codes(sheets: DataFrame) -> DataFrame:
     """Material codes of bill sheets: the column whose header holds CODE or 编码, else the first."""
-    bill = sheets.where(F.col("sheet").rlike("(?i)BOM|物料") & (F.col("row_no") <= most))
+    bill = sheets.where(F.col("sheet").rlike("(?i)BOM|物料"))
     head = bill.where("row_no = 1").select("project_id", "sheet", F.coalesce(F.nullif(F.array_position(F.transform("cells", lambda c: F.upper(c).contains("CODE") | c.contains("编码")), F.lit(True)), F.lit(0)), F.lit(1)).cast("int").alias("at"))
     return bill.where("row_no > 1").join(head, ["project_id", "sheet"]).select("project_id", F.trim(F.get("cells", F.col("at") - 1)).alias("code")).where("code <> ''").distinct()

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netaudit.functions import geo
 
+def once(rows: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
+    """The kept columns and a value as a generated column, which is worked out once a row however often it is used afterwards."""
+    return rows.select(*keep, F.explode(F.array(value)).alias(name))
+
+
 def vertices(rows: DataFrame, keys: list[str], coords: str = "coords") -> DataFrame:
     return rows.select(*keys, F.posexplode(coords).alias("at", "p")).select(*keys, "at", "p.*")
 
 
 def segment_rows(rows: DataFrame, keys: list[str], coords: str = "coords") -> DataFrame:
-    return rows.select(*keys, F.posexplode(geo.segments(F.col(coords))).alias("at", "s")).select(*keys, "at", "s.*")
+    return once(rows, coords, F.col(coords), *keys).select(*keys, F.posexplode(geo.segments(F.col(coords))).alias("at", "s")).select(*keys, "at", "s.*")
 
 
 def near_points(a: DataFrame, b: DataFrame, size: float, keys: list[str], metric=None) -> DataFrame:
@@ -28,12 +33,27 @@ def near_points(a: DataFrame, b: DataFrame, size: float, keys: list[str], metric
     return met.where(F.col("d") <= size).drop("_cx", "_cy")
 
 
+def near_on_earth(a: DataFrame, b: DataFrame, metres: float, keys: list[str]) -> DataFrame:
+    """As near_points for degrees of longitude and latitude (x, y), at most so many metres apart, d in metres. Cells are bands of latitude, and each
+    band is cut by its own step of longitude, so that cells cover `metres` at any latitude; at a pole one cell is the whole band. Pairs across the 180th meridian are not met."""
+    high = metres / 110500.0
+    # the least cosine in a band and its neighbours; a degree of longitude is at least 111319 m times the cosine
+    wide = lambda cy: F.least(F.lit(400.0), F.lit(metres) / (111319.0 * F.greatest(F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs((cy - 1) * high), F.abs((cy + 2) * high))))), F.lit(1e-12))))
+    left = a.withColumn("_cy", F.floor(F.col("y") / high)).withColumn("_cx", F.floor(F.col("x") / wide(F.col("_cy"))))
+    right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys]).withColumn("_by", F.floor(F.col("b_y") / high)).withColumn("_cy", F.explode(F.sequence(F.col("_by") - 1, F.col("_by") + 1)))
+    at = F.floor(F.col("b_x") / wide(F.col("_cy")))
+    right = right.withColumn("_cx", F.explode(F.sequence(at - 1, at + 1))).drop("_by")
+    met = left.join(right, [*keys, "_cx", "_cy"]).withColumn("d", geo.geodesic_m(F.col("x"), F.col("y"), F.col("b_x"), F.col("b_y")))
+    return met.where(F.col("d") <= metres).drop("_cx", "_cy")
+
+
 def box_pairs(a: DataFrame, b: DataFrame, size: float, keys: list[str], ids: tuple[str, str], coords: str = "coords", grow: float = 0.0) -> DataFrame:
     """(keys…, ids, a_coords, b_coords) whose boxes, grown by `grow`, touch. A pair that shares several cells is taken in the first of them only, the cell of
     the lower left corner of what the boxes share, so no distinct step is needed."""
 
     def celled(df: DataFrame, id_col: str, name: str) -> DataFrame:
-        box = geo.bbox(F.col(coords))
+        df = once(once(df, coords, F.col(coords), *keys, id_col), "_box", geo.bbox(F.col(coords)), *keys, id_col, coords)
+        box = F.col("_box")
         rows = df.select(*keys, F.col(id_col).alias(f"{name}_id"), F.col(coords).alias(f"{name}_coords"), (box["x0"] - grow).alias(f"{name}x0"), (box["y0"] - grow).alias(f"{name}y0"), (box["x1"] + grow).alias(f"{name}x1"), (box["y1"] + grow).alias(f"{name}y1"))
         return rows.withColumn("_c", F.explode(geo.cells(F.col(f"{name}x0"), F.col(f"{name}y0"), F.col(f"{name}x1"), F.col(f"{name}y1"), size))).withColumn("cx", F.col("_c.cx")).withColumn("cy", F.col("_c.cy")).drop("_c")
 
@@ -43,18 +63,23 @@ def box_pairs(a: DataFrame, b: DataFrame, size: float, keys: list[str], ids: tup
     return met.where(touch & first).select(*keys, "a_id", "b_id", "a_coords", "b_coords", "ax0", "ay0", "ax1", "ay1", "bx0", "by0", "bx1", "by1")
 
 
-def crossings(a: DataFrame, b: DataFrame, size: float, keys: list[str], ids: tuple[str, str], coords: str = "coords") -> DataFrame:
-    """(keys…, a_id, b_id, x, y): points where a segment of a crosses one of b, interior of both. Segments, not lines, are put in cells; each crossing is
+def crossings(a: DataFrame, b: DataFrame, size: float, keys: list[str], ids: tuple[str, str], coords: str = "coords", ordered: bool = False) -> DataFrame:
+    """(keys…, a_id, b_id, x, y): points where a segment of a crosses one of b, interior of both; `ordered` takes only pairs with a_id < b_id. Segments, not lines, are put in cells; each crossing is
     found in its own cell only."""
 
+    ends = ("x1", "y1", "x2", "y2")
+
     def celled(df: DataFrame, id_col: str, name: str) -> DataFrame:
         s = segment_rows(df.select(*keys, F.col(id_col).alias(f"{name}_id"), F.col(coords)), [*keys, f"{name}_id"], coords)
         box = (F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"))
         s = s.withColumn("_c", F.explode(geo.cells(*box, size)))
-        return s.select(*keys, f"{name}_id", F.struct("x1", "y1", "x2", "y2").alias(f"{name}s"), F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy"))
+        return s.select(*keys, f"{name}_id", *[F.col(c).alias(f"{name}{c}") for c in ends], F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy"))
 
-    met = celled(a, ids[0], "a").join(celled(b, ids[1], "b"), [*keys, "cx", "cy"]).withColumn("p", geo.segment_intersection(F.col("as"), F.col("bs")))
-    return met.where(F.col("p").isNotNull() & (F.col("cx") == F.floor(F.col("p.x") / size)) & (F.col("cy") == F.floor(F.col("p.y") / size))).select(*keys, "a_id", "b_id", "p.*")
+    met = celled(a, ids[0], "a").join(celled(b, ids[1], "b"), [*keys, "cx", "cy"]).where("a_id < b_id" if ordered else "true")
+    met = met.where(geo.segments_cross({c: F.col(f"a{c}") for c in ends}, {c: F.col(f"b{c}") for c in ends}))
+    pair = [{c: F.col(f"{n}{c}") for c in ends} for n in "ab"]
+    met = met.select(*keys, "a_id", "b_id", "cx", "cy", F.explode(F.array(geo.segment_intersection(*pair))).alias("p"))  # worked out once a pair
+    return met.where((F.col("cx") == F.floor(F.col("p.x") / size)) & (F.col("cy") == F.floor(F.col("p.y") / size))).select(*keys, "a_id", "b_id", "p.*")
 
 
 def without_near(points: DataFrame, others: DataFrame, size: float, keys: list[str], id_cols: list[str]) -> DataFrame:
@@ -103,15 +128,22 @@ def vertices_outside(lines: DataFrame, zones: DataFrame, line_ref: str, zone_cod
 
 
 def overlaps(polygons: DataFrame, size: float, keys: list[str], id_col: str, least: float = 1e-9) -> DataFrame:
-    """(keys…, a_id, b_id, area) of polygons that share more than `least`, a before b."""
-    met = box_pairs(polygons, polygons, size, keys, (id_col, id_col)).where("a_id < b_id")
-    return met.withColumn("area", geo.overlap_area(geo.flat(F.col("a_coords")), geo.flat(F.col("b_coords")))).where(F.col("area") > least).select(*keys, "a_id", "b_id", "area")
-
-
-def closer_than(a: DataFrame, b: DataFrame, limit: float, keys: list[str], ids: tuple[str, str], metric=None, size: float | None = None) -> DataFrame:
-    """(keys…, a_id, b_id, d): pairs of geometries with vertices nearer than `limit`, with the least distance."""
+    """(keys…, a_id, b_id, area) of polygons that share more than `least`, a before b. Of two rings that are boxes
+    the shared area is a product of sides; others go to overlap_area."""
+    marked = once(once(polygons, "coords", F.col("coords"), *keys, id_col), "_full", geo.is_box(F.col("coords")), *keys, id_col, "coords")
+    full, other = marked.where("_full"), marked.where("NOT _full")
+    both = box_pairs(full, full, size, keys, (id_col, id_col)).where("a_id < b_id")
+    both = both.withColumn("area", (F.least("ax1", "bx1") - F.greatest("ax0", "bx0")) * (F.least("ay1", "by1") - F.greatest("ay0", "by0"))).select(*keys, "a_id", "b_id", "area")
+    mixed = box_pairs(other, full, size, keys, (id_col, id_col)).unionByName(box_pairs(other, other, size, keys, (id_col, id_col)).where("a_id < b_id"))
+    area = geo.overlap_area(geo.flat(F.col("a_coords")), geo.flat(F.col("b_coords"))).alias("area")
+    mixed = mixed.select(*keys, F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), area)
+    return both.unionByName(mixed).where(F.col("area") > least)
+
+
+def closer_than(a: DataFrame, b: DataFrame, limit: float, keys: list[str], ids: tuple[str, str], on_earth: bool = False) -> DataFrame:
+    """(keys…, a_id, b_id, d): pairs of geometries with vertices nearer than `limit`, with the least distance; on_earth: in metres between degrees."""
     pa, pb = vertices(a.select(*keys, F.col(ids[0]).alias("id"), "coords"), [*keys, "id"]).drop("z", "at"), vertices(b.select(*keys, F.col(ids[1]).alias("id"), "coords"), [*keys, "id"]).drop("z", "at")
-    met = near_points(pa, pb, size or limit, keys) if metric is None else near_points(pa, pb, size or limit, keys).withColumn("d", metric(F.col("x"), F.col("y"), F.col("b_x"), F.col("b_y")))
+    met = near_on_earth(pa, pb, limit, keys) if on_earth else near_points(pa, pb, limit, keys)
     return met.groupBy(*keys, F.col("id").alias("a_id"), F.col("b_id")).agg(F.min("d").alias("d")).where(F.col("d") < limit)
 
 
