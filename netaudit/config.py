@@ -64,3 +64,63 @@ RESERVE = {"pcp": 1.35, "splice": 7.5, "manhole": 0.75, "pole": 7.5, "endpoint":
 PACK = {"500002050": 2.0, "200001033": 500.0}
 EXACT = ("500000510",)
 CORES_PER_PCP, BEND_PERMILLE = 4, 10
+
+#: Fixed values of sheets: extra layer sheets, headers of rule sheets, words of file names.
+BOM_SHEET, FIBER_SHEET = "BOM物料", "纤芯连接与分配"
+RULE_SHEETS = ("校验规则", "规则")
+RULE_FILES, PROCEDURE_FILES = ("规则", "字段说明"), ("规程", "知识库")
+GIS_SUFFIXES, SHEET_SUFFIXES = ("qgs", "qgz", "shp", "gpkg"), ("xlsx", "xls")
+CASE_DEVICES = ("BOITE", "SITE", "PTECH", "IMB", "INFRASTRUCTURE", "ZNRO", "ZPM")
+
+#: Official field of a header. In CABLE sheets 类型 is TYPE_CABLE.
+HEADER_ALIASES = {
+    "编码": "CODE", "编号": "CODE", "代码": "CODE", "起点": "ORIGINE", "上游": "ORIGINE", "终点": "EXTREMITE", "下游": "EXTREMITE",
+    "容量": "CAPACITE", "类型": "TYPE", "型号": "TYPE", "数量": "QTY", "已用纤芯": "NB_FIBRE_UTIL", "纤芯数": "NB_FIBRE_UTIL",
+    "长度": "LONGUEUR", "高度": "HAUTEUR_APPUI", "MATERIAL CODE": "CODE", "物料编码": "CODE", "物料名称": "NAME",
+    "归属PM": "REF_PM", "所属PM": "REF_PM", "所属NRO": "REF_NRO", "状态": "STATUT", "生产商": "FABRIQUANT", "产品编号": "REF_PRODUIT",
+}
+
+#: Full name of a field whose name a shapefile cuts to ten characters.
+TRUNCATED = {
+    "CODE_POSTA": "CODE_POSTAL", "NB_LOGEMEN": "NB_LOGEMENT", "NB_FIBRE_U": "NB_FIBRE_UTIL", "NB_FIBRE_D": "NB_FIBRE_DISP", "NB_CASSETT": "NB_CASSETTES_MAX",
+    "CABLE_AMON": "CABLE_AMONT", "PROPRIETAI": "PROPRIETAIRE", "GESTIONNAI": "GESTIONNAIRE", "REF_PRODUI": "REF_PRODUIT", "NB_FIBRE_": "NB_FIBRE_UTIL",
+    "NUMERO_VOI": "NUMERO_VOIE", "COMPLEME_1": "COMPLEMENT_VOIE", "NOM_BATIME": "NOM_BATIMENT", "TYPE_BATIM": "TYPE_BATIMENT", "TYPE_CLIEN": "TYPE_CLIENT",
+    "RACCORDEME": "RACCORDEMENT", "NUM_GESTIO": "NUM_GESTIONNAIRE", "COL_MONTAN": "COL_MONTANTE", "SOUS_SOL_C": "SOUS_SOL_COMMUN", "HAUTEUR_AP": "HAUTEUR_APPUI",
+    "EFFORT_APP": "EFFORT_APPUI", "NB_BOITIER": "NB_BOITIERS", "CODE_PT": "CODE_PTC",
+}
+
+#: Greatest lengths that override those of the field specifications.
+LENGTH_OVERRIDES = {"CABLE_AMONT": 30}
+
+#: Material codes where a project has no official list.
+MATERIAL_CODES = (
+    "500003800", "500003890", "500002050", "500002054", "500002142", "500000510", "200000290", "200000273", "200000288", "500001742", "500002155", "500002480",
+    "500002337", "500002159", "500004729", "200000185", "200001033", "200000149", "200000148", "200000172", "200000145", "500001103", "200000690", "500002107",
+    "500001519", "500002108", "500002108-1", "500001887", "500001853",
+)
+
+#: Source fields, in order of preference, of the unified engineering objects.
+_REUSE_FIELDS = ("REUSE", "REUTILISATION", "REUSE_FLAG", "REUTILISE")
+ENGINEERING_OBJECTS = {
+    "cable": {
+        "code": ("CODE", "CABLE_CODE"), "longueur": ("LONGUEUR", "LGR_REELLE", "LGR_CARTO"), "capacite": ("CAPACITE", "CAPACITY", "FIBER_COUNT"),
+        "type": ("TYPE_CABLE", "TYPE"), "nb_fibre_util": ("NB_FIBRE_U", "NB_FIBRE_UTIL", "NB_FIBRE_D", "fiber_count"), "hauteur_appui": (), "reuse": _REUSE_FIELDS,
+    },
+    "boite": {
+        "code": ("CODE", "BOITE_CODE", "ID"), "longueur": (), "capacite": ("CAPACITE", "CAPACITY"), "type": ("TYPE", "TYPE_BOITE", "BOXTYPE", "TYPE_FONC", "FONCTION"),
+        "nb_fibre_util": ("NB_FIBRE_U", "NB_FIBRE_UTIL", "NBFUTILE"), "hauteur_appui": ("HAUTEUR_AP", "HAUTEUR_APPUI", "HAUTEUR"), "reuse": _REUSE_FIELDS,
+    },
+    "ptech": {
+        "code": ("CODE", "PTECH_CODE"), "longueur": (), "capacite": ("CAPACITE", "CAPACITY"), "type": ("TYPE",),
+        "nb_fibre_util": ("NB_FIBRE_U", "NB_FIBRE_UTIL"), "hauteur_appui": ("HAUTEUR_AP", "HAUTEUR_APPUI"), "reuse": _REUSE_FIELDS,
+    },
+    "site": {
+        "code": ("CODE", "SITE_CODE"), "longueur": (), "capacite": ("CAPACITE", "CAPACITY", "NB_PRISES"), "type": ("TYPE",),
+        "nb_fibre_util": ("NB_FIBRE_U", "NB_FIBRE_UTIL"), "hauteur_appui": (), "reuse": _REUSE_FIELDS,
+    },
+    "infrastructure": {
+        "code": ("CODE", "INFRA_CODE"), "longueur": ("LONGUEUR", "LGR_REELLE", "LGR_CARTO"), "capacite": ("CAPACITE", "CAPACITY"), "type": ("TYPE", "TYPE_LOG"),
+        "nb_fibre_util": ("NB_FIBRE_U", "NB_FIBRE_UTIL"), "hauteur_appui": (), "reuse": _REUSE_FIELDS,
+    },
+}
+NUMERIC_FIELDS = ("longueur", "capacite", "nb_fibre_util", "hauteur_appui")

@@ -86,6 +86,14 @@ def workbook_summary(sheets: DataFrame) -> DataFrame:
     return joined.groupBy(*keys).agg(F.max(F.when(F.col("row_no") == F.col("header_row"), F.col("cells"))).alias("header"), F.count_if(F.col("row_no") > F.col("header_row")).alias("n_rows"))
 
 
+def read_sheets_multi(sheets: DataFrame, names: list[str], limit: int = 200) -> DataFrame:
+    """The records of the chosen sheets within `limit` rows below their header, with each sheet's total."""
+    keys, chosen = ["project_id", "file", "sheet"], sheets.where(F.col("sheet").isin(*names))
+    totals = workbook_summary(chosen).select(*keys, F.col("n_rows").alias("total"))
+    head = detect_header(chosen, keys, "row_no", "cells")
+    return sheet_records(chosen).join(head, keys).where(F.col("row_no") - F.col("header_row") <= limit).drop("header_row").join(totals, keys)
+
+
 def read_domain_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Distinct first entries, parted by ; or , of reference lists; the first line of a file is a header."""
     lines = spark.read.option("header", True).option("sep", "\u0001").csv(paths)
