@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netaudit.functions import geo
+from netaudit.functions.relate import relation_of
+
 
 def once(rows: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
     """The kept columns and a value as a generated column, which is worked out once a row however often it is used afterwards."""
@@ -170,3 +172,12 @@ def ends_match(lines: DataFrame, start: str, end: str, devices: DataFrame, code:
     near = lambda p, n: metric(p["x"], p["y"], F.col(f"{n}x"), F.col(f"{n}y")) <= tol
     return met.where(~((near(a, "s") & near(b, "e")) | (near(a, "e") & near(b, "s")))).select(lines["*"])
 
+
+
+def spatial_pairs(a: DataFrame, b: DataFrame, relation: str, size: float, keys: list[str], id_col: str) -> DataFrame:
+    """(keys…, a_id, b_id) of rows (id, geom_type, coords) of a and b of which the first intersects, touches, lies within or crosses the second. Boxes meet in
+    cells, so only pairs whose boxes touch are judged."""
+    kind = lambda df: df.where(F.size("coords") > 0).select(*keys, F.struct(id_col, "geom_type").alias("_id"), "coords")
+    met = box_pairs(kind(a), kind(b), size, keys, ("_id", "_id"))
+    holds = relation_of(relation)(F.col("a_id.geom_type"), geo.flat(F.col("a_coords")), F.col("b_id.geom_type"), geo.flat(F.col("b_coords")))
+    return met.where(holds).select(*keys, F.col(f"a_id.{id_col}").alias("a_id"), F.col(f"b_id.{id_col}").alias("b_id"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netaudit.driver_queries import _t, query
+from netaudit.driver_queries import _E, _RECT, _features, _rectangles, _t, query
 from netaudit.operators import sheets as S
+from netaudit.operators import spatial as G
 
 #: Line items as rows of sheets: a project a supplier, three sheets each, of which one is an official layer, one an official layer by its name's end and one a lookup table.
 _ITEMS = """(SELECT l_suppkey::VARCHAR AS project_id, ['BOITE', 'PLAN_CABLE', 'L_TYPE'][l_linenumber % 3 + 1] AS sheet, row_number() OVER (PARTITION BY l_suppkey, l_linenumber % 3 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) + 2 AS row_no,
-l_partkey::VARCHAR AS code, l_shipmode AS kind, CASE WHEN l_returnflag = 'N' THEN ' ' ELSE l_returnflag END AS flag FROM lineitem)"""
+l_partkey::VARCHAR AS code, l_linestatus AS kind, CASE WHEN l_returnflag = 'N' THEN ' ' ELSE l_returnflag END AS flag FROM lineitem)"""
 
 
 def _item_sheets(spark, d):
@@ -19,7 +20,7 @@ def _item_sheets(spark, d):
     w = Window.partitionBy("l_suppkey", third).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     base = _t(spark, d, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("project_id"), F.lit("f").alias("file"), F.when(third == 0, "BOITE").when(third == 1, "PLAN_CABLE").otherwise("L_TYPE").alias("sheet"), (F.row_number().over(w) + 2).alias("row_no"),
-        F.array(F.col("l_partkey").cast("string"), "l_shipmode", F.when(F.col("l_returnflag") == "N", " ").otherwise(F.col("l_returnflag")), F.lit("last")).alias("cells"),
+        F.array(F.col("l_partkey").cast("string"), "l_linestatus", F.when(F.col("l_returnflag") == "N", " ").otherwise(F.col("l_returnflag")), F.lit("last")).alias("cells"),
     )
     heads = base.select("project_id", "file", "sheet").distinct().select("*", F.explode(F.array(F.struct(F.lit(1).alias("row_no"), F.array(F.lit(" ")).alias("cells")), F.struct(F.lit(2).alias("row_no"), F.array(*map(F.lit, ("编码", "类型", "状态", ""))).alias("cells")))).alias("h"))
     return base.unionByName(heads.select("project_id", "file", "sheet", "h.*"))
@@ -64,7 +65,7 @@ def _part_features(spark, d):
     """Parts as features: the project is the brand, the layer one of several, of which some are official ones."""
     layers = F.array(*map(F.lit, ("CABLE_A", "CABLE_B", "BOITE", "PTECH_1", "LABEL")))
     k = (F.col("p_partkey") % 5).cast("int")
-    props = F.create_map(F.lit("CODE"), F.concat(F.lit("C"), F.col("p_partkey").cast("string")), F.lit("CAPACITE"), (F.col("p_size") / 2).cast("string"), F.lit("TYPE"), "p_container", F.lit("REUSE"), F.when(F.col("p_size") > 25, "Oui").otherwise(" "))
+    props = F.create_map(F.lit("CODE"), F.concat(F.lit("C"), F.col("p_partkey").cast("string")), F.lit("CAPACITE"), (F.col("p_size") / 2).cast("string"), F.lit("TYPE"), "p_type", F.lit("REUSE"), F.when(F.col("p_size") > 25, "Oui").otherwise(" "))
     return _t(spark, d, "part").select(F.col("p_brand").alias("project_id"), F.get(layers, k).alias("layer"), k.alias("layer_order"), F.col("p_partkey").cast("string").alias("feature_id"), props.alias("props"))
 
 
@@ -73,7 +74,7 @@ _PARTS = "(SELECT *, p_brand AS project_id, ['CABLE_A', 'CABLE_B', 'BOITE', 'PTE
 
 @query(f"""WITH p AS {_PARTS}, f AS (SELECT *, CASE WHEN layer[1:5] = 'CABLE' THEN 'cable' WHEN layer = 'BOITE' THEN 'boite' WHEN layer = 'PTECH_1' THEN 'ptech' END AS object_type FROM p),
 g AS (SELECT *, min(layer_order) OVER (PARTITION BY project_id, object_type) AS best FROM f WHERE object_type IS NOT NULL)
-SELECT project_id, object_type, object_type || ':C' || p_partkey AS id, 'C' || p_partkey AS code, CASE WHEN p_size % 2 = 0 THEN (p_size // 2)::VARCHAR ELSE (p_size / 2)::VARCHAR END AS capacite, p_container AS type, CASE WHEN p_size > 25 THEN 'yes' END AS reuse FROM g WHERE layer_order = best""")
+SELECT project_id, object_type, object_type || ':C' || p_partkey AS id, 'C' || p_partkey AS code, CASE WHEN p_size % 2 = 0 THEN (p_size // 2)::VARCHAR ELSE (p_size / 2)::VARCHAR END AS capacite, p_type AS type, CASE WHEN p_size > 25 THEN 'yes' END AS reuse FROM g WHERE layer_order = best""")
 def engineering_objects(spark, d):
     return S.engineering_objects(_part_features(spark, d)).select("project_id", "object_type", "id", "code", "capacite", "type", "reuse")
 
@@ -83,7 +84,7 @@ def match_layer(spark, d):
     return S.match_layer(_part_features(spark, d), "cable").select("project_id", "layer", "feature_id")
 
 
-@query(f"""WITH p AS {_PARTS} SELECT project_id, p_partkey::VARCHAR AS feature_id, layer AS source_layer, 'C' || p_partkey AS code, p_size / 2 AS capacity FROM p WHERE layer = 'BOITE'""")
+@query(f"""WITH p AS {_PARTS} SELECT project_id, p_partkey::VARCHAR AS feature_id, layer AS source_layer, 'C' || p_partkey AS code, p_size / 2 AS capacity FROM p WHERE layer = 'BOITE' OR (layer = 'LABEL' AND project_id NOT IN (SELECT project_id FROM p WHERE layer = 'BOITE'))""")
 def to_entity(spark, d):
     return S.to_entity(_part_features(spark, d), "BOITE", {"code": ("code", "string"), "capacity": ("Capacite", "double")}, ("LABEL",)).select("project_id", "feature_id", "source_layer", "code", "capacity")
 
@@ -97,11 +98,11 @@ def pipeline_summary(spark, d):
     return S.pipeline_summary(_part_features(spark, d), manifest)
 
 
-@query("""SELECT coalesce(b.section, o.section) AS section, coalesce(b.key, o.key) AS key, coalesce(o.value, b.value) AS value FROM (SELECT c_nationkey AS section, c_custkey AS key, c_phone AS value FROM customer) b
+@query("""SELECT coalesce(b.section, o.section) AS section, coalesce(b.key, o.key) AS key, coalesce(o.value, b.value) AS value FROM (SELECT c_nationkey AS section, c_custkey AS key, c_mktsegment AS value FROM customer) b
 FULL JOIN (SELECT s_nationkey AS section, s_suppkey AS key, s_name AS value FROM supplier) o ON o.section = b.section AND o.key = b.key""")
 def merge_params(spark, d):
     c, s = _t(spark, d, "customer", "supplier")
-    return S.merge_params(c.select(F.col("c_nationkey").alias("section"), F.col("c_custkey").alias("key"), F.col("c_phone").alias("value")), s.select(F.col("s_nationkey").alias("section"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("value")))
+    return S.merge_params(c.select(F.col("c_nationkey").alias("section"), F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value")), s.select(F.col("s_nationkey").alias("section"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("value")))
 
 
 @query("""WITH i AS (SELECT ['R005', 'R010', 'R019', 'R001', 'R033'][o_orderkey % 5 + 1] AS r, o_orderkey::VARCHAR AS o, o_orderpriority AS m FROM orders) SELECT o AS object_id, 'rule ' || r || ': ' || o || ' - ' || m AS blocking_reason,
@@ -113,10 +114,10 @@ def fix_suggestions(spark, d):
     return S.with_suggestion(issues).select("object_id", "blocking_reason", "fix_suggestion")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey::VARCHAR AS code, p_type AS procedure, p_container AS location, p_name AS name, p_mfgr AS unit FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size <= 25) ON p_partkey = l_partkey""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey::VARCHAR AS code, p_type AS procedure, p_name AS location, p_name AS name, p_brand AS unit FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size <= 25) ON p_partkey = l_partkey""")
 def construction_join(spark, d):
     li, p = _t(spark, d, "lineitem", "part")
-    materials = p.where("p_size <= 25").select(F.col("p_partkey").cast("string").alias("code"), F.col("p_type").alias("procedure"), F.col("p_container").alias("location"), F.col("p_name").alias("name"), F.col("p_mfgr").alias("unit"))
+    materials = p.where("p_size <= 25").select(F.col("p_partkey").cast("string").alias("code"), F.col("p_type").alias("procedure"), F.col("p_name").alias("location"), F.col("p_name").alias("name"), F.col("p_brand").alias("unit"))
     return S.construction_join(li.select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("code")), materials)
 
 
@@ -154,3 +155,15 @@ def case_check(spark, d):
         sheets = both if sheets is None else sheets.unionByName(both)
     known = p.where("p_size <= 40").select(F.col("p_partkey").cast("string").alias("code"))
     return S.check_case(sheets, known).groupBy("project_id", "rule_id", "object").agg(F.count("*").alias("n"))
+
+
+# Pairs of geometries
+
+
+@query(f"""WITH r AS ({_RECT}), p AS (SELECT vec_id, layer, e[1] AS x, e[2] AS y FROM ({_E})) SELECT 'within' AS relation, p.layer, p.vec_id AS a_id, r.vec_id AS b_id FROM p JOIN r ON r.layer = p.layer AND x > x0 AND x < x1 AND y > y0 AND y < y1
+UNION ALL SELECT 'intersects', a.layer, a.vec_id, b.vec_id FROM r a JOIN r b ON a.layer = b.layer AND least(a.x1, b.x1) >= greatest(a.x0, b.x0) AND least(a.y1, b.y1) >= greatest(a.y0, b.y0)""")
+def spatial_pairs(spark, d):
+    rects = _rectangles(spark, d).select("layer", "vec_id", F.lit("polygon").alias("geom_type"), "coords")
+    points = _features(spark, d).select("layer", "vec_id", F.lit("point").alias("geom_type"), F.slice("coords", 1, 1).alias("coords"))
+    inside = G.spatial_pairs(points, rects, "within", 0.2, ["layer"], "vec_id").select(F.lit("within").alias("relation"), "layer", "a_id", "b_id")
+    return inside.unionByName(G.spatial_pairs(rects, rects, "intersects", 0.2, ["layer"], "vec_id").select(F.lit("intersects").alias("relation"), "layer", "a_id", "b_id"))
