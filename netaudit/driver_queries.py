@@ -15,6 +15,7 @@ from netaudit.operators import fields as C
 from netaudit.operators import joins as J
 from netaudit.operators import spatial as G
 from netaudit.operators import windows as W
+from netaudit.streaming.submissions import dedupe_batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -465,16 +466,16 @@ def classify(spark, d):
 # Geometry
 
 
-@query(f"SELECT vec_id, round(e[1], 6) AS x, round(e[2], 6) AS y, 32 AS n FROM ({_E})")
+@query(f"SELECT vec_id, (k - 1)::INTEGER AS at, round(e[2*k-1], 6) AS x, round(e[2*k], 6) AS y FROM ({_E}), (SELECT range AS k FROM range(1, 33))")
 def wkt_roundtrip(spark, d):
-    f = _features(spark, d).select("vec_id", geo.parse_wkt(geo.to_wkt("LINESTRING", F.col("coords"))).alias("c"))
-    return f.select("vec_id", F.round(geo.first_vertex(F.col("c"))["x"], 6).alias("x"), F.round(geo.first_vertex(F.col("c"))["y"], 6).alias("y"), F.size("c").alias("n"))
+    f = _features(spark, d).select("vec_id", F.posexplode(geo.parse_wkt(geo.to_wkt("LINESTRING", F.col("coords")))).alias("at", "p"))
+    return f.select("vec_id", "at", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
-@query(f"SELECT vec_id, round(list_min(e[1:63:2]), 6) AS x0, round(list_max(e[2:64:2]), 6) AS y1 FROM ({_E})")
+@query(f"SELECT vec_id, round(list_min(e[1:63:2]), 6) AS x0, round(list_min(e[2:64:2]), 6) AS y0, round(list_max(e[1:63:2]), 6) AS x1, round(list_max(e[2:64:2]), 6) AS y1 FROM ({_E})")
 def bbox(spark, d):
     b = geo.bbox(F.col("coords"))
-    return _features(spark, d).select("vec_id", F.round(b["x0"], 6).alias("x0"), F.round(b["y1"], 6).alias("y1"))
+    return _features(spark, d).select("vec_id", *[F.round(b[c], 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 _LEN = "list_sum(list_transform(range(1, 32), lambda k: sqrt(power(e[2*k+1] - e[2*k-1], 2) + power(e[2*k+2] - e[2*k], 2))))"
@@ -518,16 +519,16 @@ def breakpoints(spark, d):
     return G.nearest_other(ends, [], ["vec_id", "side"], "label", 0.02).select("vec_id", "side", F.round("d", 6).alias("d")).where("d > 0.02")
 
 
-@query(f"WITH r AS (SELECT label, vec_id, x0, x1, y0, y1 FROM ({_RECT}) WHERE vec_id < 10) SELECT f.vec_id, r.vec_id AS zone FROM ({_E}) f JOIN r ON r.vec_id = f.label WHERE NOT (e[1] > x0 AND e[1] < x1 AND e[2] > y0 AND e[2] < y1)")
+@query(f"WITH r AS (SELECT label, vec_id, x0, x1, y0, y1 FROM ({_RECT})) SELECT f.vec_id, r.vec_id AS zone FROM ({_E}) f JOIN r ON r.vec_id = f.label WHERE NOT (e[1] > x0 AND e[1] < x1 AND e[2] > y0 AND e[2] < y1)")
 def point_in_zone(spark, d):
-    zones = _rectangles(spark, d).where("vec_id < 10").withColumnRenamed("vec_id", "zone")
+    zones = _rectangles(spark, d).withColumnRenamed("vec_id", "zone")
     out = G.point_not_in_own_zone(_features(spark, d, 2).select("vec_id", "x", "y", "label"), zones.select("zone", "coords"), "label", "zone", [])
     return out.select("vec_id", F.col("label").cast("bigint").alias("zone"))
 
 
-@query(f"""WITH r AS (SELECT vec_id AS zone, x0, x1, y0, y1 FROM ({_RECT}) WHERE vec_id < 10), f AS (SELECT f.vec_id, len(list_filter(range(1, 33), lambda k: NOT (e[2*k-1] > x0 AND e[2*k-1] < x1 AND e[2*k] > y0 AND e[2*k] < y1)))::INTEGER AS n_outside FROM ({_E}) f JOIN r ON r.zone = f.label) SELECT * FROM f WHERE n_outside > 0""")
+@query(f"""WITH r AS (SELECT vec_id AS zone, x0, x1, y0, y1 FROM ({_RECT})), f AS (SELECT f.vec_id, len(list_filter(range(1, 33), lambda k: NOT (e[2*k-1] > x0 AND e[2*k-1] < x1 AND e[2*k] > y0 AND e[2*k] < y1)))::INTEGER AS n_outside FROM ({_E}) f JOIN r ON r.zone = f.label) SELECT * FROM f WHERE n_outside > 0""")
 def cable_in_zone(spark, d):
-    zones = _rectangles(spark, d).where("vec_id < 10").select(F.col("vec_id").alias("zone"), "coords")
+    zones = _rectangles(spark, d).select(F.col("vec_id").alias("zone"), "coords")
     return G.vertices_outside(_features(spark, d).select("vec_id", "label", "coords"), zones, "label", "zone", []).select("vec_id", "n_outside")
 
 
@@ -645,8 +646,7 @@ def fiber_alloc(spark, d):
 
 @query("SELECT min(event_id) AS event_id, user_id, event_type, props FROM events GROUP BY user_id, event_type, props")
 def dedupe_submissions(spark, d):
-    e = _t(spark, d, "events").withColumn("content", F.sha2(F.concat_ws("\u0001", F.col("user_id").cast("string"), "event_type", "props"), 256))
-    return e.groupBy("content", "user_id", "event_type", "props").agg(F.min("event_id").alias("event_id")).drop("content")
+    return dedupe_batch(_t(spark, d, "events"), "event_id", ["user_id", "event_type", "props"]).select("event_id", "user_id", "event_type", "props")
 
 
 #: Other names of queries that once took part of each line or text under the shorter name.

@@ -10,7 +10,7 @@ from netaudit.functions import geo
 
 def device_lookup(features: DataFrame, codes: DataFrame, crs: str | None = None) -> DataFrame:
     """The first feature, in layer order, of each wanted code, reprojected if asked."""
-    found = features.join(F.broadcast(codes.select("code").distinct()), features["code"] == codes["code"], "left_semi")
+    found = features.join(codes.select("code"), "code", "left_semi")
     first = found.groupBy("project_id", "code").agg(F.min_by(F.struct("layer", "coords", "crs", "props"), F.struct("layer_order", "feature_seq")).alias("f")).select("project_id", "code", "f.*")
     return first.withColumn("coords", geo.reproject(F.col("coords"), F.col("crs"), crs)) if crs else first
 
@@ -18,7 +18,7 @@ def device_lookup(features: DataFrame, codes: DataFrame, crs: str | None = None)
 def trace(cables: DataFrame, codes: DataFrame) -> DataFrame:
     """Cables that have a wanted code at either end."""
     ends = cables.select("*", F.explode(F.array_distinct(F.array("start_code", "end_code"))).alias("_end"))
-    return ends.join(F.broadcast(codes.select(F.col("code").alias("_end")).distinct()), "_end").withColumnRenamed("_end", "traced")
+    return ends.join(codes.select(F.col("code").alias("_end")).distinct(), "_end").withColumnRenamed("_end", "traced")
 
 
 def cable_length(given: Column, coords: Column) -> Column:

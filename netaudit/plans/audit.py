@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netaudit import config
+from netaudit.functions.values import category_of, severity_of
 from netaudit.operators.aggregates import severity_counts
+from netaudit.operators.sheets import check_case
 from netaudit.plans.rules import RULES, Context, run_all
+from netaudit.schema import ISSUES
 
 ALWAYS = [r for r in RULES if r.startswith(("R-GIS", "R-SAFE"))]
 
@@ -21,17 +24,30 @@ def route(issues: DataFrame, projects: DataFrame) -> DataFrame:
 
 def trace_objects(issues: DataFrame, objects: DataFrame) -> DataFrame:
     """Issues with object_ref: the longest code of an object (project_id, code, ref) among the code-like words of the issue's object and message."""
-    word = F.explode_outer(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "object_id", "message"), F.lit("[A-Za-z0-9][A-Za-z0-9_-]+"), F.lit(0))))
-    rows = issues.withColumn("_i", F.monotonically_increasing_id())
-    hit = rows.select("_i", "project_id", word.alias("code")).join(objects.select("project_id", "code", "ref"), ["project_id", "code"]).groupBy("_i").agg(F.max_by("ref", F.struct(F.char_length("code"), "code")).alias("object_ref"))
-    return rows.join(hit, "_i", "left").drop("_i")
-
-
-def audit(features: DataFrame, projects: DataFrame, params: dict[str, dict] | None = None, rule_ids: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(issues, summary a project) of all projects; projects are (project_id, category). Rules that no category asks for are not planned, nor those that
-    rule_ids, if given, leaves out."""
+    keys = ["project_id", "object_id", "message"]
+    said = issues.select(*keys).distinct()
+    words = said.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "object_id", "message"), F.lit("[A-Za-z0-9][A-Za-z0-9_-]+"), F.lit(0)))).alias("code"))
+    hit = words.join(objects.select("project_id", "code", "ref"), ["project_id", "code"]).groupBy(*keys).agg(F.max_by("ref", F.struct(F.char_length("code"), "code", "ref")).alias("object_ref"))
+    hit = hit.select(*[F.col(k).alias(f"_{k}") for k in keys], "object_ref")
+    return issues.join(hit, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
+
+
+def case_issues(sheets: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The judgements of check_case as issues."""
+    rule = F.col("rule_id")
+    values = {"object_type": F.lit("SHEET"), "object_id": F.col("object"), "passed": F.lit(False), "severity": severity_of(rule), "problem_category": category_of(rule)}
+    found = check_case(sheets, known)
+    fields = [f.split(" ")[0] for f in ISSUES.split(", ")]
+    return found.select(*[(values[f] if f in values else F.col(f) if f in found.columns else F.lit(None).cast("string")).alias(f) for f in fields])
+
+
+def audit(features: DataFrame, projects: DataFrame, params: dict[str, dict] | None = None, rule_ids: list[str] | None = None, sheets: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(issues, summary a project) of all projects; projects are (project_id, category). Rules that no category asks for are not planned, nor those
+    that rule_ids, if given, leaves out. With sheets, their case is judged too, against the known material codes."""
     x = Context(features)
     wanted = [r for r in rule_ids or RULES if r in ALWAYS or any(r in rules for rules in config.ROUTES.values())]
-    objects = x.features.where("code IS NOT NULL").select("project_id", "code", F.concat_ws(":", F.lower("layer"), "code").alias("ref"))
-    found = route(run_all(x, wanted, params), projects)
+    found = route(run_all(x, [r for r in wanted if r in RULES], params), projects)
+    if sheets is not None:
+        of_sheets = case_issues(sheets.join(projects.select("project_id"), "project_id", "left_semi"), known)
+        found = found.unionByName(of_sheets if rule_ids is None else of_sheets.where(F.col("rule_id").isin(*rule_ids)))
     return found, severity_counts(found, ["project_id"])

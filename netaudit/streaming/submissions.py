@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def content_hash(content: list[str]) -> Column:
+    return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in content]), 256)
+
+
 def dedupe_submissions(stream: DataFrame, at: str, content: list[str], ttl: str = "1 hour") -> DataFrame:
     """Rows whose content (a hash of the named columns) has not come within `ttl`. State is dropped as the watermark passes."""
-    key = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in content]), 256)
-    return stream.withColumn("content_hash", key).withWatermark(at, ttl).dropDuplicatesWithinWatermark(["content_hash"])
+    return stream.withColumn("content_hash", content_hash(content)).withWatermark(at, ttl).dropDuplicatesWithinWatermark(["content_hash"])
+
+
+def dedupe_batch(rows: DataFrame, order: str, content: list[str]) -> DataFrame:
+    """The first row, in an order, of each content of a whole table."""
+    first = rows.groupBy(content_hash(content).alias("content_hash")).agg(F.min_by(F.struct(*rows.columns), order).alias("_row"))
+    return first.select("content_hash", "_row.*")
 
 
 def audit_stream(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

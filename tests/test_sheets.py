@@ -5,6 +5,8 @@ import datetime
 from pyspark.sql import functions as F
 
 from netaudit.operators import sheets as S
+from netaudit.plans.audit import audit, case_issues
+from netaudit.schema import FEATURES, ISSUES
 from netaudit.sources import readers as R
 
 SCHEMA = "project_id string, file string, sheet string, row_no int, cells array<string>"
@@ -75,3 +77,19 @@ def test_case(spark):
     assert not S.check_case(s, known.limit(0)).where("rule_id = 'R-BOM-001'").count() and not S.check_case(s.limit(0)).count()
     assert sorted(r.code for r in S.baseline_codes(s).collect()) == ["m1", "m2"] and S.case_code_empty(s).count() == 1
     assert sorted(r.code for r in S.material_library(s).collect()) == ["m1", "m2"] and S.material_library(s.limit(0)).count() == 29
+
+
+def test_case_issues(spark):
+    s = book(spark, BOITE=[["CODE"], ["b1"], [""]], CABLE=[["CODE", "ORIGINE"], ["c1", "b7"]])
+    found = case_issues(s)
+    assert found.columns == [x.split(" ")[0] for x in ISSUES.split(", ")]
+    got = {(r.rule_id, r.object_id): r.severity for r in found.collect()}
+    assert ("R-REL-001", "BOITE b1") in got and ("R-REL-004", "CABLE c1") in got and got[("R-FLD-001", "BOITE R2")] == "warning"
+
+
+def test_audit_of_sheets(spark):
+    s = book(spark, BOITE=[["CODE"], ["b1"], [""]], CABLE=[["CODE", "ORIGINE"], ["c1", "b7"]])
+    projects = spark.createDataFrame([("p", "spreadsheet")], "project_id string, category string")
+    found, summary = audit(spark.createDataFrame([], FEATURES), projects, rule_ids=["R-REL-001", "R-FLD-001"], sheets=s)
+    assert sorted((r.rule_id, r.object_id) for r in found.collect()) == [("R-FLD-001", "BOITE R2"), ("R-REL-001", "BOITE b1")]
+    assert [r.project_id for r in summary.collect()] == ["p"]
