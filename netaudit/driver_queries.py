@@ -551,7 +551,7 @@ def line_crossing(spark, d):
 
 
 def _crossings(f):
-    return G.crossings(f, f, 0.1, ["layer"], ("vec_id", "vec_id"), ordered=True).select("layer", "a_id", "b_id").distinct()
+    return G.crossing_pairs(f, f, ["layer"], ("vec_id", "vec_id"), ordered=True)
 
 
 @query(f"""WITH v AS (SELECT vec_id, label, e[2*k-1] AS x, e[2*k] AS y FROM ({_E}), (SELECT range AS k FROM range(1, 33))) SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(min(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2))), 6) AS d FROM v a JOIN v b ON a.label = 0 AND b.label = 1 GROUP BY 1, 2 HAVING min(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2))) < 0.02""")

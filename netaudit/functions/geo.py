@@ -1,4 +1,4 @@
-"""Geometry as arrays of (x, y, z), in Column expressions only, except for polygon overlap."""
+"""Geometry as arrays of (x, y, z), in Column expressions only, except for polygon overlap and lines that cross."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 COORDS = "array<struct<x:double,y:double,z:double>>"
 _A, _E2 = 6378137.0, 0.0066943799901413165  # WGS 84
@@ -195,5 +195,22 @@ def overlap_area(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series([ring_overlap(np.asarray(p, float).reshape(-1, 2), np.asarray(q, float).reshape(-1, 2)) for p, q in zip(a, b, strict=True)], dtype=float)
 
 
+@F.pandas_udf(BooleanType())
+def lines_cross(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Whether a segment of one line crosses one of another inside both; lines are flat arrays x1, y1, x2, y2, …"""
+
+    def cross(a: np.ndarray, b: np.ndarray) -> bool:
+        p, q = np.asarray(a, float).reshape(-1, 2), np.asarray(b, float).reshape(-1, 2)
+        r, t = np.diff(p, axis=0)[:, None], np.diff(q, axis=0)[None]
+        gap = q[None, :-1] - p[:-1, None]
+        d = r[..., 0] * t[..., 1] - r[..., 1] * t[..., 0]
+        d[d == 0] = np.nan
+        u, v = (gap[..., 0] * t[..., 1] - gap[..., 1] * t[..., 0]) / d, (gap[..., 0] * r[..., 1] - gap[..., 1] * r[..., 0]) / d
+        return bool(((u > 0) & (u < 1) & (v > 0) & (v < 1)).any())
+
+    for a, b in batches:
+        yield pd.Series([cross(p, q) for p, q in zip(a, b, strict=True)], dtype=bool)
+
+
 def flat(coords: Column) -> Column:
     return F.flatten(F.transform(coords, lambda p: F.array(p["x"], p["y"])))

@@ -84,6 +84,28 @@ def crossings(a: DataFrame, b: DataFrame, size: float, keys: list[str], ids: tup
     return met.where((F.col("cx") == F.floor(F.col("p.x") / size)) & (F.col("cy") == F.floor(F.col("p.y") / size))).select(*keys, "a_id", "b_id", "p.*")
 
 
+def crossing_pairs(a: DataFrame, b: DataFrame, keys: list[str], ids: tuple[str, str], size: float | None = None, ordered: bool = False, piece: int = 32) -> DataFrame:
+    """(keys…, a_id, b_id), distinct: lines of a and b of which a segment of one crosses a segment of the other, interior of both; `ordered` takes only pairs with a_id < b_id.
+    Lines are cut into pieces of so many segments, whose boxes meet in cells, so a task judges pairs of bounded size, all segments of one against all of the other at once.
+    Without a size, nine of ten pieces are a cell wide at most, and none wider than 256 cells."""
+
+    def pieces(df: DataFrame, id_col: str) -> DataFrame:
+        starts = F.sequence(F.lit(0), F.greatest(F.size("coords") - 2, F.lit(0)), F.lit(piece))
+        return once(df.where(F.size("coords") > 1), "coords", F.col("coords"), *keys, id_col).select(*keys, F.col(id_col).alias("_id"), F.explode(F.transform(starts, lambda k: F.slice("coords", k + 1, piece + 1))).alias("coords"))
+
+    pa, pb = pieces(a, ids[0]), pieces(b, ids[1])
+    if size is None:
+        box = geo.bbox(F.col("coords"))
+        wide = [p.select(F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"]).alias("w")) for p in ([pa] if a is b else [pa, pb])]
+        most = [w.agg(F.percentile_approx("w", 0.9), F.max("w") / 256).first() for w in wide]
+        size = max([v for row in most for v in row if v], default=1.0)
+    # pairs are the work, not lines: however few files or cells there are, the lines of one side are dealt evenly first
+    met = box_pairs(pa.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "_id"), pb, size, keys, ("_id", "_id"))
+    met = met.where("a_id < b_id") if ordered else met
+    crossed = geo.lines_cross(geo.flat(F.col("a_coords")), geo.flat(F.col("b_coords")))
+    return met.where(crossed).select(*keys, "a_id", "b_id").distinct()
+
+
 def without_near(points: DataFrame, others: DataFrame, size: float, keys: list[str], id_cols: list[str]) -> DataFrame:
     """Rows of points with no row of others within `size`."""
     found = near_points(points, others, size, keys).select(*keys, *id_cols).distinct()

@@ -1,12 +1,15 @@
 """Queries over whole tables and whole lines against brute force on a small fixture."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from netaudit import driver_queries
+from netaudit.functions import geo
+from netaudit.operators import spatial
 
 ROWS = 12
 
@@ -122,3 +125,19 @@ def test_sheets_have_no_row_cap(spark):
     rows = spark.range(6001).selectExpr("'p' AS project_id", "'BOM' AS sheet", "CAST(id + 1 AS INT) AS row_no", "array(if(id = 0, 'CODE', concat('c', id))) AS cells")
     assert lookup.bom_codes(rows).count() == 6000
     assert lookup.fiber_sheets(rows.withColumn("sheet", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("Fiber"))).count() == 6001
+
+
+@pytest.mark.parametrize(("piece", "size"), [(2, 0.3), (5, None), (32, None)])
+def test_crossing_pairs_of_pieces(spark, piece, size):
+    rng, lines = random.Random(piece), []
+    for k in range(40):
+        x, y, line = rng.random(), rng.random(), []
+        for _ in range(rng.choice([1, 2, 7, 40])):
+            x, y = x + rng.uniform(-0.2, 0.2), y + rng.uniform(-0.2, 0.2)
+            line.append((x, y, None))
+        lines.append(("l", k, line))
+    rows = spark.createDataFrame([*lines, ("l", 99, []), ("l", 98, None)], f"layer string, id long, coords {geo.COORDS}")
+    pairs = lambda f: sorted(tuple(r) for r in f.select("layer", "a_id", "b_id").distinct().collect())
+    want = pairs(spatial.crossings(rows, rows, 0.5, ["layer"], ("id", "id"), ordered=True))
+    assert len(want) > 10 and pairs(spatial.crossing_pairs(rows, rows, ["layer"], ("id", "id"), size, True, piece)) == want
+    assert spatial.crossing_pairs(rows.limit(0), rows.limit(0), ["layer"], ("id", "id"), size, True, piece).count() == 0
