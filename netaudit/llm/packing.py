@@ -29,9 +29,10 @@ class Encoder:
     """Token ids of texts, as bytes of 32-bit integers. The tokenizer splits at a blank between two words before anything else, so the ids of
     a text are those of its words, each with the blank before it. Words are looked up first; new ones are encoded together
     in one run, by tiktoken over the same file's vocabulary, whose ids are the ranks of its merges, and parted again where an id begins with the
-    blank. Texts with other white space beside a blank, or with a special token, are encoded as a whole by tokenizers itself."""
+    blank. Texts with other white space beside a blank, or with a special token, are encoded as a whole by tokenizers itself.
+    plain: the strings of special tokens are text like any other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
@@ -45,24 +46,39 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
         ranks = {bytes(byte[c] for c in w): i for w, i in vocabulary.items() if w not in self.special}
+        self.ranks = ranks
+        if plain:
+            self.tokenizer.encode_special_tokens = True
+            self.special = []
         self.fast = tiktoken.Encoding("words", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
     def hard(self, text: str) -> bool:
-        """Whether white space stands beside a blank or at either end: there a word's ids hang on what stands beside it."""
-        return not text or text[0].isspace() or text[-1].isspace() or bool(_BEFORE.search(text) or _AFTER.search(text)) or "\0" in text or any(s in text for s in self.special)
+        """Whether white space stands beside a blank or at either end, other than one blank at the start: there a word's ids hang on what stands beside it."""
+        return not text or text[0].isspace() and text[0] != " " or text[-1].isspace() or bool(_BEFORE.search(text) or _AFTER.search(text)) or "\0" in text or any(s in text for s in self.special)
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id; those of special tokens are none."""
+        out = [b""] * len(self.blank)
+        for data, k in self.ranks.items():
+            out[k] = data
+        return out
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def parts(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some words that begin with a blank and hold no other."""
+        ids = np.array(self.fast.encode_ordinary("".join(words)), "<u4")
+        at = np.append(np.flatnonzero(self.blank[ids]), len(ids)) * 4
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
     def learn(self, words: list[str]) -> None:
-        """Remembers the ids of words that begin with a blank and hold no other."""
+        """Remembers the ids of such words."""
         for k in range(0, len(words), 4096):
             some = words[k : k + 4096]
-            ids = np.array(self.fast.encode_ordinary("".join(some)), "<u4")
-            at = np.append(np.flatnonzero(self.blank[ids]), len(ids)) * 4
-            data = ids.tobytes()
-            self.known.update((w, data[a:b]) for w, a, b in zip(some, at[:-1].tolist(), at[1:].tolist(), strict=True))
+            self.known.update(zip(some, self.parts(some), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > _REMEMBER:

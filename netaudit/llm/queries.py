@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netaudit.llm import language_id, quality
+from netaudit.llm import language_id, quality, sharding
+from netaudit.llm.alignment import align
 from netaudit.llm.common import table
 from netaudit.llm.exact_dedup import exact_dedup
 from netaudit.llm.html_text import html_text
@@ -17,16 +18,21 @@ from netaudit.llm.ngram_join import ngram_components
 from netaudit.llm.packing import pack
 from netaudit.llm.quality_rules import quality_rules
 from netaudit.llm.secret_scan import digest, secret_scan
+from netaudit.llm.spelling import spelling_variants
 
 
 #: The tokenizer that op9 and the pipeline pack for.
 TOKENIZER = "byte_bpe_50k.json"
+#: The tokenizer that op12 aligns with it.
+PIECES = "piece_bpe_32k.model"
+#: One in so many runs of a document loses a code point before op13 counts it.
+NOISE = 31
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +88,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_pass", "mix_tokens", "mix_block", "mix_start")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shard(table(spark, sf_dir, "documents")))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES), digest=True)
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), noise=NOISE).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_html_extraction, op2_language_id, op3_quality, op4_secret_scan, op5_exact_dedup, op6_line_dedup, op7_ngram_join, op8_quality_rules, op9_packing, op10_mixing, pipeline)
+    ops = (
+        op1_html_extraction, op2_language_id, op3_quality, op4_secret_scan, op5_exact_dedup, op6_line_dedup, op7_ngram_join, op8_quality_rules, op9_packing,
+        op10_mixing, op11_sharding, op12_alignment, op13_spelling_variants, pipeline,
+    )
     return {f.__name__: f for f in ops}
 
 
