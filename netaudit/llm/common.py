@@ -59,6 +59,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).write(df)
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names of any characters, as select() and struct() take them."""
+    return ["`" + c.replace("`", "``") + "`" for c in names]
+
+
 def free(df: DataFrame, *wanted: str) -> list[str]:
     """The wanted names, each with as many underscores before it as it takes to differ from every column of df, in any case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -81,7 +86,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     met = met.withColumn(salt, F.when(F.col(hot).isNull(), 0).otherwise(1 + F.monotonically_increasing_id() % 1023).cast("int"))
     met = met.join(groups.where(F.col(size) <= least).select(*keys, F.lit(0).alias(salt), rest.alias(cold)), [*keys, salt], "left")
     got = F.coalesce(hot, cold)
-    return met.where(got.isNotNull()).select(*rows.columns, *[got[c].alias(c) for c in groups.columns if c not in keys])
+    return met.where(got.isNotNull()).select(*quoted(rows.columns), *[got[c].alias(c) for c in groups.columns if c not in keys])
 
 
 def row_hashes(id_col: str, text: Column) -> list[Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netaudit.llm.common import Scratch, ascii_lower, free, join_groups, row_hashes
+from netaudit.llm.common import Scratch, ascii_lower, free, join_groups, quoted, row_hashes
 
 BLOCK = 16384
 
@@ -32,7 +32,7 @@ def ranked(scratch: Scratch, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def block_names(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
     """(id, r1, r2, n_blocks, name, copies): for each id and text (r1 and r2 are its row_hashes) its number of rows and one integer identity
-    of the text. Texts are equal if and only if they have equal (n_blocks, name).
+    of the text. Texts are equal if and only if they have equal (n_blocks, name), but for rows whose 128 bits over id and text are equal (2^-128 a pair).
 
     Texts are cut in blocks of `block` characters. Distinct blocks are sorted and named by integers: blocks are gathered
     by their hash and compared as texts, so a hash collision costs time and not exactness. Then adjacent names are
@@ -89,11 +89,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical after lower-casing A-Z only; null counts as the empty text. Of equal texts the row
     with the largest id stays (a null id is smaller than any other). Rows that repeat an id with the same text count in
     group_size and are all marked kept if that id stays; rows that repeat an id with another text belong to that text's
-    group. Very long texts are named block by block. An empty table gives an empty result. Rows meet their group by 128 bits over id and text."""
+    group. Very long texts are named block by block. An empty table gives an empty result. Rows meet their group by 128 bits over id and text: rows of
+    different texts would share an answer with a chance of 2^-128 a pair. Names themselves are exact: blocks are compared as texts."""
     found = exact_groups(docs, id_col, text_col, block)
     r1, r2, copies, t = free(docs, "_r1", "_r2", "_copies", "_t")
     names = free(docs, "keep_id", "group_size", "kept", "text_sha256")
     found = found.select(F.col("r1").alias(r1), F.col("r2").alias(r2), F.col("copies").alias(copies), *[F.col(c).alias(n) for c, n in zip(("keep_id", "group_size", "kept"), names, strict=False)])
     rows = docs.select("*", once(normal(text_col)).alias(t))
-    rows = rows.select(*docs.columns, *[h.alias(n) for h, n in zip(row_hashes(id_col, F.col(t)), (r1, r2), strict=True)], F.sha2(t, 256).alias(names[3]))
-    return join_groups(rows, found, [r1, r2], copies).select(*docs.columns, *names)
+    rows = rows.select(*quoted(docs.columns), *[h.alias(n) for h, n in zip(row_hashes(id_col, F.col(t)), (r1, r2), strict=True)], F.sha2(t, 256).alias(names[3]))
+    return join_groups(rows, found, [r1, r2], copies).select(*quoted(docs.columns), *names)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from netaudit.llm.common import free
+from netaudit.llm.common import free, quoted
 from netaudit.llm.words import slices
 
 #: Fixed values of HTML: elements without content, without visible text, that stand as blocks, whose text runs to their end tag, that belong in a head.
@@ -368,6 +368,6 @@ def html_text(pages: DataFrame, columns: list[str], html_col: str = "html") -> D
     tables stand apart by an empty line, list items get bullets or numbers and an indent, cells of a table are aligned, with their own lines, `pre`
     keeps its blanks. Navigation and footers are text like any other. A null or empty page gives the empty text. Broken markup is read as far as it
     goes. Very long pages take time in proportion. Rows are rendered one by one, so repeated rows get equal texts, and an empty table gives an empty result."""
-    rows = pages.select(F.struct(*columns).alias("row"), F.col(html_col).alias("html"))
+    rows = pages.select(F.struct(*quoted(columns)).alias("row"), F.col(html_col).alias("html"))
     out = rows.mapInArrow(_rendered, StructType([rows.schema["row"], StructField("visible_text", StringType())]))
-    return out.select("row.*", F.col("visible_text").alias(*free(pages.select(*columns), "visible_text")))
+    return out.select("row.*", F.col("visible_text").alias(*free(pages.select(*quoted(columns)), "visible_text")))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from netaudit.llm.common import free
+from netaudit.llm.common import free, quoted
 from netaudit.llm.words import mixed, raw, slices
 
 _U = np.uint64
@@ -164,9 +164,9 @@ def identify(docs: DataFrame, model: Model, columns: list[str], text_col: str =
     an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = columns.index(text_col) if text_col in columns else None
-    rows = docs.select(F.struct(*columns).alias("row"), *([F.col(text_col).alias("text")] if at is None else []), F.col(text_col).rlike(r"\p{L}").alias("letters"))
+    rows = docs.select(F.struct(*quoted(columns)).alias("row"), *([F.col(text_col).alias("text")] if at is None else []), F.col(text_col).rlike(r"\p{L}").alias("letters"))
     out = rows.mapInArrow(_decided(shared, at), StructType([rows.schema["row"], *StructType.fromDDL("lang_pred string, score double")]))
-    return out.select("row.*", *[F.col(c).alias(n) for c, n in zip(("lang_pred", "score"), free(docs.select(*columns), "lang_pred", "score"), strict=True)])
+    return out.select("row.*", *[F.col(c).alias(n) for c, n in zip(("lang_pred", "score"), free(docs.select(*quoted(columns)), "lang_pred", "score"), strict=True)])
 
 
 def held_out(id_col: Column, folds: int, fold: int) -> Column:

@@ -39,17 +39,19 @@ def line_dedup(rows: DataFrame, host: Column, lines: Column, id_col: str, ratio:
     don't matter. Hot hosts, lines and rows are broadcast (join_groups)."""
     scratch = Scratch(rows.sparkSession)
     page = rows.select(F.col(id_col).alias("id"), host.alias("host"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
-    page = page.withColumn("keys", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("k1"), F.hash(x).alias("k2"), F.crc32(x.cast("binary")).alias("k3"))))
+    hashed = lambda x: F.struct(F.xxhash64(x).alias("k1"), F.hash(x).alias("k2"), F.crc32(x.cast("binary")).alias("k3"))
+    page = page.withColumn("keys", F.transform("lines", hashed))
     page = scratch.write(page.withColumn("r1", F.xxhash64("id", "host", "keys")).withColumn("r2", F.xxhash64(F.lit(1), "keys", "host", "id")))
     total = scratch.write(page.groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.size("keys")).alias("held")))
     key = ["host", "k1", "k2", "k3"]
-    once = page.select("host", F.explode(F.array_distinct("keys")).alias("k")).select("host", "k.*").groupBy(*key).agg(F.count("*").alias("with"))
+    once = page.select("host", F.explode(F.transform(F.array_distinct("lines"), hashed)).alias("k")).select("host", "k.*").groupBy(*key).agg(F.count("*").alias("with"))
     drop = scratch.write(join_groups(once.where(F.col("with") >= least_pages), total, ["host"], "held").where(F.col("with") > ratio * F.col("pages")).select(*key, "with"))
     each = page.select("host", "r1", "r2", F.posexplode("keys").alias("at", "k")).select("host", "r1", "r2", "at", "k.*")
     gone = join_groups(each, drop, key, "with").groupBy("r1", "r2").agg(F.collect_set("at").alias("gone"))
     whole = scratch.write(page.groupBy("r1", "r2").agg(F.count("*").alias("copies")).join(gone, ["r1", "r2"], "left"))
     at = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.filter("lines", lambda x, i: ~F.array_contains(at, i))
+    places = F.when(F.size("lines") > 0, F.sequence(F.lit(0), F.size("lines") - 1)).otherwise(F.array().cast("array<int>"))
+    kept = F.transform(F.array_except(places, at), lambda i: F.get("lines", i))  # sets of numbers: in proportion to the lines, however many go
     out = join_groups(page, whole, ["r1", "r2"], "copies")
     out = out.select(F.col("id").alias(id_col), "host", F.size("lines").cast("long").alias("n_lines"), F.size(at).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("clean_text"))
     scratch.close(page, whole)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netaudit.llm.common import Scratch, free, join_groups
+from netaudit.llm.common import Scratch, free, join_groups, quoted
 
 #: No source is read more often than this, and the most plentiful source is read once.
 REPEATS = 2.0
@@ -88,5 +88,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     each = scratch.write(each.withColumnsRenamed({"source": s, "k": k}))
     scratch.close(each)
     out = join_groups(docs.select("*", key.alias(s), F.xxhash64(id_col, text_col).alias(k)), each, [s, k], copies)
-    out = out.select(*docs.columns, F.explode(reads).alias(one))
-    return out.select(*docs.columns, *[F.col(f"{one}.{c}").alias(n) for c, n in zip(("pass", "tokens", "block", "mix_start"), free(docs, "mix_pass", "mix_tokens", "mix_block", "mix_start"), strict=True)])
+    out = out.select(*quoted(docs.columns), F.explode(reads).alias(one))
+    return out.select(*quoted(docs.columns), *[F.col(f"{one}.{c}").alias(n) for c, n in zip(("pass", "tokens", "block", "mix_start"), free(docs, "mix_pass", "mix_tokens", "mix_block", "mix_start"), strict=True)])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from netaudit.llm.common import free
+from netaudit.llm.common import free, quoted
 from netaudit.llm.words import mixed, raw, slices, word_hashes
 
 _U = np.uint64
@@ -104,11 +104,12 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn_docs: int = LEARN_DOCS) -> Model | None:
     """Fits on about `learn_docs` of the labelled rows, chosen by a hash of the id, in one task; that bound also holds for the ids that are broadcast. None unless both labels occur. Labels other than 0 and 1
-    and null ids are left out; a repeated label of an id counts once."""
+    and null ids are left out; a repeated label of an id counts once. Other columns of docs and labels don't matter, whatever their names."""
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("label"))
     share = min(1.0, learn_docs / max(1, marks.count()))
     marks = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows = docs.join(F.broadcast(marks), docs[id_col] == marks["_id"]).select("_id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("label").cast("long").alias("label"))
+    texts = docs.select(F.col(*quoted([id_col])).alias("_id"), F.coalesce(F.col(*quoted([text_col])), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(marks), "_id").select("_id", "text", F.col("label").cast("long").alias("label"))
     got = rows.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "text").select("text", "label").mapInArrow(_fitted, "weights binary, bias double, slope double, shift double").collect()
     return Model(np.frombuffer(got[0][0], np.float32).reshape(2, -1), *got[0][1:]) if got else None
 
@@ -135,6 +136,6 @@ def score(docs: DataFrame, model: Model | None, columns: list[str], text_col: st
     n-gram and get the bias's score. Without a model every score is 0.5. Very long texts are scored whole. Rows are scored one by one, so repeated
     rows get equal scores, and an empty table gives an empty result. If score is among the columns, the added one is _score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*quoted(columns)).alias("row"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_scored(shared), StructType([rows.schema["row"], *StructType.fromDDL("score double")]))
-    return out.select("row.*", F.col("score").alias(*free(docs.select(*columns), "score")))
+    return out.select("row.*", F.col("score").alias(*free(docs.select(*quoted(columns)), "score")))

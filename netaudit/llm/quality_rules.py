@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from netaudit.llm.common import WORD, free
+from netaudit.llm.common import free, quoted, WORD
 from netaudit.llm.words import slices
 
 CHUNK, LEVEL = 4096, 3
@@ -73,7 +73,7 @@ def quality_rules(docs: DataFrame, columns: list[str], text_col: str = "text") -
     """The given columns (not the text) of every row of docs with its counts, base_failed, kept, ratio and odd_chunks; where docs has a column of
     that name among them, the added one has an underscore before it. Null texts count as empty: no words, so base_failed. Very long texts are judged
     whole and chunk by chunk. Rows are judged one by one, so repeated rows get equal answers, and an empty table gives an empty result."""
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*quoted(columns)).alias("row"), F.col(text_col).alias("text"))
     types = ", ".join(f"{c} {t}" for c, t in ADDED.items())
     out = rows.mapInArrow(_judged, StructType([rows.schema["row"], *StructType.fromDDL(types)]))
-    return out.select("row.*", *[F.col(c).alias(n) for c, n in zip(ADDED, free(docs.select(*columns), *ADDED), strict=True)])
+    return out.select("row.*", *[F.col(c).alias(n) for c, n in zip(ADDED, free(docs.select(*quoted(columns)), *ADDED), strict=True)])

@@ -9,6 +9,9 @@ from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from netaudit.llm.common import Scratch, quoted
 
 
 @dataclass(frozen=True)
@@ -101,74 +104,70 @@ def selective(query: frozenset[Clause], most: int = 2) -> frozenset[Clause]:
     return frozenset(frozenset(sorted(c, key=rank)[:most]) for c in query)
 
 
-def held(docs: DataFrame, trigrams: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(id, text, held): held lists those of the trigrams that occur in the lower-cased text. A filter that
-    also reads the row mark (_mark >= 0) is not pushed below this step, where it would work out the list once for each use."""
-    some = F.filter(F.array(*[F.when(F.contains(F.col("_low"), F.lit(t)), F.lit(t)) for t in trigrams]), lambda x: x.isNotNull())
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("_low", F.lower("text"))
-    return rows.select("id", "text", some.alias("held"), F.monotonically_increasing_id().alias("_mark"))
+def trigrams_of(low: Column, trigrams: list[str]) -> Column:
+    """Those of the trigrams that occur in the lower-cased text."""
+    return F.filter(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]), lambda x: x.isNotNull())
 
 
 def candidates(index: DataFrame, queries: dict[str, frozenset]) -> DataFrame:
-    """(id, kinds): for each id the rules of which at least one clause has all its trigrams, by intersecting the posting
-    lists of each clause."""
+    """(row, kinds): for each row of the postings index(row, trigram) the rules of which at least one clause has all its trigrams, by
+    intersecting the posting lists of each clause."""
     clauses = [(kind, f"{kind}:{k}", t, len(c)) for kind, q in queries.items() for k, c in enumerate(sorted(q, key=sorted)) for t in sorted(c)]
     wanted = index.sparkSession.createDataFrame(clauses, "kind string, clause string, trigram string, need int")
-    met = index.join(F.broadcast(wanted), "trigram").groupBy("id", "kind", "clause", "need").agg(F.count_distinct("trigram").alias("n")).where("n = need")
-    return met.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
+    met = index.join(F.broadcast(wanted), "trigram").groupBy("row", "kind", "clause", "need").agg(F.count_distinct("trigram").alias("n")).where("n = need")
+    return met.groupBy("row").agg(F.collect_set("kind").alias("kinds"))
 
 
-def spans(text: Column, found: Column, rule: Rule) -> Column:
-    """Array of (start, end), in code points, end exclusive, of the matches `found`, those that fail the rule's least length
-    dropped. The text between matches gives the places."""
+def steps(text: Column, found: Column, rule: Rule) -> Column:
+    """Array of (gap, n, inner) of the matches `found`, in code points: the text before each, its length, and that of the rule's group."""
     inner = (lambda m: F.char_length(m)) if rule.group == 0 else (lambda m: F.char_length(F.regexp_extract(m, rule.regex, rule.group)))
-    steps = F.zip_with(
-        F.transform(F.slice(F.split(text, rule.regex, -1), 1, F.size(found)), lambda g: F.char_length(g)),
-        F.transform(found, lambda m: F.struct(F.char_length(m).alias("n"), inner(m).alias("inner"))),
-        lambda g, m: F.struct(g.alias("gap"), m["n"].alias("n"), m["inner"].alias("inner")),
-    )
-    none = F.array().cast("array<struct<start:int,end:int>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        one = F.array(F.struct(start.alias("start"), (start + x["n"]).alias("end")))
-        return F.struct((start + x["n"]).alias("at"), F.when(x["inner"] >= rule.least, F.concat(acc["got"], one)).otherwise(acc["got"]).alias("got"))
-
-    return F.when(F.size(found) == 0, none).otherwise(F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("got")), step, lambda acc: acc["got"]))
+    gaps = F.transform(F.slice(F.split(text, rule.regex, -1), 1, F.size(found)), lambda g: F.char_length(g))
+    return F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), F.char_length(m).alias("n"), inner(m).alias("inner")))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id, secrets): for each row of docs the array of (kind, start, end) of all rules, by start, then in the rules' order.
 
-    Rules with mandatory trigrams read only their candidates from the inverted index; rules without any read every
-    text. Only texts that hold the trigrams of some clause are shuffled, to meet the index's candidates; the others pass
-    straight through. Null texts count as empty. Rows that repeat an id are scanned each on its own; the index lists an id
-    once for all of them, which can only add candidates. A null id never meets the index, so its text is read by
-    every rule. Extra columns don't matter."""
+    1. One pass over the texts writes, a row each, the trigrams of the rules that the text holds, what rules without mandatory trigrams
+       find in it, and the text itself if it holds any of the trigrams.
+    2. The postings (row, trigram) of the clauses are intersected. What is left meets its texts and is verified.
+    3. Places are prefix sums of gaps and matches, over the matches of a row and rule.
+
+    Null and empty texts hold nothing. Time and memory follow a text's length, however many matches it has; a very long text is read as a whole, and
+    only its matches are dealt out. Rows are told apart by a number of their own, so repeated rows and ids are scanned one by one, and null ids
+    don't matter. Matches that begin at one place are listed in the rules' order. An empty table gives an empty result. Other columns don't matter, whatever their names."""
+    scratch = Scratch(docs.sparkSession)
     queries = {r.kind: selective(trigram_query(r.regex)) for r in rules}
     indexed = {k: q for k, q in queries.items() if q != _ANY}
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    nothing = F.array().cast("array<struct<k:int,i:int,gap:int,n:int,inner:int>>")
 
-    def scan(frame: DataFrame, reads) -> DataFrame:
-        nothing = F.array().cast("array<string>")
-        matched = frame.select("id", "text", *[F.when(reads(r), F.regexp_extract_all("text", F.lit(r.regex), F.lit(0))).otherwise(nothing).alias(f"m{k}") for k, r in enumerate(rules)])
-        of = lambda r, k: F.transform(spans(F.col("text"), F.col(f"m{k}"), r), lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end")))
-        placed = F.array_sort(F.concat(*[of(r, k) for k, r in enumerate(rules)]))
-        named = F.transform(placed, lambda s: F.struct(F.element_at(kinds, s["k"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-        return matched.select(F.col("id").alias(id_col), named.alias("secrets"))
+    def matches(frame: DataFrame, keep: list[str], some: list[tuple[int, Rule]], reads) -> DataFrame:
+        """keep, and matches: (k, i, gap, n, inner) of the rules that `reads` tells to read the text."""
+        read = frame.select(*keep, "text", *[F.when(reads(r), F.regexp_extract_all("text", F.lit(r.regex), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"m{k}") for k, r in some])
+        numbered = lambda k, r: F.transform(steps(F.col("text"), F.col(f"m{k}"), r), lambda s, i: F.struct(F.lit(k).alias("k"), i.alias("i"), s["gap"].alias("gap"), s["n"].alias("n"), s["inner"].alias("inner")))
+        return read.select(*keep, F.concat(nothing, *[numbered(k, r) for k, r in some]).alias("matches"))
 
     trigrams = sorted({t for q in indexed.values() for c in q for t in c})
-    rows = held(docs, trigrams, id_col, text_col) if indexed else docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if not indexed:
-        return scan(rows, lambda r: F.lit(True))
-    index = rows.where("_mark >= 0 AND id IS NOT NULL").select("id", F.explode("held").alias("trigram"))
-    found = candidates(index, indexed)
-    clauses = F.array(*[F.array(*[F.lit(t) for t in sorted(c)]) for c in sorted({c for q in indexed.values() for c in q}, key=sorted)])
-    once = F.col("_mark") >= 0
-    gate = F.col("id").isNotNull() & F.exists(clauses, lambda c: F.size(F.array_except(c, F.col("held"))) == 0)
-    verified = scan(rows.where(once & gate).drop("held", "_mark").join(found, "id", "left"), lambda r: F.lit(True) if r.kind not in indexed else F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)))
-    plain = scan(rows.where(once & ~gate), lambda r: F.lit(True) if r.kind not in indexed else F.col("id").isNull())
-    return verified.unionByName(plain)
+    rows = docs.select(F.col(*quoted([id_col])).alias("id"), F.coalesce(F.col(*quoted([text_col])), F.lit("")).alias("text")).withColumn("low", F.lower("text"))
+    held = trigrams_of(F.col("low"), trigrams) if trigrams else F.array().cast("array<string>")
+    rows = rows.select("id", "text", held.alias("held"), F.monotonically_increasing_id().alias("row"))
+    whole = matches(rows.withColumn("kept", F.when(F.size("held") > 0, F.col("text"))), ["row", "id", "held", "kept"], [(k, r) for k, r in enumerate(rules) if r.kind not in indexed], lambda r: F.lit(True))
+    whole = scratch.write(whole)
+    found = whole.select("row", F.explode("matches").alias("m"))
+    if indexed:
+        chosen = candidates(whole.select("row", F.explode("held").alias("trigram")), indexed)
+        texts = whole.where("kept IS NOT NULL").select("row", F.col("kept").alias("text")).join(chosen, "row")
+        more = matches(texts, ["row"], [(k, r) for k, r in enumerate(rules) if r.kind in indexed], lambda r: F.array_contains("kinds", r.kind))
+        found = found.union(scratch.write(more).select("row", F.explode("matches").alias("m")))
+    found = found.select("row", "m.*").withColumn("end", F.sum(F.col("gap") + F.col("n")).over(Window.partitionBy("row", "k").orderBy("i")).cast("int"))
+    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("k") + 1)
+    placed = found.where(F.col("inner") >= least).groupBy("row").agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("n")).alias("start"), "k", "end"))).alias("all"))
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    named = F.transform("all", lambda s: F.struct(F.element_at(kinds, s["k"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    out = whole.select("row", "id").join(placed, "row", "left").select(F.col("id").alias(id_col), F.coalesce(named, F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("secrets"))
+    out = scratch.write(out)
+    scratch.close(out)
+    return out
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

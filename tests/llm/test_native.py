@@ -62,6 +62,33 @@ def test_rules_of_ones_own(spark):
     assert [(s.kind, s.start, s.end) for s in found] == [("mine", 4, 10)]
 
 
+def test_secrets_of_a_long_text_with_many_matches(spark):
+    """10 MB with 100,000 matches: time in proportion to the text."""
+    import time
+
+    unit = "token=abcdefgh " + "x" * 85
+    df = docs(spark, [(1, unit * 100_000, "a"), (2, "password: hunter22", "b"), (None, None, None)])
+    secret_scan(docs(spark, SECRETS)).count()
+    start = time.monotonic()
+    got = {r.doc_id: r.secrets for r in secret_scan(df).collect()}
+    assert time.monotonic() - start < 40
+    assert [(s.start, s.end) for s in got[1]] == [(100 * k, 100 * k + 14) for k in range(100_000)]
+    assert len(got[2]) == 1 and got[None] == []
+
+
+def test_line_dedup_of_long_pages(spark):
+    """Three pages of 100,000 dropped lines each."""
+    import time
+
+    lines = [f"line {k}" for k in range(100_000)]
+    df = spark.createDataFrame([(k, "http://h.example", [*lines, f"own {k}"]) for k in range(3)], "page_id long, url string, l array<string>")
+    line_dedup(df.limit(0), host_of(F.col("url")), F.col("l"), "page_id").count()
+    start = time.monotonic()
+    got = line_dedup(df, host_of(F.col("url")), F.col("l"), "page_id", 0.2, 3).collect()
+    assert time.monotonic() - start < 40
+    assert sorted((r.page_id, r.n_dropped, r.clean_text) for r in got) == [(k, 100_000, f"own {k}") for k in range(3)]
+
+
 def dedup_by_hand(rows):
     groups = defaultdict(list)
     for i, t, _ in rows:

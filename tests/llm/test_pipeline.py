@@ -32,7 +32,7 @@ def test_queries_are_registered():
 def test_stages_keep_columns_of_any_name(spark):
     import corpus_pipeline as c
 
-    names = ["letters", "score", "lang_pred", "kept", "keep_id", "_id", "_k", "_reads", "_r1", "_row", "r1", "component", "mix_pass", "row", "name"]
+    names = ["letters", "score", "lang_pred", "kept", "keep_id", "_id", "_k", "_reads", "_r1", "_row", "r1", "component", "mix_pass", "row", "name", "label", "a.b", "tick`ed", "at", "shard", "text_"]
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     rows = docs.union(docs.limit(5)).union(spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0)], docs.schema))
     rows = c.materialize(rows.select("*", *[F.concat(F.lit(x), F.coalesce("doc_id", F.lit(0)).cast("string")).alias(x) for x in names]))
@@ -44,3 +44,23 @@ def test_stages_keep_columns_of_any_name(spark):
             assert all(r[x] == f"{x}{r.doc_id or 0}" for r in out.collect() for x in names), name
     once = c.exact_copies(spark, rows, SF)
     assert once.count() == rows.select(F.lower(F.coalesce("text", F.lit("")))).distinct().count()
+
+
+def test_operators_keep_columns_of_any_name(spark):
+    """Beside the stages' operators: those that take columns by name or pass all on."""
+    from netaudit.llm import language_id, quality
+    from netaudit.llm.quality_rules import quality_rules
+    from netaudit.llm.secret_scan import secret_scan
+    from netaudit.llm.sharding import shard
+
+    odd = ["label", "_id", "_text", "a.b", "tick`ed", "row", "held", "low", "score", "kept"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(x), F.col("doc_id").cast("string")).alias(x) for x in odd]).cache()
+    labels = spark.read.parquet(f"{SF}/labels.parquet").withColumn("_id", F.lit(1)).withColumn("text", F.lit("t"))
+    keep = ["doc_id", *odd]
+    model = quality.learn(docs, labels)
+    outs = [quality.score(docs, model, keep), language_id.identify(docs, language_id.learn(docs), keep), quality_rules(docs, keep), shard(docs)]
+    for out in outs:
+        assert out.columns[: len(keep)] == keep or out.columns[: len(docs.columns)] == docs.columns
+        assert all(r[x] == f"{x}{r.doc_id}" for r in out.collect() for x in odd)
+    assert secret_scan(docs).count() == docs.count()
