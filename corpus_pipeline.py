@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netaudit.llm import language_id
-from netaudit.llm.common import free, join_groups, materialize, row_hashes, table
+from netaudit.llm.common import free, join_groups, materialize, quoted, row_hashes, table
 from netaudit.llm.exact_dedup import exact_groups, normal, once
 from netaudit.llm.mixing import mix
 from netaudit.llm.ngram_join import ngram_components
@@ -25,21 +25,21 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole, repeated rows go or stay together, and an empty table gives an empty result. Columns of any name stay as they are."""
     model = language_id.learn(docs)
     lang, score = free(docs, "lang_pred", "score")
-    return language_id.identify(docs, model, docs.columns).where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+    return language_id.identify(docs, model, docs.columns).where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*quoted(docs.columns))
 
 
 def _without(docs: DataFrame, marks: DataFrame, text: Column) -> DataFrame:
     """The rows of docs but those whose row_hashes stand in marks (r1, r2, copies, stays); of several rows with the hashes of one
     that stays, one stays."""
     r1, r2, t = free(docs, "_r1", "_r2", "_t")
-    keyed = docs.select("*", once(text).alias(t)).select(*docs.columns, *[h.alias(n) for h, n in zip(row_hashes("doc_id", F.col(t)), (r1, r2), strict=True)])
+    keyed = docs.select("*", once(text).alias(t)).select(*quoted(docs.columns), *[h.alias(n) for h, n in zip(row_hashes("doc_id", F.col(t)), (r1, r2), strict=True)])
     again = materialize(marks.where("stays AND copies > 1").select(F.col("r1").alias(r1), F.col("r2").alias(r2)))
     gone = marks.where("NOT stays OR copies > 1").select(F.col("r1").alias(r1), F.col("r2").alias(r2))
-    left = keyed.join(gone, [r1, r2], "left_anti").select(*docs.columns)
+    left = keyed.join(gone, [r1, r2], "left_anti").select(*quoted(docs.columns))
     if again.isEmpty():
         return left
     row = free(docs, "_row")[0]
-    one = keyed.join(again, [r1, r2], "left_semi").groupBy(r1, r2).agg(F.first(F.struct(*docs.columns)).alias(row))
+    one = keyed.join(again, [r1, r2], "left_semi").groupBy(r1, r2).agg(F.first(F.struct(*quoted(docs.columns))).alias(row))
     return left.unionByName(one.select(f"{row}.*"))
 
 
@@ -64,7 +64,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reads the sources by tempered weights: every document at least once, none more than twice. A null source is one of its own; null and empty
     texts count one token; repeated rows are read alike. An empty table gives an empty result. Columns of any name stay as they are."""
-    return mix(docs).select(*docs.columns)
+    return mix(docs).select(*quoted(docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
