@@ -342,10 +342,10 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     # pairs of components
     comps = scratch.write(member.select("node", "n").join(merged, "node", "left").select("node", "n", F.coalesce("comp", "node").alias("comp")))
     about = comps.groupBy("comp").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    held = scratch.write(index.join(comps.select("node", "comp"), "node").select("key", "comp").distinct())
-    keys = scratch.write(held.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bit_xor(F.xxhash64("comp")).alias("mark"), F.min(F.xxhash64("comp")).alias("label")).where("m > 1"))
+    held = scratch.write(index.join(comps.select("node", "comp"), "node").groupBy("key", "comp").agg(F.count("*").alias("nodes")))
+    keys = scratch.write(held.groupBy("key").agg(F.count("*").alias("m"), F.sum("nodes").alias("nodes"), F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.bit_xor(F.xxhash64("comp")).alias("mark"), F.min(F.xxhash64("comp")).alias("label")).where("m > 1"))
     few = keys.where(F.col("m") <= CROWD).groupBy("m", "c1", "c2", "mark").agg(F.min("key").alias("key")).select("key")  # keys of the same components count once
-    under = scratch.write(held.join(few, "key").join(about, "comp"))
+    under = scratch.write(held.select("key", "comp").join(few, "key").join(about, "comp"))
     l, r = under.alias("l"), under.alias("r")
     small_first = "(l.size < r.size OR (l.size = r.size AND l.comp < r.comp))"
     pairs = l.join(r, "key").where(f"{small_first} AND 100 * l.hi >= {percent} * r.lo AND 100 * r.hi >= {percent} * l.lo")
@@ -356,9 +356,9 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
     meet = owns.unionByName(asking).join(texts, "node").select(*place, "role", "other", "node", "text").repartition(*place).sortWithinPartitions(*place, "role", "other")
     more = scratch.write(meet.mapInArrow(_verified(percent, n), "a long, b long"))
 
-    # crowded keys: blocks of nodes alike in size; a class of sizes is half a threshold wide, so linked sets are at most three classes apart
-    dense = join_groups(held, keys.where(F.col("m") > CROWD).select("key", "label", "m"), ["key"], "m").select("label", "comp").distinct()
-    dense = dense.join(comps, "comp").withColumn("c", F.floor(2 * F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))))
+    # crowded keys: blocks of the nodes that hold them, alike in size; a class of sizes is half a threshold wide, so linked sets are at most three classes apart
+    dense = join_groups(index, keys.where(F.col("m") > CROWD).select("key", "label", "nodes"), ["key"], "nodes").select("label", "node", "n").distinct()
+    dense = dense.join(comps.select("node", "comp"), "node").withColumn("c", F.floor(2 * F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))))
     dense = scratch.write(dense.select("label", "c", "comp", "node"))
     classes = dense.groupBy("label", "c").agg(F.count("*").alias("size"))
     classes = classes.groupBy("label").agg(F.collect_list(F.struct("c", F.ceil(F.col("size") / _CHUNK).alias("blks"))).alias("all"), F.sum("size").alias("size"))
