@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +33,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Where a run collects the paths of all tables that are written for it, if one wants that; see written().
+_collected: list[list[str]] = []
+
+
+@contextmanager
+def written() -> Iterator[list[str]]:
+    """The paths of the tables that are written meanwhile, so that the caller can delete those that nobody reads any more."""
+    _collected.append([])
+    try:
+        yield _collected[-1]
+    finally:
+        _collected.pop()
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables in the shared folder that an operator writes for itself. The lineage ends at each, a lost executor costs nothing that was
     written, and later plans see real file sizes. drop() deletes one when its last reader is done, and close() all but those to stay."""
@@ -43,12 +65,12 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
+        for paths in _collected:
+            paths.append(path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t))[0])
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, [self.paths.pop(id(t))[0] for t in tables])
 
     def close(self, *stay: DataFrame) -> None:
         self.drop(*[t for _, t in list(self.paths.values()) if all(t is not s for s in stay)])
