@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netaudit.llm import language_id
-from netaudit.llm.common import free, join_groups, materialize, quoted, row_hashes, table
+from netaudit.llm.common import delete, free, join_groups, materialize, quoted, row_hashes, table, written
 from netaudit.llm.exact_dedup import exact_groups, normal, once
 from netaudit.llm.mixing import mix
 from netaudit.llm.ngram_join import ngram_components
@@ -79,9 +79,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs)
-    return docs
+    """All stages over documents. Each stage but the last is written; then all tables that were written for it go, and the stage before it."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        with written() as paths:
+            docs = materialize(stage(spark, docs, sf_dir))
+        delete(spark, paths[:-1] + before)
+        before = paths[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)
