@@ -46,10 +46,11 @@ def bidirectional(left: DataFrame, left_keys: list[str], right: DataFrame, right
     return missing.unionByName(covered.where("_ok IS NULL").select(F.lit("right").alias("side"), key))
 
 
-def first_match(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in an order that ends in a unique column."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def first_match(rows: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
+    """The first row, or the last, of each key in an order that ends in a unique column. An aggregate with map-side partial results, so a hot key is not one task's."""
+    pick, rest = (F.max_by if last else F.min_by), [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return one.select(*keys, "_row.*").select(*rows.columns)
 
 
 def resolve(edges: DataFrame, keys: dict[str, str], devices: DataFrame, code: str, columns: list[str]) -> DataFrame:
@@ -82,14 +83,23 @@ def same_route_pairs(rows: DataFrame, route: list[str], code: str, seq: str) ->
     return a.join(b, route).where("_s1 < _s2 AND first <> second").drop("_s1", "_s2")
 
 
-def in_domain(values: DataFrame, column: str, domain: DataFrame, entry: str) -> DataFrame:
-    """Distinct values that a list doesn't know: neither equal, nor equal in another case, nor one contained in the other, nor alike in the first word.
-    Equal ones go by a hash join; only distinct values that remain meet the list's entries."""
-    mine = values.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct()
-    known = domain.select(F.trim(F.upper(F.col(entry))).alias("_d")).where("_d IS NOT NULL").distinct()
-    u = F.trim(F.upper(F.col("value")))
-    left = mine.join(known, u == F.col("_d"), "left_anti")
-    return left.join(F.broadcast(known), F.contains(u, F.col("_d")) | F.contains(F.col("_d"), u) | (F.split(u, " ")[0] == F.split(F.col("_d"), " ")[0]), "left_anti")
+def in_domain(values: DataFrame, column: str, domain: DataFrame, entry: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys…, value): distinct values that the list of the same keys doesn't know: neither equal in any case, nor one contained in the other, nor alike in their
+    first words (parted by blanks, ; or ,). Blank entries are left out; a blank value is contained in every entry, so it is known if there is any. Keys without an entry judge nothing.
+
+    Only distinct values that aren't equal go on, and they meet entries by equality alone: by first words, and by runs of characters as in contained_codes, once
+    for entries in values and once for values in entries. So neither side is broadcast, and lists may be of any size."""
+    upper = lambda df, c, name: df.select(*keys, F.trim(F.upper(F.col(c))).alias(name))
+    mine = values.select(*keys, F.col(column).alias("value")).where("value IS NOT NULL").distinct().withColumn("_v", F.trim(F.upper("value")))
+    known = upper(domain, entry, "_v").where("_v <> ''").distinct()
+    any_ = known.select(*keys, F.lit(True).alias("_any")).distinct() if keys else known.select(F.lit(True).alias("_any")).limit(1)
+    mine = mine.join(any_, list(keys), "left_semi") if keys else mine.join(any_, F.col("_any"), "left_semi")
+    word = lambda c: F.split(F.split(c, r"\s+")[0], "[;,]")[0]
+    left = mine.where("_v <> ''").join(known, [*keys, "_v"], "left_anti").withColumn("_w", word(F.col("_v")))
+    left = left.join(known.select(*keys, word(F.col("_v")).alias("_w")).distinct(), [*keys, "_w"], "left_anti").select(*keys, "value", "_v")
+    holds = contained_codes(left, "_v", known, "_v", list(keys)).select(*keys, F.col("text").alias("_v"))
+    within = containing(known, "_v", left, "_v", list(keys)).select(*keys, F.col("code").alias("_v"))
+    return left.join(holds.unionByName(within).distinct(), [*keys, "_v"], "left_anti").select(*keys, "value")
 
 
 def longest_in_text(texts: DataFrame, id_col: str, text_col: str, codes: DataFrame, code_col: str, words: int = 4) -> DataFrame:
@@ -117,6 +127,34 @@ def longest_in_text(texts: DataFrame, id_col: str, text_col: str, codes: DataFra
     return met.groupBy(id_col).agg(F.max_by("code", F.struct(F.char_length("code"), "code")).alias("code"))
 
 
+def _met_codes(texts: DataFrame, text_col: str, codes: DataFrame, code_col: str, keys: list[str]) -> DataFrame:
+    """(keys…, text, code): codes and the texts that contain them, see contained_codes."""
+    width = 3
+    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - (n - 1), F.lit(1))), lambda k: F.substring(c, k, n)))
+    listed = codes.select(*keys, F.col(code_col).alias("code")).where("trim(code) <> ''").distinct()
+    each = listed.select(*keys, "code", F.explode(F.when(F.char_length("code") < width, F.array("code")).otherwise(runs(F.col("code"), F.lit(width)))).alias("_run"))
+    rare = each.groupBy(*keys, "_run").agg(F.count("*").alias("_n"))
+    heads = each.join(rare, [*keys, "_run"]).groupBy(*keys, "code").agg(F.min(F.struct("_n", "_run")).alias("_h")).select(*keys, "code", F.col("_h._run").alias("_run"))
+    said = texts.select(*keys, F.col(text_col).alias("text")).where("text <> ''").distinct()
+    asked = said.select(*keys, "text", F.explode(F.array_distinct(F.flatten(F.array(*[runs(F.col("text"), F.lit(n)) for n in range(1, width + 1)])))).alias("_run"))
+    return asked.join(heads, [*keys, "_run"]).where(F.contains("text", F.col("code")))
+
+
+def contained_codes(texts: DataFrame, text_col: str, codes: DataFrame, code_col: str, keys: list[str]) -> DataFrame:
+    """(keys…, text, code): for each distinct text and keys the longest code of the same keys that it contains, wherever that begins or ends; of equally long
+    codes the first in code-point order. Blank codes are left out, texts without a code don't appear.
+
+    Every code is listed under one of its runs of three characters (or itself, if it is shorter): the one that the fewest codes of its keys hold. A text asks for all its
+    runs, and what is listed there is tested. A code's other runs don't meet any text, so a prefix that all codes share costs nothing."""
+    met = _met_codes(texts, text_col, codes, code_col, keys)
+    return met.groupBy(*keys, "text").agg(F.min_by("code", F.struct(-F.char_length("code"), "code")).alias("code"))
+
+
+def containing(texts: DataFrame, text_col: str, codes: DataFrame, code_col: str, keys: list[str]) -> DataFrame:
+    """(keys…, code): distinct codes of at least one character that some text of the same keys contains."""
+    return _met_codes(texts, text_col, codes, code_col, keys).select(*keys, "code").distinct()
+
+
 def shared_tokens(left: DataFrame, left_col: str, right: DataFrame, right_col: str, regex: str) -> DataFrame:
     """Distinct tokens by a regex that occur on both sides."""
     tokens = lambda df, c: df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(regex), F.lit(0)))).alias("token")).distinct()

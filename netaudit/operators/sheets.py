@@ -239,10 +239,12 @@ def construction_join(bill: DataFrame, materials: DataFrame, code: str = "code")
     return bill.join(materials.select(code, "procedure", "location", "name", "unit"), code, "left")
 
 
-def check_case(sheets: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """(project_id, rule_id, object, message): the eight judgements of a case, of all projects at once. known holds material codes; without any, the bill is not judged."""
+def check_case(sheets: DataFrame, known: DataFrame | None = None, projects: DataFrame | None = None) -> DataFrame:
+    """(project_id, rule_id, object, message): the eight judgements of a case, of all projects at once; a project of `projects` without any sheet lacks them all.
+    known holds material codes; without any, the bill is not judged."""
     issue = lambda df, rule, what, why: df.select("project_id", F.lit(rule).alias("rule_id"), what.alias("object"), why.alias("message"))
-    present = sheets.groupBy("project_id").agg(F.collect_set("sheet").alias("held"))
+    every = sheets.select("project_id", "sheet") if projects is None else sheets.select("project_id", "sheet").unionByName(projects.select("project_id", F.lit(None).cast("string").alias("sheet")))
+    present = every.groupBy("project_id").agg(F.collect_set("sheet").alias("held"))
     absent = present.select("project_id", F.explode(F.array_except(F.array(*map(F.lit, config.EXPECTED_SHEETS)), "held")).alias("sheet"))
     out = [issue(absent, "R-FILE-001", F.col("sheet"), F.concat(F.lit("sheet is missing: "), "sheet"))]
 

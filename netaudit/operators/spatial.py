@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netaudit.functions import geo
 from netaudit.functions.relate import relation_of
+from netaudit.operators.cut import cut
 
 
 def once(rows: DataFrame, name: str, value: Column, *keep: str) -> DataFrame:
@@ -36,15 +38,23 @@ def near_points(a: DataFrame, b: DataFrame, size: float, keys: list[str], metric
 
 
 def near_on_earth(a: DataFrame, b: DataFrame, metres: float, keys: list[str]) -> DataFrame:
-    """As near_points for degrees of longitude and latitude (x, y), at most so many metres apart, d in metres. Cells are bands of latitude, and each
-    band is cut by its own step of longitude, so that cells cover `metres` at any latitude; at a pole one cell is the whole band. Pairs across the 180th meridian are not met."""
+    """As near_points for degrees of longitude and latitude (x, y), at most so many metres apart, d in metres.
+
+    Cells are bands of latitude at least `metres` high. Each band is cut into a whole number of columns, at least `metres` wide at the band's and its neighbours' highest
+    latitude, that go around the earth: the last column's neighbour is the first, so pairs across the 180th meridian meet. A band near a pole may be one column. a stands in its own
+    cell and b in those around it, so each pair meets once."""
     high = metres / 110500.0
     # the least cosine in a band and its neighbours; a degree of longitude is at least 111319 m times the cosine
-    wide = lambda cy: F.least(F.lit(400.0), F.lit(metres) / (111319.0 * F.greatest(F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs((cy - 1) * high), F.abs((cy + 2) * high))))), F.lit(1e-12))))
-    left = a.withColumn("_cy", F.floor(F.col("y") / high)).withColumn("_cx", F.floor(F.col("x") / wide(F.col("_cy"))))
-    right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys]).withColumn("_by", F.floor(F.col("b_y") / high)).withColumn("_cy", F.explode(F.sequence(F.col("_by") - 1, F.col("_by") + 1)))
-    at = F.floor(F.col("b_x") / wide(F.col("_cy")))
-    right = right.withColumn("_cx", F.explode(F.sequence(at - 1, at + 1))).drop("_by")
+    top = lambda cy: F.least(F.lit(90.0), F.greatest(F.abs((cy - 1) * high), F.abs((cy + 2) * high)))
+    step = lambda cy: F.least(F.lit(360.0), F.lit(metres) / (111319.0 * F.greatest(F.cos(F.radians(top(cy))), F.lit(1e-12))))
+    columns = lambda cy: F.greatest(F.floor(360.0 / step(cy)), F.lit(1)).cast("long")
+    place = lambda x, cy: F.least(F.floor((F.pmod(x + 180.0, F.lit(360.0))) / 360.0 * columns(cy)).cast("long"), columns(cy) - 1)
+    left = a.withColumn("_cy", F.floor(F.col("y") / high)).withColumn("_cx", place(F.col("x"), F.col("_cy")))
+    right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys])
+    band = F.floor(F.col("b_y") / high)
+    right = right.withColumn("_cy", F.explode(F.sequence(band - 1, band + 1)))
+    at, n = place(F.col("b_x"), F.col("_cy")), columns(F.col("_cy"))
+    right = right.withColumn("_cx", F.explode(F.array_distinct(F.array(F.pmod(at - 1, n), at, F.pmod(at + 1, n)))))
     met = left.join(right, [*keys, "_cx", "_cy"]).withColumn("d", geo.geodesic_m(F.col("x"), F.col("y"), F.col("b_x"), F.col("b_y")))
     return met.where(F.col("d") <= metres).drop("_cx", "_cy")
 
@@ -129,6 +139,27 @@ def nearest_other(ends: DataFrame, keys: list[str], id_cols: list[str], code: st
     return found.unionByName(todo.select(*keys, *id_cols, F.lit(None).cast("double").alias("d"), F.lit(None).cast(dict(ends.dtypes)[code]).alias("nearest")))
 
 
+def nearest_on_earth(ends: DataFrame, keys: list[str], id_cols: list[str], code: str, start: float) -> DataFrame:
+    """(keys…, ids…, d, nearest): for each end (…, x, y in degrees) the nearest end of another code of the same keys, d in metres; of equally near ones
+    the first code. Ends whose keys hold no other code have d null.
+
+    Rounds of growing reach, four times as far each: all pairs within the reach meet in cells that follow the latitude and go around the earth, so an answer within the reach
+    is the nearest of all. Only ends without one go on, as a written table, and they meet all ends again; the last round reaches around the earth."""
+    several = ends.groupBy(*keys).agg(F.min(code).alias("_a"), F.max(code).alias("_b")).where("_a <> _b").select(*keys)
+    todo = cut(ends.join(several, keys, "left_semi")) if keys else ends
+    other, found, reach = todo.select(*keys, "x", "y", F.col(code).alias("other")), [], start
+    while True:
+        met = near_on_earth(todo, other, reach, keys).where(F.col("b_other") != F.col(code))
+        best = cut(met.groupBy(*keys, *id_cols).agg(F.min(F.struct("d", F.col("b_other").alias("nearest"))).alias("m")).select(*keys, *id_cols, "m.*"))
+        found.append(best)
+        todo = cut(todo.join(best.select(*keys, *id_cols), [*keys, *id_cols], "left_anti"))
+        if reach > 4.1e7 or todo.isEmpty():
+            break
+        reach *= 4
+    near = reduce(DataFrame.unionByName, found)
+    return ends.select(*keys, *id_cols).join(near, [*keys, *id_cols], "left")
+
+
 def outside(points: DataFrame, polygons: DataFrame, size: float, keys: list[str], id_col: str) -> DataFrame:
     """Points (id, x, y) strictly inside no polygon (coords)."""
     box = geo.bbox(F.col("coords"))

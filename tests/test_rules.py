@@ -106,7 +106,7 @@ def test_layers_and_registry(spark):
     assert {r.object_id: r.passed for r in run_rule(x, "R002").collect()}["INFRASTRUCTURE"] is True
     assert {r.object_id: r.passed for r in run_rule(x, "R004").collect()} == {"CABLE": False, "INFRASTRUCTURE": True}
     assert run_rule(x, "R999").first().message == "unknown rule"
-    assert len(RULES) == 65
+    assert len(RULES) == 67
 
 
 def test_audit_routes_and_traces(spark):
