@@ -19,6 +19,8 @@ from netaudit.llm.words import mixed, raw, slices
 _U = np.uint64
 #: Bytes of an n-gram; bits of a position in the filter; hash functions; labelled rows to learn from, at most about.
 SIZES, BITS, HASHES, LEARN_DOCS, _SLOT = (3, 4, 5), 20, 3, 8000, 1 << 16
+#: Bytes of text that a task works on at once; its arrays hold some hundred times as many.
+_BYTES = 1 << 18
 #: Languages, at most; the filter takes 8 MB for each 64.
 MOST_LANGS = 1024
 #: A language contains an n-gram that stands in two of its rows at least, and as often a row as this part of where it is most frequent.
@@ -71,7 +73,7 @@ def _places(hashes: np.ndarray) -> Iterator[np.ndarray]:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, rows): in how many rows of the batch each n-gram of a language stands."""
     for whole in batches:
-        for batch in slices(whole):
+        for batch in slices(whole, chunk=_BYTES):
             h, row = grams(batch.column("text"))
             names, codes = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
             order = np.lexsort((row, h))
@@ -134,7 +136,7 @@ def _decided(model, at: int | None):
         m: Model = model.value
         for given in batches:
             whole = given if at is None else given.append_column("text", pc.struct_field(given.column("row"), at))
-            for batch in slices(whole):
+            for batch in slices(whole, chunk=_BYTES):
                 h, row = grams(batch.column("text"))
                 total = np.maximum(np.bincount(row, minlength=batch.num_rows), 1)
                 share = np.zeros((batch.num_rows, max(1, len(m.langs))))

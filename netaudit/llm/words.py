@@ -24,13 +24,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about a megabyte of text each, so that work arrays stay small whatever the texts' lengths."""
+def slices(batch: pa.RecordBatch, column: str = "text", chunk: int = _CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about a megabyte of text each, or of so many bytes, so that work arrays stay small whatever the texts' lengths."""
     sizes = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0)))
     at = 0
     while at < batch.num_rows:
         before = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, before + _CHUNK, "right")))
+        to = max(at + 1, int(np.searchsorted(sizes, before + chunk, "right")))
         yield batch.slice(at, to - at)
         at = to
 
