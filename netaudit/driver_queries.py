@@ -13,6 +13,7 @@ from netaudit.operators import aggregates as A
 from netaudit.operators import bom as B
 from netaudit.operators import fields as C
 from netaudit.operators import joins as J
+from netaudit.operators import ranks as N
 from netaudit.operators import spatial as G
 from netaudit.operators import windows as W
 from netaudit.streaming.submissions import dedupe_batch
@@ -415,7 +416,7 @@ def fill_down(spark, d):
 
 @query("""SELECT o_orderpriority, o_orderkey, row_no, total FROM (SELECT o_orderpriority, o_orderkey, row_number() OVER w AS row_no, count(*) OVER (PARTITION BY o_orderpriority) AS total FROM orders WHERE o_orderstatus = 'F' WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)) WHERE row_no BETWEEN 21 AND 40""")
 def page_filter(spark, d):
-    return W.page(_t(spark, d, "orders"), ["o_orderpriority"], ["o_orderkey"], 2, 20, F.col("o_orderstatus") == "F").select("o_orderpriority", "o_orderkey", "row_no", "total")
+    return N.page(_t(spark, d, "orders"), ["o_orderpriority"], ["o_orderkey"], 2, 20, F.col("o_orderstatus") == "F").select("o_orderpriority", "o_orderkey", "row_no", "total")
 
 
 @query("""WITH r AS (SELECT l_suppkey AS sheet, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) + 1 AS row_no, (l_partkey % 40)::VARCHAR AS a, l_returnflag AS b, (l_linenumber % 3)::VARCHAR AS c FROM lineitem)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from netaudit.operators.ranks import quantile
+
 
 def repeated_codes(rows: DataFrame, code: Column, keys: list[str], id_col: str) -> DataFrame:
     """(keys…, code, n, first_id) of codes that occur more than once in their scope; null codes are left out."""
@@ -67,7 +71,12 @@ def serious_issues(issues: DataFrame, order: list[str], bulk_rule: str = "R019",
 
 
 def distance_stats(edges: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
-    return edges.groupBy(*(keys or [])).agg(F.count(column).alias("n"), F.round(F.min(column), 3).alias("least"), F.round(F.percentile(column, 0.5), 3).alias("median"), F.round(F.max(column), 3).alias("most"))
+    """(keys…, n, least, median, most) of each group's distances, to three decimals. The median comes from ranks of a range sort, so no task holds a group's values."""
+    keys = keys or []
+    sums = edges.groupBy(*keys).agg(F.count(column).alias("n"), F.round(F.min(column), 3).alias("least"), F.round(F.max(column), 3).alias("most"))
+    middle = quantile(edges, keys, column).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.round("quantile", 3).alias("median"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.lit(True))
+    return sums.join(middle, on, "left").select(*keys, "n", "least", "median", "most")
 
 
 def accuracy(expected: DataFrame, hit: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from netaudit.functions import geo
 from netaudit.functions.values import null_if_token
+from netaudit.operators.ranks import numbered
 from netaudit.operators.windows import detect_header
 
 
@@ -15,32 +16,67 @@ def _stem() -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
 
 
-def _features(rows: DataFrame, fields: list[str], project: str, geometry: Column | None = None, crs: str | None = None) -> DataFrame:
-    props = F.map_filter(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))]), lambda k, v: v.isNotNull()) if fields else F.create_map().cast("map<string,string>")
+def _ordered(rows: DataFrame, layer: Column, one_file: bool) -> DataFrame:
+    """rows with _layer, _order (the layer's place by its first file's path) and _seq (the row's place in its layer, from 0 on), the same however files are split.
+
+    A row's place in its block of a file, and prefix sums of the blocks' rows by path and start: one number a block. With one_file a layer is the
+    first file, by path, of its name; others of that name in other folders are left out."""
+    at = rows.select("*", layer.alias("_layer"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    blocks = at.groupBy("_layer", "_path", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    if one_file:
+        blocks = blocks.join(blocks.groupBy("_layer").agg(F.min("_path").alias("_path")), ["_layer", "_path"])
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_layer").orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    layers = blocks.groupBy("_layer").agg(F.min("_path").alias("_start")).select("_layer", (F.row_number().over(Window.orderBy("_start", "_layer")) - 1).alias("_order"))
+    blocks = blocks.withColumn("_add", before - F.col("_first")).join(layers, "_layer").select("_path", "_block", "_add", "_order")
+    return at.join(blocks, ["_path", "_block"]).withColumn("_seq", F.col("_at") + F.col("_add"))
+
+
+_OWN = ("_layer", "_path", "_block", "_at", "_add", "_order", "_seq", "fid")
+
+
+def _features(rows: DataFrame, project: str, wkt: str | None = None, crs: str | None = None) -> DataFrame:
+    fields = [c for c in rows.columns if c not in (*_OWN, wkt)]
+    texts = [x for f in fields for x in (F.lit(f), F.col(f"`{f}`").cast("string"))]
     kinds = dict(rows.dtypes)
-    types = F.create_map(*[F.lit(x) for f in fields for x in (f, kinds[f])]) if fields else F.create_map().cast("map<string,string>")
-    wkt = geometry if geometry is not None else F.lit(None).cast("string")
-    return rows.select(F.lit(project).alias("project_id"), F.col("_layer").alias("layer"), F.lit(0).alias("layer_order"), F.col("_seq").cast("string").alias("feature_id"), F.col("_seq").alias("feature_seq"), geo.wkt_type(wkt).alias("geom_type"), geo.parse_wkt(wkt).alias("coords"), F.lit(crs).cast("string").alias("crs"), props.alias("props"), types.alias("prop_types"), F.lit(False).alias("is_deleted"))
+    nothing = F.create_map().cast("map<string,string>")
+    props = F.map_filter(F.create_map(*texts), lambda k, v: v.isNotNull()) if fields else nothing
+    types = F.create_map(*[F.lit(x) for f in fields for x in (f, kinds[f])]) if fields else nothing
+    shape = F.col(f"`{wkt}`") if wkt else F.lit(None).cast("string")
+    return rows.select(
+        F.lit(project).alias("project_id"), F.col("_layer").alias("layer"), F.col("_order").alias("layer_order"), F.col("_seq").cast("string").alias("feature_id"), F.col("_seq").alias("feature_seq"),
+        geo.wkt_type(shape).alias("geom_type"), geo.parse_wkt(shape).alias("coords"), F.lit(crs).cast("string").alias("crs"), props.alias("props"), types.alias("prop_types"), F.lit(False).alias("is_deleted"),
+    )
 
 
 def read_csv_layers(spark: SparkSession, paths: str | list[str], project: str = "p", wkt: str | None = None, crs: str | None = None) -> DataFrame:
-    """Every CSV file is a layer named by its stem; `wkt` names the column of a geometry. Files are read with the union of their headers' order, so files of
-    different columns go in calls of their own."""
-    rows = spark.read.option("header", True).csv(paths).select("*", _stem().alias("_layer"), F.monotonically_increasing_id().alias("_seq"))
-    fields = [c for c in rows.columns if c not in ("_layer", "_seq", wkt, "fid")]
-    return _features(rows, fields, project, F.col(wkt) if wkt else None, crs)
+    """Every CSV file is a layer named by its stem, the first by path of equal stems; `wkt` names the column of a geometry. Files of one call have one header;
+    files of other columns go in calls of their own. Features are numbered in the files' order, layers in that of their paths."""
+    return _features(_ordered(spark.read.option("header", True).csv(paths), _stem(), True), project, wkt, crs)
 
 
 def read_json_layers(spark: SparkSession, paths: str | list[str], project: str = "p") -> DataFrame:
-    """Each item of a JSON list, or a JSON object, is a feature of the layer named by the file's stem."""
-    rows = spark.read.option("multiLine", True).json(paths).select("*", _stem().alias("_layer"), F.monotonically_increasing_id().alias("_seq"))
-    return _features(rows, [c for c in rows.columns if c not in ("_layer", "_seq")], project)
+    """Each item of a JSON list, or a JSON object, is a feature of the layer named by the file's stem, the first by path of equal stems. Items that are no objects
+    become {"value": item}. A file is one task's work, as such JSON can't be split."""
+    files = spark.read.text(paths, wholetext=True)
+    items = F.coalesce(F.from_json("value", "array<string>"), F.array("value"))
+    rows = _ordered(files, _stem(), True).select("_layer", "_order", F.posexplode(items).alias("_nth", "_item"))
+    item = F.try_parse_json("_item")
+    is_object = F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False))
+    texts = F.when(is_object, F.from_json("_item", "map<string,string>")).otherwise(F.create_map(F.lit("value"), F.col("_item")))
+    fields = F.variant_get(item, "$", "map<string,variant>")
+    kind = {"BIGINT": "bigint", "DOUBLE": "double", "BOOLEAN": "boolean"}
+    named = F.transform_values(fields, lambda k, v: F.coalesce(*[F.when(F.schema_of_variant(v).startswith(t), n) for t, n in kind.items()], F.when(F.schema_of_variant(v).startswith("DECIMAL"), "double"), F.lit("string")))
+    kinds = F.when(is_object, named).otherwise(F.create_map(F.lit("value"), F.lit("string")))
+    return rows.select(
+        F.lit(project).alias("project_id"), F.col("_layer").alias("layer"), F.col("_order").alias("layer_order"), F.col("_nth").cast("string").alias("feature_id"), F.col("_nth").cast("long").alias("feature_seq"),
+        F.lit(None).cast("string").alias("geom_type"), F.lit(None).cast(geo.COORDS).alias("coords"), F.lit(None).cast("string").alias("crs"),
+        F.map_filter(texts, lambda k, v: v.isNotNull()).alias("props"), kinds.alias("prop_types"), F.lit(False).alias("is_deleted"),
+    )
 
 
 def read_table(spark: SparkSession, path: str, layer: str, project: str = "p", wkt: str | None = None, crs: str | None = None) -> DataFrame:
-    """A Parquet table as a layer, with a geometry column in WKT if it has one."""
-    rows = spark.read.parquet(path).select("*", F.lit(layer).alias("_layer"), F.monotonically_increasing_id().alias("_seq"))
-    return _features(rows, [c for c in rows.columns if c not in ("_layer", "_seq", wkt, "fid")], project, F.col(wkt) if wkt else None, crs)
+    """A Parquet table as a layer, with a geometry column in WKT if it has one, numbered in the order of its files and rows."""
+    return _features(_ordered(spark.read.parquet(path), F.lit(layer), False), project, wkt, crs)
 
 
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -94,6 +130,18 @@ def read_sheets_multi(sheets: DataFrame, names: list[str], limit: int = 200) ->
     return sheet_records(chosen).join(head, keys).where(F.col("row_no") - F.col("header_row") <= limit).drop("header_row").join(totals, keys)
 
 
+def sheet_pages(sheets: DataFrame, number: int, size: int, word: str | None = None, names: list[str] | None = None) -> DataFrame:
+    """(project_id, file, sheet, row_no, record, place, total): one page of the records of each sheet, below its detected header, that hold the word in any cell, in any
+    case, with their place among these and how many there are."""
+    chosen = sheets if names is None else sheets.where(F.col("sheet").isin(*names))
+    records = sheet_records(chosen)
+    if word:
+        records = records.where(F.exists(F.map_values("record"), lambda v: F.contains(F.lower(v), F.lit(word.lower()))))
+    keys = ["project_id", "file", "sheet"]
+    size = min(max(size, 1), 1000)
+    return numbered(records, keys, ["row_no"], "place").where(F.col("place").between((number - 1) * size + 1, number * size))
+
+
 def read_domain_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Distinct first entries, parted by ; or , of reference lists; the first line of a file is a header."""
     lines = spark.read.option("header", True).option("sep", "\u0001").csv(paths)

@@ -11,6 +11,7 @@ from netaudit.operators import aggregates as A
 from netaudit.operators import bom as B
 from netaudit.operators import fields as C
 from netaudit.operators import joins as J
+from netaudit.operators import ranks as N
 from netaudit.operators import windows as W
 from netaudit.sources import readers as R
 from netaudit.streaming.submissions import dedupe_submissions
@@ -85,7 +86,7 @@ def test_headers_pages_and_records(spark):
     assert W.detect_header(sheet(spark, rows), ["sheet"], "row_no", "cells").first().header_row == 3
     s = sheet(spark, [["k", "", "v", "w", "x"], ["1", "2", " 3 ", "4", "5"]])
     assert R.sheet_records(s).first().record == {"k": "1", "Col_2": "2", "v": "3", "w": "4", "x": "5"}
-    p = W.page(sheet(spark, [["x"], ["PC 1"], ["y"], ["PC 2"]]), ["sheet"], ["row_no"], 2, 1, F.exists("cells", lambda c: c.contains("PC"))).collect()
+    p = N.page(sheet(spark, [["x"], ["PC 1"], ["y"], ["PC 2"]]), ["sheet"], ["row_no"], 2, 1, F.exists("cells", lambda c: c.contains("PC"))).collect()
     assert [(r.cells, r.total) for r in p] == [(["PC 2"], 2)]
 
 
@@ -106,7 +107,7 @@ def test_fields_and_summaries(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "BOITE.csv").write_text('CODE,geom\nB,"POINT (1 2)"\nC,\n')
     f = R.read_csv_layers(spark, str(tmp_path / "BOITE.csv"), wkt="geom", crs="EPSG:4326").collect()
-    assert [(r.layer, r.props, r.geom_type) for r in f] == [("BOITE", {"CODE": "B"}, "point"), ("BOITE", {"CODE": "C"}, None)]
+    assert [(r.layer, r.props, r.geom_type) for r in sorted(f, key=lambda r: r.feature_seq)] == [("BOITE", {"CODE": "B"}, "point"), ("BOITE", {"CODE": "C"}, None)]
     (tmp_path / "SITE.json").write_text(json.dumps([{"CODE": "S", "N": 1}, {"CODE": "T"}]))
     assert R.read_json_layers(spark, str(tmp_path / "SITE.json")).count() == 2
     assert {r.suffix for r in R.file_manifest(spark, str(tmp_path)).collect()} == {"csv", "json"}
