@@ -137,9 +137,32 @@ def _secret_sql() -> str:
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (row)"""
 
 
+def _spelling_sql() -> str:
+    """crc32 by its table, near words by what they have in common with one code point left out."""
+    low = "translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    step = "xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)"
+    entry = "k::BIGINT"
+    for _ in range(8):
+        entry = f"list_transform([{entry}], lambda x: {step})[1]"
+    crc = "xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c // 256, tab[(xor(c % 256, b) + 1)::BIGINT])), 4294967295)"
+    return f"""WITH t AS (SELECT list({entry} ORDER BY k) AS tab FROM range(256) r(k)),
+    r AS (SELECT doc_id, {low} AS run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY 1, 2),
+    b AS (SELECT run, n, list_transform(range(1, length(h) + 1, 2), lambda i: ('0x' || h[i:i + 1])::BIGINT) AS bytes FROM (SELECT run, n, hex(doc_id || ':' || run) AS h FROM r)),
+    c AS (SELECT run, n, {crc} AS h FROM b, t),
+    e AS (SELECT CASE WHEN h % {NOISE} = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM c),
+    w AS (SELECT word, sum(n)::BIGINT AS n FROM e WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+    v AS (SELECT word, n, word AS part, 0 AS i FROM w UNION ALL SELECT word, n, left(word, i - 1) || substr(word, i + 1), i FROM w, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+    p AS (SELECT DISTINCT a.word, a.n, o.word AS other, o.n AS m FROM v a JOIN v o USING (part) WHERE a.word <> o.word AND (a.i = o.i OR a.i = 0 OR o.i = 0)),
+    f AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS best, max(m) AS m, any_value(n) AS n FROM p GROUP BY 1),
+    g AS (SELECT word, n_near, CASE WHEN m >= 10 * n THEN best END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM f),
+    z AS (WITH RECURSIVE q AS (SELECT word, form AS root FROM g WHERE form IS NOT NULL UNION ALL SELECT q.word, g.form FROM q JOIN g ON g.word = q.root WHERE g.form IS NOT NULL) SELECT q.word, q.root FROM q LEFT JOIN g ON g.word = q.root WHERE g.form IS NULL)
+    SELECT w.word, form, coalesce(root, w.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n FROM w LEFT JOIN g USING (word) LEFT JOIN z USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_secret_scan": _secret_sql(),
+        "op13_spelling_variants": _spelling_sql(),
         "op5_exact_dedup": f"""SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
             FROM (SELECT doc_id, {_LOWER} AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
         "op6_line_dedup": rf"""WITH p AS (SELECT row_number() OVER () AS row, page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
