@@ -35,6 +35,11 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?([.#][\w-]+)?")
 _DECLARED = re.compile(r"(display|visibility)\s*+:\s*+([a-z-]+)", re.I)
+_EMPTY_COMMENT = re.compile(r"-?>")
+#: Display values of elements that stand in lines of their own, and of those that stand in a line; buttons of a form and what they say by themselves.
+_AS_BLOCK = frozenset("block flex grid list-item table flow-root table-row table-caption table-row-group".split())
+_AS_INLINE = frozenset("inline inline-block inline-flex inline-grid inline-table contents".split())
+_BUTTONS = {"submit": "Submit", "reset": "Reset", "button": ""}
 _BLANK = re.compile(r"[ \t\r\n\f]+")
 #: Tags with an unclosed quote after which quotes count no more in a page; tables in tables beyond which cells are plain blocks; the widest column that
 #: cells are padded to; most columns and rows that one cell spans; columns
@@ -42,6 +47,10 @@ _BLANK = re.compile(r"[ \t\r\n\f]+")
 _BAD_QUOTES, _DEEPEST, _WIDEST, _SPAN, _COVERED, _INDENTS = 8, 6, 80, 100, 4, 16
 
 
+#: Attributes that matter on these elements only.
+_OWN = {"li": ("value",), "input": ("type", "value")}
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
@@ -92,6 +101,9 @@ def parse(html: str) -> Page:
         put(unescape(html[at : m.start()]))
         at, tag = m.end(), (m[2] or "").lower()
         if not tag:
+            if m[0] == "<!--" and (empty := _EMPTY_COMMENT.match(html, at)):
+                at = empty.end()
+                continue
             mark = "-->" if m[0] == "<!--" else "]]>" if m[0] == "<![CDATA[" else ">"
             end = html.find(mark, at)
             if m[0] == "<![CDATA[":
@@ -124,7 +136,7 @@ def parse(html: str) -> Page:
         if tag in ("td", "th") and latest(("table",)) >= 0 and latest(("tr",)) < latest(("table",)):
             push(Node("tr"))
         found = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in reversed(list(_ATTRIBUTE.finditer(text)))} if text.strip(" /") else {}
-        node = Node(tag, {k: unescape(found[k]) for k in ("hidden", "style", "class", "id", "start", "colspan", "rowspan", "open", "label") if k in found})
+        node = Node(tag, {k: unescape(found[k]) for k in ("hidden", "style", "class", "id", "start", "colspan", "rowspan", "open", "label", *_OWN.get(tag, ())) if k in found})
         if tag in RAW:
             stack[-1].children.append(node)
             end = _RAW_END[tag].search(html, at)
@@ -275,6 +287,15 @@ def _span(node: Node, name: str) -> int:
     return min(_SPAN, max(1, int(value))) if re.fullmatch(r"\d{1,9}", value) else 1
 
 
+def _shown_children(n: Node) -> list:
+    """An element's children as they are shown: of details that are closed the first summary, and a table's foot after its bodies."""
+    if n.tag == "details" and "open" not in n.attributes:
+        return [c for c in n.children if isinstance(c, Node) and c.tag == "summary"][:1]
+    if n.tag == "table":
+        return sorted(n.children, key=lambda c: isinstance(c, Node) and c.tag == "tfoot")
+    return n.children
+
+
 def render(page: Page) -> str:
     """All visible text of a page. Walks with a stack of its own, so deep nesting costs memory and no recursion. Each cell of a table has lines of
     its own, blocks and tables in it too; tables nested deeper than _DEEPEST are plain blocks. Whatever of a table stands outside its cells comes before it."""
@@ -315,6 +336,12 @@ def render(page: Page) -> str:
                 if seen:
                     out.end(keep=True)
                 continue
+            if n.tag == "input":
+                kind = n.attributes.get("type", "").lower()
+                if seen and kind in _BUTTONS:
+                    out.text(n.attributes.get("value", _BUTTONS[kind]))
+                continue
+            shown = said.get("display", "")
             if n.tag == "table" and tables < _DEEPEST:
                 out.block(True)
                 todo.append(("table", n, inner))
@@ -334,12 +361,16 @@ def render(page: Page) -> str:
                     start = n.attributes.get("start", "")
                     depth, count = depth + 1, [(int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1) if n.tag == "ol" else None]
                     inner = (depth, pre, count, seen, tables)
-                if n.tag in BLOCK or n.tag in PARTS or n.tag in ("table", "td", "th", "caption"):
+                block = n.tag in BLOCK or n.tag in PARTS or n.tag in ("table", "td", "th", "caption")
+                if shown in _AS_BLOCK or (block and shown not in _AS_INLINE):
                     if n.tag == "table":
                         inner = (depth, pre, count, seen, _DEEPEST + 1)
                     out.block(n.tag in _SPACED and not (n.tag in ("ul", "ol") and depth > 1))
                     todo.append(("out", n, (depth, pre, count, seen, tables)))
                 if n.tag == "li":
+                    value = n.attributes.get("value", "")
+                    if count and count[0] is not None and re.fullmatch(r"-?\d{1,9}", value):
+                        count[0] = int(value)
                     number = count[0] if count else None
                     if seen:
                         out.pending = "  " * min(_INDENTS, max(0, depth - 1)) + ("- " if number is None else f"{number}. ")
@@ -348,7 +379,7 @@ def render(page: Page) -> str:
                 if n.tag == "optgroup" and n.attributes.get("label") and seen:
                     out.text(n.attributes["label"])
                     out.end()
-            todo += [("in", c, inner) for c in reversed(n.children)]
+            todo += [("in", c, inner) for c in reversed(_shown_children(n))]
     return "\n".join(out.done()).strip("\n")
 
 
@@ -364,7 +395,7 @@ def html_text(pages: DataFrame, columns: list[str], html_col: str = "html") -> D
     columns, the added one is _visible_text.
 
     Scripts, styles, the head, comments and elements hidden by attribute, inline style or a simple rule of the page's own style elements give nothing;
-    visibility can be turned on again inside. Blocks begin lines, paragraphs, headings, lists and
+    visibility can be turned on again inside, and display makes blocks of other elements and the reverse. Closed details show their summary, buttons their value. Blocks begin lines, paragraphs, headings, lists and
     tables stand apart by an empty line, list items get bullets or numbers and an indent, cells of a table are aligned, with their own lines, `pre`
     keeps its blanks. Navigation and footers are text like any other. A null or empty page gives the empty text. Broken markup is read as far as it
     goes. Very long pages take time in proportion. Rows are rendered one by one, so repeated rows get equal texts, and an empty table gives an empty result."""

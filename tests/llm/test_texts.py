@@ -46,6 +46,9 @@ def test_broken_markup(page):
     ("<table><tr><td>p<p>q<br>r</td><td>z</td></tr><tr><td colspan=2>wide</td></tr></table>", "p | z\n  |\nq |\nr |\nwide"), ("<table><tr><td>1<td><table><tr><td>in<td>ner</table></table>", "1 | in | ner"),
     ("<textarea>x\n y</textarea><select><option>o1<option>o2</select><svg><title>no</title><text>svg</text></svg>", "x\n y\no1\no2\nsvg"), ("<div aria-hidden=true>aria</div>", "aria"), ("<head><title>t</title>plain text", "plain text"),
     ("<table><caption>cap</caption><tr><td rowspan=2>r<td>1<tr><td>2</table>after", "cap\nr | 1\n  | 2\n\nafter"), ("<style>.x, b.y{display:none} i{display:none}</style><p class='q x'>no</p><b class=y>no</b><u class=y>yes</u><i>no</i>", "yes"),
+    ('<span style="display:block">a</span><span style="display:block">b</span><p style="display:inline">c</p><p style="display: inline">d</p>', "a\nb\ncd"), ("<!--><p>x</p><!--->y<!-- z -->", "x\n\ny"),
+    ("<input type=submit value=Go><input type=reset><input type=text value=no><input type=button value='Push me'>", "GoResetPush me"), ("<details>no<summary>sum</summary>no</details><details open><summary>a</summary>b</details>", "sum\na\nb"),
+    ("<ol><li>a<li value=5>b<li>c</ol>", "1. a\n5. b\n6. c"), ("<table><tfoot><tr><td>foot</tfoot><tbody><tr><td>body</table>", "body\nfoot"), ("<style>.x{display:block}</style><b class=x>a</b><b class=x>b</b>", "a\nb"),
     ("<style>@media print{.z{display:none}} #a{visibility:hidden}</style><p class=z>yes</p><div id=a>no <span style='visibility:visible'>seen</span></div>", "yes\n\nseen"), ("x <!-- y > z", "x"), ("<p style='display:none'>no</p><dialog>no</dialog><dialog open>yes</dialog>", "yes"),
 ])
 def test_visible_text(page, text):
