@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,16 +140,85 @@ def cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column
     return F.flatten(F.transform(F.sequence(lo(x0), lo(x1)), lambda cx: F.transform(F.sequence(lo(y0), lo(y1)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
+#: Third flattening of WGS 84, and Krüger's series in it to the fourth power: forward, back, and from the conformal latitude.
+_N3 = 0.0016792203863836997
+_KRUEGER_A = _A / (1 + _N3) * (1 + _N3**2 / 4 + _N3**4 / 64)
+_FORWARD = (
+    _N3 / 2 - 2 * _N3**2 / 3 + 5 * _N3**3 / 16 + 41 * _N3**4 / 180, 13 * _N3**2 / 48 - 3 * _N3**3 / 5 + 557 * _N3**4 / 1440,
+    61 * _N3**3 / 240 - 103 * _N3**4 / 140, 49561 * _N3**4 / 161280,
+)
+_BACK = (
+    _N3 / 2 - 2 * _N3**2 / 3 + 37 * _N3**3 / 96 - _N3**4 / 360, _N3**2 / 48 + _N3**3 / 15 - 437 * _N3**4 / 1440, 17 * _N3**3 / 480 - 37 * _N3**4 / 840, 4397 * _N3**4 / 161280,
+)
+_LATITUDE = (
+    2 * _N3 - 2 * _N3**2 / 3 - 2 * _N3**3 + 116 * _N3**4 / 45, 7 * _N3**2 / 3 - 8 * _N3**3 / 5 - 227 * _N3**4 / 45, 56 * _N3**3 / 15 - 136 * _N3**4 / 35, 4279 * _N3**4 / 630,
+)
+_UTM = r"^EPSG:32([67])(0[1-9]|[1-5][0-9]|60)$"
+
+
+def _utm(crs: Column) -> tuple[Column, Column]:
+    """Middle meridian in degrees and false northing of a UTM zone; null for another system."""
+    zone = F.regexp_extract(F.upper(crs), _UTM, 2).try_cast("int")
+    return zone * 6 - 183.0, F.when(F.regexp_extract(F.upper(crs), _UTM, 1) == "7", 1e7).otherwise(0.0)
+
+
+def _to_utm(coords: Column, middle: Column, north: Column) -> Column:
+    """Degrees to metres of a zone by Krüger's series, to well below a millimetre within the zone."""
+    e = 2 * math.sqrt(_N3) / (1 + _N3)
+
+    def angles(p: Column) -> Column:
+        s, d = F.sin(F.radians(p["y"])), F.radians(F.pmod(p["x"] - middle + 180.0, F.lit(360.0)) - 180.0)
+        t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+        return F.struct(F.atan2(t, F.cos(d)).alias("u"), F.atanh(F.sin(d) / F.sqrt(1 + t * t)).alias("v"), p["z"].alias("z"))
+
+    def metres(q: Column) -> Column:
+        u, v = q["u"], q["v"]
+        east = sum((a * F.cos(2 * k * u) * F.sinh(2 * k * v) for k, a in enumerate(_FORWARD, 1)), v)
+        up = sum((a * F.sin(2 * k * u) * F.cosh(2 * k * v) for k, a in enumerate(_FORWARD, 1)), u)
+        return xyz(500000.0 + 0.9996 * _KRUEGER_A * east, north + 0.9996 * _KRUEGER_A * up, q["z"])
+
+    return F.transform(F.transform(coords, angles), metres)
+
+
+def _from_utm(coords: Column, middle: Column, north: Column) -> Column:
+    def angles(p: Column) -> Column:
+        return F.struct(((p["y"] - north) / (0.9996 * _KRUEGER_A)).alias("u"), ((p["x"] - 500000.0) / (0.9996 * _KRUEGER_A)).alias("v"), p["z"].alias("z"))
+
+    def plain(q: Column) -> Column:
+        u, v = q["u"], q["v"]
+        u1 = u - sum((b * F.sin(2 * k * u) * F.cosh(2 * k * v) for k, b in enumerate(_BACK, 1)), F.lit(0.0))
+        v1 = v - sum((b * F.cos(2 * k * u) * F.sinh(2 * k * v) for k, b in enumerate(_BACK, 1)), F.lit(0.0))
+        return F.struct(F.asin(F.sin(u1) / F.cosh(v1)).alias("c"), F.atan2(F.sinh(v1), F.cos(u1)).alias("d"), q["z"].alias("z"))
+
+    def degrees(q: Column) -> Column:
+        latitude = sum((d * F.sin(2 * k * q["c"]) for k, d in enumerate(_LATITUDE, 1)), q["c"])
+        return xyz(F.pmod(middle + F.degrees(q["d"]) + 180.0, F.lit(360.0)) - 180.0, F.degrees(latitude), q["z"])
+
+    return F.transform(F.transform(F.transform(coords, angles), plain), degrees)
+
+
+def is_known_crs(crs: Column) -> Column:
+    """Whether reproject() knows the system: a geographic one, Web Mercator or a UTM zone of WGS 84."""
+    return is_geographic(crs) | F.coalesce((F.upper(crs) == "EPSG:3857") | F.upper(crs).rlike(_UTM), F.lit(False))
+
+
 def reproject(coords: Column, src: Column, dst: str) -> Column:
-    """Vertices in another reference system: geographic systems are one, Web Mercator in closed form, others stay as they are."""
-    to = dst.upper()
+    """Vertices in another reference system, z kept: geographic systems are one, Web Mercator in closed form, UTM zones of WGS 84 by series. Those of the same system, and
+    of one that is not known (is_known_crs), stay as they are."""
+    to, here = dst.upper(), F.upper(src)
     mercator = lambda p: xyz(F.radians(p["x"]) * _A, F.log(F.tan(math.pi / 4 + F.radians(p["y"]) / 2)) * _A, p["z"])
     degrees = lambda p: xyz(F.degrees(p["x"] / _A), F.degrees(2 * F.atan(F.exp(p["y"] / _A)) - math.pi / 2), p["z"])
+    utm = F.coalesce(here.rlike(_UTM), F.lit(False))
+    plain = F.when(is_geographic(src), coords).when(here == "EPSG:3857", F.transform(coords, degrees)).when(utm, _from_utm(coords, *_utm(src)))
     if to == "EPSG:3857":
-        return F.when(is_geographic(src), F.transform(coords, mercator)).otherwise(coords)
-    if to in ("EPSG:4326", "EPSG:4490"):
-        return F.when(F.upper(src) == "EPSG:3857", F.transform(coords, degrees)).otherwise(coords)
-    return coords
+        there = F.transform(plain, mercator)
+    elif re.fullmatch(_UTM, to):
+        there = _to_utm(plain, *_utm(F.lit(to)))
+    elif to in ("EPSG:4326", "EPSG:4490"):
+        there = plain
+    else:
+        return coords
+    return F.when(here == to, coords).otherwise(F.coalesce(there, coords))
 
 
 def is_box(ring: Column) -> Column:
