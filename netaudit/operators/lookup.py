@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netaudit.functions import geo
+from netaudit.operators.windows import detect_header
 
 
 def device_lookup(features: DataFrame, codes: DataFrame, crs: str | None = None) -> DataFrame:
@@ -41,7 +42,11 @@ def fiber_sheets(sheets: DataFrame) -> DataFrame:
 
 
 def bom_codes(sheets: DataFrame) -> DataFrame:
-    """Material codes of bill sheets: the column whose header holds CODE or 编码, else the first."""
+    """Material codes of bill sheets, each file and sheet by its own detected header: the first column whose header holds CODE or 编码, else the first column."""
+    keys = [k for k in ("project_id", "file", "sheet") if k in sheets.columns]
     bill = sheets.where(F.col("sheet").rlike("(?i)BOM|物料"))
-    head = bill.where("row_no = 1").select("project_id", "sheet", F.coalesce(F.nullif(F.array_position(F.transform("cells", lambda c: F.upper(c).contains("CODE") | c.contains("编码")), F.lit(True)), F.lit(0)), F.lit(1)).cast("int").alias("at"))
-    return bill.where("row_no > 1").join(head, ["project_id", "sheet"]).select("project_id", F.trim(F.get("cells", F.col("at") - 1)).alias("code")).where("code <> ''").distinct()
+    named = F.array_position(F.transform("cells", lambda c: F.coalesce(F.upper(c).contains("CODE") | c.contains("编码"), F.lit(False))), F.lit(True))
+    heads = bill.join(detect_header(bill, keys, "row_no", "cells"), keys).where("row_no = header_row")
+    at = heads.select(*keys, "header_row", F.coalesce(F.nullif(named, F.lit(0)), F.lit(1)).cast("int").alias("at"))
+    rows = bill.join(at, keys).where("row_no > header_row")
+    return rows.select("project_id", F.trim(F.get("cells", F.col("at") - 1)).alias("code")).where("code <> ''").distinct()

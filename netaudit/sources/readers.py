@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from netaudit.functions import geo
-from netaudit.functions.values import null_if_token
+from netaudit.functions.values import classify_table, null_if_token
 from netaudit.operators.ranks import numbered
 from netaudit.operators.windows import detect_header
 
@@ -114,12 +114,20 @@ def sheet_records(sheets: DataFrame) -> DataFrame:
     return rows.select(*keys, "row_no", F.map_from_entries(F.transform(firsts, lambda p: F.struct(p["k"].alias("key"), F.trim(p["v"]).alias("value")))).alias("record"))
 
 
-def workbook_summary(sheets: DataFrame) -> DataFrame:
-    """(project_id, file, sheet, header, n_rows) of each sheet."""
+def workbook_summary(sheets: DataFrame, samples: int = 3) -> DataFrame:
+    """(project_id, file, sheet, header, n_rows, first_rows, kind) of each sheet: its detected header, the number of rows below it, the first of these, and whether it
+    is a table of fibres, of materials or another, by its name and its file's."""
     keys = ["project_id", "file", "sheet"]
-    head = detect_header(sheets, keys, "row_no", "cells")
-    joined = sheets.join(head, keys)
-    return joined.groupBy(*keys).agg(F.max(F.when(F.col("row_no") == F.col("header_row"), F.col("cells"))).alias("header"), F.count_if(F.col("row_no") > F.col("header_row")).alias("n_rows"))
+    joined = sheets.join(detect_header(sheets, keys, "row_no", "cells"), keys)
+    below = F.col("row_no") - F.col("header_row")
+    first = F.sort_array(F.collect_list(F.when(below.between(1, samples), F.struct("row_no", "cells"))))
+    out = joined.groupBy(*keys).agg(F.max(F.when(below == 0, F.col("cells"))).alias("header"), F.count_if(below > 0).alias("n_rows"), F.transform(first, lambda r: r["cells"]).alias("first_rows"))
+    return out.withColumn("kind", classify_table(F.concat_ws(" ", "file", "sheet")))
+
+
+def layer_sample(features: DataFrame, n: int = 5) -> DataFrame:
+    """The first n features of each layer in their order, with their place and how many the layer has."""
+    return numbered(features, ["project_id", "layer"], ["layer_order", "feature_seq", "feature_id"], "place").where(F.col("place") <= n)
 
 
 def read_sheets_multi(sheets: DataFrame, names: list[str], limit: int = 200) -> DataFrame:

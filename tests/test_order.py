@@ -122,3 +122,21 @@ def test_a_table_of_submissions_by_the_hour(spark):
     rows = [(start + timedelta(minutes=m), c) for m, c in [(0, "a"), (30, "a"), (59, "a"), (60, "a"), (119, "a"), (121, "a"), (5, "b"), (600, "b")]]
     got = S.dedupe_batch(spark.createDataFrame(rows, "at timestamp, c string").repartition(3), "at", ["c"], 1.0).collect()
     assert sorted((int((r.at - start).total_seconds() // 60), r.c) for r in got) == [(0, "a"), (5, "b"), (60, "a"), (121, "a"), (600, "b")]
+
+
+def test_bills_of_several_files(spark):
+    from netaudit.operators.lookup import bom_codes
+
+    cells = [("p", "one", "BOM", k, r) for k, r in enumerate([["name", "Material Code", "a", "b", "c"], ["x", "1", "", "", ""]], 1)]
+    cells += [("p", "two", "BOM", k, r) for k, r in enumerate([["title 2024", "", "", "", "", "", "", "", "", ""], ["编码", "name", "a", "b", "c", "d", "e", "f", "g", "h"], ["2", "y"] + [""] * 8, ["3", None] + [""] * 8], 1)]
+    sheets = spark.createDataFrame(cells, SHEETS)
+    assert {r.code for r in bom_codes(sheets).collect()} == {"1", "2", "3"}
+    rows = {r.file: r for r in R.workbook_summary(sheets, 1).collect()}
+    assert (rows["two"].n_rows, rows["two"].kind, [r[0] for r in rows["two"].first_rows]) == (2, "bom", ["2"]) and rows["one"].header[1] == "Material Code"
+
+
+def test_samples_of_layers(spark):
+    from tests.test_rules import features
+
+    f = features(spark, [("A", {"CODE": str(k)}, None) for k in range(9)] + [("B", {"CODE": "b"}, None)]).repartition(3)
+    assert sorted((r.layer, r.props["CODE"], r.place, r.total) for r in R.layer_sample(f, 2).collect()) == [("A", "0", 1, 9), ("A", "1", 2, 9), ("B", "b", 1, 1)]
