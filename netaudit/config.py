@@ -15,23 +15,48 @@ NULL_TOKENS = ("", "NULL", "None", "/", "N/A", " ")
 REUSED = ("OUI", "YES", "1", "TRUE", "利旧", "REUSE", "REUTILISE", "REUTILISATION")
 
 #: Severity by rule; a rule that is not listed is a warning.
-SEVERITY = dict.fromkeys("R001 R002 R003 R004 R007 R010 R013 R014 R015 R016 R017 R023 R033".split(), "fatal") | dict.fromkeys(
-    "R005 R005_1 R005_2 R005_3 R005_4 R006 R006_3 R006_4 R006_5 R006_6 R007_1 R007_2 R008 R011 R012 R019 R020 R021 R022 R-FIBER-001 R-BOM-001".split(), "error"
+SEVERITY = dict.fromkeys((
+        "R001", "R002", "R003", "R004", "R007", "R010", "R013", "R014", "R015", "R016", "R017", "R023", "R033",
+    ), "fatal") | dict.fromkeys(
+    (
+        "R005", "R005_1", "R005_2", "R005_3", "R005_4", "R006", "R006_3", "R006_4", "R006_5", "R006_6", "R007_1", "R007_2", "R008", "R011", "R012",
+        "R019", "R020", "R021", "R022", "R-FIBER-001", "R-BOM-001",
+    ), "error"
 )
 #: Category by rule; a rule that is not listed is engineering_reasonableness.
 CATEGORY = (
-    dict.fromkeys("R001 R002 R003 R004 R005 R006 R007 R016 R017 R018 R021 R032 R033 R-FLD-001 R-FLD-002 R-FILE-001".split(), "data_completeness")
-    | dict.fromkeys("R010 R014 R025 R026 R027 R028".split() + [f"R-GIS-{k:03}" for k in range(1, 7)] + [f"R-SAFE-{k:03}" for k in range(1, 10)], "spatial_safety")
-    | dict.fromkeys("R011 R012 R019 R020 R022 R-FIBER-001 R-DAT-001 R-BOM-001".split(), "resource")
-    | dict.fromkeys("R008 R009 R005_4 R-REL-001 R-REL-004 R023 R024".split(), "logic_consistency")
+    dict.fromkeys((
+        "R001", "R002", "R003", "R004", "R005", "R006", "R007", "R016", "R017", "R018", "R021", "R032", "R033", "R-FLD-001", "R-FLD-002",
+        "R-FILE-001",
+    ), "data_completeness")
+    | dict.fromkeys((
+        "R010", "R014", "R025", "R026", "R027", "R028",
+        "R-GIS-001", "R-GIS-002", "R-GIS-003", "R-GIS-004", "R-GIS-005", "R-GIS-006",
+        "R-SAFE-001", "R-SAFE-002", "R-SAFE-003", "R-SAFE-004", "R-SAFE-005", "R-SAFE-006", "R-SAFE-007", "R-SAFE-008", "R-SAFE-009",
+    ), "spatial_safety")
+    | dict.fromkeys((
+        "R011", "R012", "R019", "R020", "R022", "R-FIBER-001", "R-DAT-001", "R-BOM-001",
+    ), "resource")
+    | dict.fromkeys((
+        "R008", "R009", "R005_4", "R-REL-001", "R-REL-004", "R023", "R024",
+    ), "logic_consistency")
 )
 OTHER_CATEGORY = "engineering_reasonableness"
 
 #: Rules by package category.
-FULL_RULES = "R001 R002 R003 R004 R005 R005_4 R007 R008 R009 R010 R011 R013 R014 R015 R016 R017 R018 R032 R019 R020 R021 R022 R023 R-FIBER-001 R-FIBER-002 R-BOM-001 R005_1 R005_2 R005_3 R027 R028 R033".split()
+FULL_RULES = (
+    "R001", "R002", "R003", "R004", "R005", "R005_4", "R007", "R008", "R009", "R010", "R011", "R013", "R014", "R015", "R016", "R017", "R018",
+    "R032", "R019", "R020", "R021", "R022", "R023", "R-FIBER-001", "R-FIBER-002", "R-BOM-001", "R005_1", "R005_2", "R005_3", "R027", "R028",
+    "R033",
+)
 ROUTES = dict.fromkeys(("full_design", "as_built", "as_built_bom", "design_fiber"), FULL_RULES) | {
-    "survey_design": "R001 R002 R003 R004 R005 R007".split(),
-    "spreadsheet": "R005 R005_4 R007 R008 R009 R011 R012 R016 R018 R019 R020 R021 R022 R032 R033 R-FIBER-001 R-BOM-001".split(),
+    "survey_design": (
+        "R001", "R002", "R003", "R004", "R005", "R007",
+    ),
+    "spreadsheet": (
+        "R005", "R005_4", "R007", "R008", "R009", "R011", "R012", "R016", "R018", "R019", "R020", "R021", "R022", "R032", "R033", "R-FIBER-001",
+        "R-BOM-001",
+    ),
 }
 
 #: Least heights and clearances in metres.
