@@ -1,4 +1,4 @@
-"""Geometry as arrays of (x, y, z), in Column expressions only, except for polygon overlap and lines that cross."""
+"""Geometry as arrays of (x, y, z), and areas as arrays of such rings, in Column expressions only, except for polygon overlap and lines that cross."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType
 
 COORDS = "array<struct<x:double,y:double,z:double>>"
 _A, _E2 = 6378137.0, 0.0066943799901413165  # WGS 84
@@ -22,15 +23,32 @@ def xyz(x: Column, y: Column, z: Column | None = None) -> Column:
 
 
 def wkt_type(wkt: Column) -> Column:
-    return F.lower(F.nullif(F.regexp_extract(F.upper(wkt), r"^\s*(POINT|LINESTRING|POLYGON)", 1), F.lit("")))
+    """point, linestring or polygon, which may have several parts; null for any other."""
+    return F.lower(F.nullif(F.regexp_extract(F.upper(wkt), r"^\s*(?:MULTI(?=POLYGON))?(POINT|LINESTRING|POLYGON)", 1), F.lit("")))
 
 
 def parse_wkt(wkt: Column) -> Column:
-    """Vertices of a WKT point, line or polygon (its exterior ring), 2-D or 3-D."""
+    """Vertices of a WKT point, line or polygon (the exterior ring of its first part), 2-D or 3-D. parse_rings has all rings."""
     ring = F.regexp_extract(wkt, r"\(+\s*([^()]*)", 1)
     return F.when(wkt_type(wkt).isNotNull(), F.transform(F.split(ring, ","), lambda p: _vertex(F.split(F.trim(p), r"\s+"))))
 
 
+def parse_rings(wkt: Column) -> Column:
+    """All rings of a WKT polygon of one part or several, exterior rings and holes alike, each without its closing vertex; null for other geometries. A place is
+    inside if a ray from it meets the rings an odd number of times, so the rings need no order and no direction."""
+    vertices = lambda ring: F.transform(F.split(ring, ","), lambda p: _vertex(F.split(F.trim(p), r"\s+")))
+    opened = lambda r: F.when((F.size(r) > 1) & (F.get(r, F.lit(0)) == F.element_at(r, -1)), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
+    rings = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))
+    return F.when(wkt_type(wkt) == "polygon", F.transform(F.transform(rings, vertices), opened))
+
+
+def rings_of(rows: DataFrame, coords: str = "coords") -> Column:
+    """The geometry of rows as an array of rings or paths, whether the column holds these or the vertices of a single one."""
+    kind = rows.schema[coords].dataType
+    nested = isinstance(kind, ArrayType) and isinstance(kind.elementType, ArrayType)
+    return F.col(coords) if nested else F.array(F.col(coords))
+
+
 def _vertex(parts: Column) -> Column:
     at = lambda k: F.get(parts, F.lit(k)).try_cast("double")
     return xyz(at(0), at(1), at(2))
@@ -94,12 +112,17 @@ def representative_point(coords: Column, kind: Column) -> Column:
 
 def contains_strict(ring: Column, x: Column, y: Column) -> Column:
     """Whether a point is inside a ring; the border is outside."""
-    closed = F.when(F.size(ring) > 0, F.concat(ring, F.slice(ring, 1, 1))).otherwise(ring)
+    return rings_contain(F.array(ring), x, y)
+
+
+def rings_contain(rings: Column, x: Column, y: Column) -> Column:
+    """Whether a point is inside an area of any rings, as parse_rings has them; the borders of parts and holes are outside."""
+    closed = F.transform(rings, lambda r: F.when(F.size(r) > 0, F.concat(r, F.slice(r, 1, 1))).otherwise(r))
+    edges = F.flatten(F.transform(closed, segments))
     cross = lambda s: (s["x2"] - s["x1"]) * (y - s["y1"]) - (s["y2"] - s["y1"]) * (x - s["x1"])
     on = lambda s: (cross(s) == 0) & x.between(F.least(s["x1"], s["x2"]), F.greatest(s["x1"], s["x2"])) & y.between(F.least(s["y1"], s["y2"]), F.greatest(s["y1"], s["y2"]))
     hits = lambda s: ((s["y1"] > y) != (s["y2"] > y)) & (x < (s["x2"] - s["x1"]) * (y - s["y1"]) / F.nullif(s["y2"] - s["y1"], F.lit(0.0)) + s["x1"])
-    inside = F.size(F.filter(segments(closed), hits)) % 2 == 1
-    return inside & ~F.exists(segments(closed), on)
+    return (F.size(F.filter(edges, hits)) % 2 == 1) & ~F.exists(edges, on)
 
 
 def _places(a, b) -> tuple[Column, Column]:
@@ -229,40 +252,109 @@ def is_box(ring: Column) -> Column:
     return F.coalesce((F.size(ring) == 4) & corner & (twice > 1.5 * (box["x1"] - box["x0"]) * (box["y1"] - box["y0"])), F.lit(False))
 
 
-def _spans(ring: np.ndarray, y: float) -> list[tuple[float, float, float]]:
-    """Edges of a ring across the height y: (x at y, edge)."""
-    a, b = ring, np.roll(ring, -1, axis=0)
-    cut = (a[:, 1] > y) != (b[:, 1] > y)
-    return a[cut], b[cut]
+#: At most so many pairs of edges, or of edges and slabs, are held at once; more are worked off in turns.
+_AT_ONCE = 1 << 20
+
+
+def _edges(areas: np.ndarray, xy: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(area, x1, y1, x2, y2), with y1 below y2, of the edges of rings, given by the area that each belongs to, all vertices and the rings' sizes. Level edges bound nothing."""
+    after = np.arange(1, len(xy) + 1)
+    last = np.cumsum(sizes)[sizes > 0] - 1
+    after[last] = last + 1 - sizes[sizes > 0]
+    p, q = xy, xy[after]
+    up = (p[:, 1] <= q[:, 1])[:, None]
+    edges = np.column_stack([np.repeat(areas, sizes), np.where(up, p, q), np.where(up, q, p)])
+    return edges[edges[:, 2] < edges[:, 4]]
+
+
+def _blocks(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose counts come to _AT_ONCE at most, or of one item."""
+    sums, at = np.cumsum(counts), 0
+    while at < len(counts):
+        done = sums[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sums, done + _AT_ONCE, "right")))
+        yield at, to
+        at = to
+
+
+def _spread(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, number) for each number of the ranges that start at `first` and are `counts` long."""
+    item = np.repeat(np.arange(len(counts)), counts)
+    return item, np.arange(len(item)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+
+
+def _meeting_heights(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(area, y) where edges of a cross edges of b of the same area; both are sorted by area."""
+    first = np.searchsorted(b[:, 0], a[:, 0])
+    counts = np.searchsorted(b[:, 0], a[:, 0], "right") - first
+    found = [np.zeros((0, 2))]
+    for lo, hi in _blocks(counts):
+        i, k = _spread(first[lo:hi], counts[lo:hi])
+        near = (a[lo + i, 2] <= b[k, 4]) & (b[k, 2] <= a[lo + i, 4])
+        p, q = a[lo + i[near]], b[k[near]]
+        r, t, gap = p[:, 3:] - p[:, 1:3], q[:, 3:] - q[:, 1:3], q[:, 1:3] - p[:, 1:3]
+        d = r[:, 0] * t[:, 1] - r[:, 1] * t[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u, v = (gap[:, 0] * t[:, 1] - gap[:, 1] * t[:, 0]) / d, (gap[:, 0] * r[:, 1] - gap[:, 1] * r[:, 0]) / d
+        met = (d != 0) & (u >= 0) & (u <= 1) & (v >= 0) & (v <= 1)
+        found.append(np.column_stack([p[met, 0], p[met, 2] + u[met] * r[met, 1]]))
+    return np.vstack(found)
+
+
+def _shared_areas(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The area that each of n pairs of areas shares, for all pairs at once. A sweep over slabs between the heights where an edge of the pair ends or two cross: no edges
+    cross within a slab, so from left to right the space between two neighbours is a trapezoid, as wide as in the slab's middle, and shared if an odd number of edges of either
+    lies to its left. Every ring has an even number of edges in a slab, so counts over all slabs do as well as counts in each."""
+    edges = np.vstack([a, b])
+    side = np.repeat([0, 1], [len(a), len(b)])
+    marks = np.vstack([edges[:, [0, 2]], edges[:, [0, 4]], _meeting_heights(a, b)])
+    order = np.lexsort((marks[:, 1], marks[:, 0]))
+    new = np.ones(len(marks), bool)
+    new[1:] = (np.diff(marks[order], axis=0) != 0).any(axis=1)
+    place = np.empty(len(marks), int)
+    place[order] = np.cumsum(new) - 1
+    levels = marks[order][new]
+    low, high = place[: len(edges)], place[len(edges) : 2 * len(edges)]
+    counts = np.cumsum(np.bincount(low, minlength=len(levels)) - np.bincount(high, minlength=len(levels)))
+    total = np.zeros(n)
+    for lo, hi in _blocks(counts):
+        here = np.flatnonzero((low < hi) & (high > lo))
+        start = np.maximum(low[here], lo)
+        i, slab = _spread(start, np.minimum(high[here], hi) - start)
+        e, s = edges[here[i]], side[here[i]]
+        top = levels[np.minimum(slab + 1, len(levels) - 1), 1]
+        x = e[:, 1] + ((levels[slab, 1] + top) / 2 - e[:, 2]) / (e[:, 4] - e[:, 2]) * (e[:, 3] - e[:, 1])
+        by = np.lexsort((x, slab))
+        x, s, slab, height = x[by], s[by], slab[by], (top - levels[slab, 1])[by]
+        inside = (np.cumsum(s == 0) % 2 == 1) & (np.cumsum(s == 1) % 2 == 1)
+        inside[-1:] = False
+        at = np.flatnonzero(inside)
+        total += np.bincount(levels[slab[at], 0].astype(int), (x[at + 1] - x[at]) * height[at], minlength=n)
+    return total
+
+
+def shared_area(p: list[np.ndarray], q: list[np.ndarray]) -> float:
+    """Area that two areas, given as lists of rings, share."""
+    rings = lambda area: _edges(np.zeros(len(area)), np.vstack(area), np.array([len(r) for r in area]))
+    return float(_shared_areas(rings(p), rings(q), 1)[0]) if p and q else 0.0
 
 
 def ring_overlap(p: np.ndarray, q: np.ndarray) -> float:
-    """Area that two rings share: slabs between all heights where an edge starts or two edges cross; within a slab edges don't cross, so the shared
-    area is a sum of trapezoids, exact from the middle of the slab."""
-    heights = set(p[:, 1]) | set(q[:, 1])
-    r, t = np.roll(p, -1, axis=0) - p, np.roll(q, -1, axis=0) - q
-    d = r[:, None, 0] * t[None, :, 1] - r[:, None, 1] * t[None, :, 0]
-    gap = q[None] - p[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        u, v = (gap[..., 0] * t[None, :, 1] - gap[..., 1] * t[None, :, 0]) / d, (gap[..., 0] * r[:, None, 1] - gap[..., 1] * r[:, None, 0]) / d
-        met = (d != 0) & (u >= 0) & (u <= 1) & (v >= 0) & (v <= 1)
-        heights |= set((p[:, None, 1] + u * r[:, None, 1])[met].tolist())
-    levels, area = sorted(heights), 0.0
-    for lo, hi in zip(levels[:-1], levels[1:], strict=True):
-        mid, runs = (lo + hi) / 2, []
-        for ring in (p, q):
-            a, b = _spans(ring, mid)
-            xs = np.sort(a[:, 0] + (mid - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0])) if len(a) else np.zeros(0)
-            runs.append(list(zip(xs[::2], xs[1::2], strict=False)))
-        area += (hi - lo) * sum(max(0.0, min(b, d) - max(a, c)) for a, b in runs[0] for c, d in runs[1])
-    return float(area)
-
-
-@F.pandas_udf(DoubleType())
-def overlap_area(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Area that two polygons, given as flat arrays x1, y1, x2, y2, …, share."""
-    for a, b in batches:
-        yield pd.Series([ring_overlap(np.asarray(p, float).reshape(-1, 2), np.asarray(q, float).reshape(-1, 2)) for p, q in zip(a, b, strict=True)], dtype=float)
+    """Area that two rings share."""
+    return shared_area([p], [q])
+
+
+@F.arrow_udf(DoubleType())
+def overlap_area(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Area that two areas share, given as arrays of rings, each flat as x1, y1, x2, y2, …; the pairs of a batch are swept at once. Null and empty areas share nothing."""
+
+    def edges(areas: pa.Array) -> np.ndarray:
+        counts = areas.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        rings = areas.flatten()
+        sizes = rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) // 2
+        return _edges(np.repeat(np.arange(len(areas)), counts), rings.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2), sizes)
+
+    return pa.array(_shared_areas(edges(a), edges(b), len(a)), pa.float64())
 
 
 @F.pandas_udf(BooleanType())
@@ -284,3 +376,7 @@ def lines_cross(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
 
 def flat(coords: Column) -> Column:
     return F.flatten(F.transform(coords, lambda p: F.array(p["x"], p["y"])))
+
+
+def flat_rings(rings: Column) -> Column:
+    return F.transform(rings, flat)

@@ -61,10 +61,11 @@ def near_on_earth(a: DataFrame, b: DataFrame, metres: float, keys: list[str]) ->
 
 def box_pairs(a: DataFrame, b: DataFrame, size: float, keys: list[str], ids: tuple[str, str], coords: str = "coords", grow: float = 0.0) -> DataFrame:
     """(keys…, ids, a_coords, b_coords) whose boxes, grown by `grow`, touch. A pair that shares several cells is taken in the first of them only, the cell of
-    the lower left corner of what the boxes share, so no distinct step is needed."""
+    the lower left corner of what the boxes share, so no distinct step is needed. Geometries are vertices, or arrays of rings or paths."""
 
     def celled(df: DataFrame, id_col: str, name: str) -> DataFrame:
-        df = once(once(df, coords, F.col(coords), *keys, id_col), "_box", geo.bbox(F.col(coords)), *keys, id_col, coords)
+        df = once(df, coords, F.col(coords), *keys, id_col)
+        df = once(df, "_box", geo.bbox(F.flatten(geo.rings_of(df, coords))), *keys, id_col, coords)
         box = F.col("_box")
         rows = df.select(*keys, F.col(id_col).alias(f"{name}_id"), F.col(coords).alias(f"{name}_coords"), (box["x0"] - grow).alias(f"{name}x0"), (box["y0"] - grow).alias(f"{name}y0"), (box["x1"] + grow).alias(f"{name}x1"), (box["y1"] + grow).alias(f"{name}y1"))
         return rows.withColumn("_c", F.explode(geo.cells(F.col(f"{name}x0"), F.col(f"{name}y0"), F.col(f"{name}x1"), F.col(f"{name}y1"), size))).withColumn("cx", F.col("_c.cx")).withColumn("cy", F.col("_c.cy")).drop("_c")
@@ -161,36 +162,38 @@ def nearest_on_earth(ends: DataFrame, keys: list[str], id_cols: list[str], code:
 
 
 def outside(points: DataFrame, polygons: DataFrame, size: float, keys: list[str], id_col: str) -> DataFrame:
-    """Points (id, x, y) strictly inside no polygon (coords)."""
-    box = geo.bbox(F.col("coords"))
-    ring = polygons.select(*keys, "coords", F.explode(geo.cells(box["x0"], box["y0"], box["x1"], box["y1"], size)).alias("_c")).select(*keys, F.col("coords").alias("ring"), F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy"))
+    """Points (id, x, y) strictly inside no polygon (coords: a ring, or an array of rings of any parts and holes)."""
+    box = geo.bbox(F.flatten(F.col("rings")))
+    ring = polygons.select(*keys, geo.rings_of(polygons).alias("rings")).select("*", F.explode(geo.cells(box["x0"], box["y0"], box["x1"], box["y1"], size)).alias("_c")).select(*keys, "rings", F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy"))
     at = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
-    inside = at.join(ring, [*keys, "cx", "cy"]).where(geo.contains_strict(F.col("ring"), F.col("x"), F.col("y"))).select(*keys, id_col).distinct()
+    inside = at.join(ring, [*keys, "cx", "cy"]).where(geo.rings_contain(F.col("rings"), F.col("x"), F.col("y"))).select(*keys, id_col).distinct()
     return points.join(inside, [*keys, id_col], "left_anti")
 
 
 def point_not_in_own_zone(points: DataFrame, zones: DataFrame, point_ref: str, zone_code: str, keys: list[str]) -> DataFrame:
-    """Points (x, y) outside, or on the border of, the zone that they refer to; points whose zone is unknown are left out."""
-    z = zones.select(*keys, F.col(zone_code).alias("_z"), F.col("coords").alias("ring"))
-    return points.join(z, [points[k] == z[k] for k in keys] + [points[point_ref] == z["_z"]]).where(~geo.contains_strict(F.col("ring"), F.col("x"), F.col("y"))).select(points["*"])
+    """Points (x, y) outside, or on the border of, the zone (a ring or rings) that they refer to; points whose zone is unknown are left out."""
+    z = zones.select(*keys, F.col(zone_code).alias("_z"), geo.rings_of(zones).alias("_rings"))
+    return points.join(z, [points[k] == z[k] for k in keys] + [points[point_ref] == z["_z"]]).where(~geo.rings_contain(F.col("_rings"), F.col("x"), F.col("y"))).select(points["*"])
 
 
 def vertices_outside(lines: DataFrame, zones: DataFrame, line_ref: str, zone_code: str, keys: list[str]) -> DataFrame:
-    """Lines with a vertex outside the zone that they refer to, and how many."""
-    z = zones.select(*keys, F.col(zone_code).alias("_z"), F.col("coords").alias("ring"))
+    """Lines with a vertex outside the zone (a ring or rings) that they refer to, and how many."""
+    z = zones.select(*keys, F.col(zone_code).alias("_z"), geo.rings_of(zones).alias("_rings"))
     met = lines.join(z, [lines[k] == z[k] for k in keys] + [lines[line_ref] == z["_z"]])
-    return met.withColumn("n_outside", F.size(F.filter(lines["coords"], lambda p: ~geo.contains_strict(F.col("ring"), p["x"], p["y"])))).where("n_outside > 0").select(lines["*"], "n_outside")
+    return met.withColumn("n_outside", F.size(F.filter(lines["coords"], lambda p: ~geo.rings_contain(F.col("_rings"), p["x"], p["y"])))).where("n_outside > 0").select(lines["*"], "n_outside")
 
 
 def overlaps(polygons: DataFrame, size: float, keys: list[str], id_col: str, least: float = 1e-9) -> DataFrame:
-    """(keys…, a_id, b_id, area) of polygons that share more than `least`, a before b. Of two rings that are boxes
-    the shared area is a product of sides; others go to overlap_area."""
-    marked = once(once(polygons, "coords", F.col("coords"), *keys, id_col), "_full", geo.is_box(F.col("coords")), *keys, id_col, "coords")
+    """(keys…, a_id, b_id, area) of polygons (coords: a ring, or an array of rings of any parts and holes) that share more than `least`, a before b. Of two
+    that are boxes the shared area is a product of sides; others go to overlap_area, which sweeps all pairs of a batch at once."""
+    rings = once(polygons, "coords", geo.rings_of(polygons), *keys, id_col)
+    box = (F.size("coords") == 1) & geo.is_box(F.get("coords", F.lit(0)))
+    marked = once(rings, "_full", F.coalesce(box, F.lit(False)), *keys, id_col, "coords")
     full, other = marked.where("_full"), marked.where("NOT _full")
     both = box_pairs(full, full, size, keys, (id_col, id_col)).where("a_id < b_id")
     both = both.withColumn("area", (F.least("ax1", "bx1") - F.greatest("ax0", "bx0")) * (F.least("ay1", "by1") - F.greatest("ay0", "by0"))).select(*keys, "a_id", "b_id", "area")
     mixed = box_pairs(other, full, size, keys, (id_col, id_col)).unionByName(box_pairs(other, other, size, keys, (id_col, id_col)).where("a_id < b_id"))
-    area = geo.overlap_area(geo.flat(F.col("a_coords")), geo.flat(F.col("b_coords"))).alias("area")
+    area = geo.overlap_area(geo.flat_rings(F.col("a_coords")), geo.flat_rings(F.col("b_coords"))).alias("area")
     mixed = mixed.select(*keys, F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), area)
     return both.unionByName(mixed).where(F.col("area") > least)
 
@@ -228,9 +231,10 @@ def ends_match(lines: DataFrame, start: str, end: str, devices: DataFrame, code:
 
 
 def spatial_pairs(a: DataFrame, b: DataFrame, relation: str, size: float, keys: list[str], id_col: str) -> DataFrame:
-    """(keys…, a_id, b_id) of rows (id, geom_type, coords) of a and b of which the first intersects, touches, lies within or crosses the second. Boxes meet in
-    cells, so only pairs whose boxes touch are judged."""
+    """(keys…, a_id, b_id) of rows (id, geom_type, coords: vertices, or an array of rings or paths) of a and b of which the first intersects, touches, lies within or
+    crosses the second. Boxes meet in cells, so only pairs whose boxes touch are judged."""
     kind = lambda df: df.where(F.size("coords") > 0).select(*keys, F.struct(id_col, "geom_type").alias("_id"), "coords")
     met = box_pairs(kind(a), kind(b), size, keys, ("_id", "_id"))
-    holds = relation_of(relation)(F.col("a_id.geom_type"), geo.flat(F.col("a_coords")), F.col("b_id.geom_type"), geo.flat(F.col("b_coords")))
+    a_paths, b_paths = (geo.flat_rings(geo.rings_of(met, c)) for c in ("a_coords", "b_coords"))
+    holds = relation_of(relation)(F.col("a_id.geom_type"), a_paths, F.col("b_id.geom_type"), b_paths)
     return met.where(holds).select(*keys, F.col(f"a_id.{id_col}").alias("a_id"), F.col(f"b_id.{id_col}").alias("b_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netaudit.driver_queries import _E, _RECT, _features, _rectangles, _t, query
+from netaudit.functions import geo
 from netaudit.operators import sheets as S
 from netaudit.operators import spatial as G
 
@@ -167,3 +168,35 @@ def spatial_pairs(spark, d):
     points = _features(spark, d).select("layer", "vec_id", F.lit("point").alias("geom_type"), F.slice("coords", 1, 1).alias("coords"))
     inside = G.spatial_pairs(points, rects, "within", 0.2, ["layer"], "vec_id").select(F.lit("within").alias("relation"), "layer", "a_id", "b_id")
     return inside.unionByName(G.spatial_pairs(rects, rects, "intersects", 0.2, ["layer"], "vec_id").select(F.lit("intersects").alias("relation"), "layer", "a_id", "b_id"))
+
+
+_FRAME = f"SELECT vec_id, layer, x0, y0, x1, y1, x0 + 0.25 * (x1 - x0) AS hx0, y0 + 0.25 * (y1 - y0) AS hy0, x1 - 0.25 * (x1 - x0) AS hx1, y1 - 0.25 * (y1 - y0) AS hy1 FROM ({_RECT})"
+
+
+def _common(a: str, b: str) -> str:
+    """SQL for the area that two boxes share."""
+    side = lambda v: f"greatest(0.0, least(a.{a}{v}1, b.{b}{v}1) - greatest(a.{a}{v}0, b.{b}{v}0))"
+    return f"{side('x')} * {side('y')}"
+
+
+def _frames(spark, d):
+    """Zones with a hole in the middle and slanted sides: a box without its middle quarter, moved to the right by half of its height."""
+    rects = _rectangles(spark, d).select("layer", "vec_id", geo.bbox(F.col("coords")).alias("b"))
+    x0, y0, x1, y1 = (F.col(f"b.{c}") for c in ("x0", "y0", "x1", "y1"))
+    at = lambda x, y: geo.xyz(x + y / 2, y)
+    ring = lambda a, b, c, e: F.array(at(a, b), at(c, b), at(c, e), at(a, e))
+    w, h = (x1 - x0) / 4, (y1 - y0) / 4
+    return rects.select("layer", "vec_id", F.lit("polygon").alias("geom_type"), F.array(ring(x0, y0, x1, y1), ring(x0 + w, y0 + h, x1 - w, y1 - h)).alias("coords"))
+
+
+@query(f"""WITH f AS ({_FRAME}), s AS (SELECT a.layer, a.vec_id AS a_id, b.vec_id AS b_id, {_common('', '')} - {_common('h', '')} - {_common('', 'h')} + {_common('h', 'h')} AS area
+FROM f a JOIN f b ON a.layer = b.layer AND a.vec_id < b.vec_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1) SELECT layer, a_id, b_id, round(area, 6) AS area FROM s WHERE area > 1e-9""")
+def ring_overlaps(spark, d):
+    return G.overlaps(_frames(spark, d), 0.2, ["layer"], "vec_id").select("layer", "a_id", "b_id", F.round("area", 6).alias("area"))
+
+
+@query(f"""WITH f AS ({_FRAME}), p AS (SELECT vec_id, layer, e[1] AS x, e[2] AS y FROM ({_E})) SELECT p.layer, p.vec_id FROM p WHERE NOT EXISTS (SELECT 1 FROM f
+WHERE f.layer = p.layer AND x > x0 AND x < x1 AND y > y0 AND y < y1 AND NOT (x >= hx0 AND x <= hx1 AND y >= hy0 AND y <= hy1))""")
+def ring_coverage(spark, d):
+    points = _features(spark, d, 2).select("layer", "vec_id", (F.col("x") + F.col("y") / 2).alias("x"), "y")
+    return G.outside(points, _frames(spark, d), 0.2, ["layer"], "vec_id").select("layer", "vec_id")

@@ -44,7 +44,7 @@ def _features(rows: DataFrame, project: str, wkt: str | None = None, crs: str |
     shape = F.col(f"`{wkt}`") if wkt else F.lit(None).cast("string")
     return rows.select(
         F.lit(project).alias("project_id"), F.col("_layer").alias("layer"), F.col("_order").alias("layer_order"), F.col("_seq").cast("string").alias("feature_id"), F.col("_seq").alias("feature_seq"),
-        geo.wkt_type(shape).alias("geom_type"), geo.parse_wkt(shape).alias("coords"), F.lit(crs).cast("string").alias("crs"), props.alias("props"), types.alias("prop_types"), F.lit(False).alias("is_deleted"),
+        geo.wkt_type(shape).alias("geom_type"), geo.parse_wkt(shape).alias("coords"), geo.parse_rings(shape).alias("rings"), F.lit(crs).cast("string").alias("crs"), props.alias("props"), types.alias("prop_types"), F.lit(False).alias("is_deleted"),
     )
 
 
@@ -69,7 +69,7 @@ def read_json_layers(spark: SparkSession, paths: str | list[str], project: str =
     kinds = F.when(is_object, named).otherwise(F.create_map(F.lit("value"), F.lit("string")))
     return rows.select(
         F.lit(project).alias("project_id"), F.col("_layer").alias("layer"), F.col("_order").alias("layer_order"), F.col("_nth").cast("string").alias("feature_id"), F.col("_nth").cast("long").alias("feature_seq"),
-        F.lit(None).cast("string").alias("geom_type"), F.lit(None).cast(geo.COORDS).alias("coords"), F.lit(None).cast("string").alias("crs"),
+        F.lit(None).cast("string").alias("geom_type"), F.lit(None).cast(geo.COORDS).alias("coords"), F.lit(None).cast(f"array<{geo.COORDS}>").alias("rings"), F.lit(None).cast("string").alias("crs"),
         F.map_filter(texts, lambda k, v: v.isNotNull()).alias("props"), kinds.alias("prop_types"), F.lit(False).alias("is_deleted"),
     )
 
@@ -159,6 +159,7 @@ def read_domain_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def union_soft_deleted(live: DataFrame, deleted: DataFrame) -> DataFrame:
     """Deleted records join the live ones, marked, without geometry."""
+    deleted = deleted.withColumn("rings", F.lit(None).cast(f"array<{geo.COORDS}>")) if "rings" in live.columns else deleted.drop("rings")
     gone = deleted.withColumn("is_deleted", F.lit(True)).withColumn("coords", F.lit(None).cast(geo.COORDS)).withColumn("geom_type", F.lit(None).cast("string"))
     return live.unionByName(gone, allowMissingColumns=True)
 
