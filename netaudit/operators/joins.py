@@ -127,25 +127,39 @@ def longest_in_text(texts: DataFrame, id_col: str, text_col: str, codes: DataFra
     return met.groupBy(id_col).agg(F.max_by("code", F.struct(F.char_length("code"), "code")).alias("code"))
 
 
-def _met_codes(texts: DataFrame, text_col: str, codes: DataFrame, code_col: str, keys: list[str]) -> DataFrame:
+def _met_codes(texts: DataFrame, text_col: str, codes: DataFrame, code_col: str, keys: list[str], width: int = 24) -> DataFrame:
     """(keys…, text, code): codes and the texts that contain them, see contained_codes."""
-    width = 3
-    runs = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - (n - 1), F.lit(1))), lambda k: F.substring(c, k, n)))
     listed = codes.select(*keys, F.col(code_col).alias("code")).where("trim(code) <> ''").distinct()
-    each = listed.select(*keys, "code", F.explode(F.when(F.char_length("code") < width, F.array("code")).otherwise(runs(F.col("code"), F.lit(width)))).alias("_run"))
+    whole = listed.where(F.char_length("code") <= width).select(*keys, "code", F.col("code").alias("_run"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("code") - (width - 1)), lambda k: F.substring("code", k, F.lit(width))))
+    each = listed.where(F.char_length("code") > width).select(*keys, "code", F.explode(runs).alias("_run"))
     rare = each.groupBy(*keys, "_run").agg(F.count("*").alias("_n"))
-    heads = each.join(rare, [*keys, "_run"]).groupBy(*keys, "code").agg(F.min(F.struct("_n", "_run")).alias("_h")).select(*keys, "code", F.col("_h._run").alias("_run"))
-    said = texts.select(*keys, F.col(text_col).alias("text")).where("text <> ''").distinct()
-    asked = said.select(*keys, "text", F.explode(F.array_distinct(F.flatten(F.array(*[runs(F.col("text"), F.lit(n)) for n in range(1, width + 1)])))).alias("_run"))
-    return asked.join(heads, [*keys, "_run"]).where(F.contains("text", F.col("code")))
+    long = each.join(rare.hint("merge"), [*keys, "_run"]).groupBy(*keys, "code").agg(F.min(F.struct("_n", "_run")).alias("_h")).select(*keys, "code", F.col("_h._run").alias("_run"))
+    heads = whole.unionByName(long)
+    # what runs begin with, and how long they are: one small row of the keys, which spares texts the runs that are listed nowhere
+    starts = heads.groupBy(*keys, F.substring("_run", 1, 2).alias("_s")).agg(F.collect_set(F.char_length("_run")).alias("_w"))
+    starts = starts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_s", "_w"))).alias("_starts"))
+    # texts are the work, however few bytes they are, so they are dealt to as many tasks as a shuffle has; lists of codes are not broadcast
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    said = texts.select(*keys, F.col(text_col).alias("text")).where("text <> ''").repartition(parts, *keys, "text").distinct()
+    said = said.join(F.broadcast(starts), keys) if keys else said.crossJoin(starts)  # one row
+    none, n = F.array().cast("array<int>"), F.char_length("text")
+
+    def at(k: Column) -> Column:
+        pair, one = (F.try_element_at("_starts", F.substring("text", k, F.lit(w))) for w in (2, 1))
+        widths = F.concat(F.when(k < n, F.coalesce(pair, none)).otherwise(none), F.coalesce(one, none))
+        return F.transform(F.filter(widths, lambda w: k + w <= n + 1), lambda w: F.substring("text", k, w))
+
+    asked = said.select(*keys, "text", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), at)))).alias("_run"))
+    return asked.join(heads.hint("merge"), [*keys, "_run"]).where(F.contains("text", F.col("code")))
 
 
 def contained_codes(texts: DataFrame, text_col: str, codes: DataFrame, code_col: str, keys: list[str]) -> DataFrame:
     """(keys…, text, code): for each distinct text and keys the longest code of the same keys that it contains, wherever that begins or ends; of equally long
     codes the first in code-point order. Blank codes are left out, texts without a code don't appear.
 
-    Every code is listed under one of its runs of three characters (or itself, if it is shorter): the one that the fewest codes of its keys hold. A text asks for all its
-    runs, and what is listed there is tested. A code's other runs don't meet any text, so a prefix that all codes share costs nothing."""
+    Every code of up to 24 characters is listed under itself, a longer one under that of its runs of 24 which the fewest codes of its keys hold. A text asks for those of its
+    runs that begin and are as long as a listed one, so it meets the codes that it contains, however many codes share their parts."""
     met = _met_codes(texts, text_col, codes, code_col, keys)
     return met.groupBy(*keys, "text").agg(F.min_by("code", F.struct(-F.char_length("code"), "code")).alias("code"))
 

@@ -38,8 +38,8 @@ def trace_objects(issues: DataFrame, objects: DataFrame) -> DataFrame:
     said = F.upper(F.concat_ws(" ", "object_type", "object_id", "message"))
     told = issues.withColumn("_said", F.when(~F.col("passed"), said))
     listed = objects.groupBy("project_id", F.upper("code").alias("code")).agg(F.max("ref").alias("object_ref"))
-    hit = J.contained_codes(told, "_said", listed, "code", ["project_id"]).join(listed, ["project_id", "code"]).select("project_id", F.col("text").alias("_said"), "object_ref")
-    return told.join(hit, ["project_id", "_said"], "left").select(*issues.columns, "object_ref")
+    hit = J.contained_codes(told, "_said", listed, "code", ["project_id"]).join(listed.hint("merge"), ["project_id", "code"]).select("project_id", F.col("text").alias("_said"), "object_ref")
+    return told.join(hit.hint("merge"), ["project_id", "_said"], "left").select(*issues.columns, "object_ref")
 
 
 def case_issues(sheets: DataFrame, known: DataFrame | None = None, projects: DataFrame | None = None) -> DataFrame:

@@ -115,6 +115,16 @@ def test_domain_rule(spark):
 # tracing
 
 
+def test_texts_meet_only_codes_that_they_contain(spark):
+    codes = spark.range(3000).selectExpr("concat('C-', id + 100000) AS c")
+    texts = spark.range(300).selectExpr("concat('needs c-', id + 100000, ' and 1000') AS t")
+    met = J._met_codes(texts.selectExpr("upper(t) AS t"), "t", codes, "c", [])
+    assert met.count() == 300
+    join = met._jdf.queryExecution().analyzed()
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, join.child())
+    assert rows.count() <= 600  # before the test of containment
+
+
 def test_contained_codes_brute_force(spark):
     rnd = random.Random(3)
     word = lambda n: "".join(rnd.choice("ab. é-") for _ in range(rnd.randint(1, n)))
