@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,17 +55,43 @@ def dedupe_submissions(stream: DataFrame, at: str, content: list[str], ttl: str
     return stream.withColumn("content_hash", content_hash(content)).withWatermark(at, ttl).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def dedupe_batch(rows: DataFrame, order: str, content: list[str], hours: float | None = None) -> DataFrame:
+def _passing(ttl: int):
+    """Of rows in the order of content and time (_at, microseconds), those that pass, batch by batch; the content and the time that passed last are all that is carried on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        content, ends = None, None
+        for batch in batches:
+            keep = []
+            for h, at in zip(batch["content_hash"].to_pylist(), batch["_at"].to_pylist(), strict=True):
+                passes = h != content or (at is not None and ends is not None and at >= ends)
+                if passes:
+                    content, ends = h, None if at is None else at + ttl
+                keep.append(passes)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["content_hash", "_row"])
+
+    return run
+
+
+def dedupe_batch(rows: DataFrame, order: str, content: list[str], hours: float | None = None, most: int = 100_000) -> DataFrame:
     """The first row, in an order, of each content of a whole table. With hours, `order` is a time: a row passes if none of its content passed less than so
-    long before. Passed times are found by rounds over those contents that still have later rows; each takes the first that is left of every content."""
+    long before; of equal times the first by the other columns. Contents are sorted and read once; those of more than `most` rows, which no task should hold, take rounds over
+    what is left of them, of which each takes the first row of every content."""
     keyed = rows.select(content_hash(content).alias("content_hash"), F.struct(*rows.columns).alias("_row"))
     first = lambda df: df.groupBy("content_hash").agg(F.min_by("_row", f"_row.{order}").alias("_row"))
     if hours is None:
         return first(keyed).select("content_hash", "_row.*")
-    kept = None
+    time, rest = F.col(f"_row.{order}"), [F.col(f"_row.{c}") for c, t in rows.dtypes if c != order and not t.startswith(("map", "variant"))]
+    at = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', _row.`{order}`)") if dict(rows.dtypes)[order] == "timestamp_ntz" else F.unix_micros(time)
+    crowded = cut(keyed.groupBy("content_hash").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("content_hash"))
+    sorted_ = keyed.join(crowded, "content_hash", "left_anti").withColumn("_at", at).repartition("content_hash").sortWithinPartitions("content_hash", F.asc_nulls_last("_at"), *rest)
+    kept = sorted_.mapInArrow(_passing(round(hours * 3.6e9)), keyed.schema)
+    if crowded.isEmpty():
+        return kept.select("content_hash", "_row.*")
+    keyed = keyed.join(crowded, "content_hash", "left_semi")
+    first = lambda df: df.groupBy("content_hash").agg(F.min_by("_row", F.struct(time, *rest)).alias("_row"))
     while True:
         now = cut(first(keyed))
-        kept = now if kept is None else kept.unionByName(now)
+        kept = kept.unionByName(now)
         since = now.select("content_hash", F.col(f"_row.{order}").alias("_since"))
         keyed = cut(keyed.join(since, "content_hash").where(F.col(f"_row.{order}") >= F.col("_since") + F.make_dt_interval(secs=F.lit(hours * 3600.0))).drop("_since"))
         if keyed.isEmpty():

@@ -140,3 +140,18 @@ def test_samples_of_layers(spark):
 
     f = features(spark, [("A", {"CODE": str(k)}, None) for k in range(9)] + [("B", {"CODE": "b"}, None)]).repartition(3)
     assert sorted((r.layer, r.props["CODE"], r.place, r.total) for r in R.layer_sample(f, 2).collect()) == [("A", "0", 1, 9), ("A", "1", 2, 9), ("B", "b", 1, 1)]
+
+
+def test_submissions_by_hours_take_no_rounds(spark):
+    """A content that passes some hundred times, and ties; contents that are too large for a task give the same."""
+    rnd, start = random.Random(6), datetime(2024, 1, 1)
+    rows = [(k, rnd.choice("abc"), start + timedelta(hours=rnd.randint(0, 1500))) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, c string, t timestamp").repartition(5)
+    want, last = set(), {}
+    for k, c, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        if c not in last or t >= last[c] + timedelta(hours=12):
+            want.add(k)
+            last[c] = t
+    assert {r.id for r in S.dedupe_batch(df, "t", ["c"], 12.0).collect()} == want and len(want) > 200
+    few = df.where("t < timestamp'2024-01-03'")
+    assert sorted(S.dedupe_batch(few, "t", ["c"], 12.0, most=3).collect()) == sorted(S.dedupe_batch(few, "t", ["c"], 12.0).collect())
