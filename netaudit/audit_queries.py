@@ -115,9 +115,12 @@ def submissions_by_hours(spark, d):
 f AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY row_no) AS place, count(*) OVER (PARTITION BY sheet) AS total FROM r WHERE contains(part, '7') OR contains(lower(flag), '7')) SELECT sheet, row_no::INTEGER AS row_no, part, place, total FROM f WHERE place BETWEEN 11 AND 20""")
 def sheet_page(spark, d):
     """The second page of ten of each sheet's rows that hold a word, below the detected header."""
-    rows = N.numbered(_t(spark, d, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
-    body = rows.select(F.col("l_suppkey").cast("string").alias("sheet"), (F.col("row_no") + 1).cast("int").alias("row_no"), F.array(F.col("l_partkey").cast("string"), "l_returnflag").alias("cells"))
-    heads = body.select("sheet").distinct().select("sheet", F.lit(1).alias("row_no"), F.array(F.lit("part"), F.lit("flag")).alias("cells"))
+    from pyspark.sql.window import Window
+
+    rows = _t(spark, d, "lineitem")
+    nth = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
+    body = rows.select(F.col("l_suppkey").cast("string").alias("sheet"), (nth + 1).cast("int").alias("row_no"), F.array(F.col("l_partkey").cast("string"), "l_returnflag").alias("cells"))
+    heads = rows.select(F.col("l_suppkey").cast("string").alias("sheet")).distinct().select("sheet", F.lit(1).alias("row_no"), F.array(F.lit("part"), F.lit("flag")).alias("cells"))
     sheets = heads.unionByName(body).select(F.lit("p").alias("project_id"), F.lit("f").alias("file"), "sheet", "row_no", "cells")
     return readers.sheet_pages(sheets, 2, 10, "7").select("sheet", "row_no", F.col("record")["part"].alias("part"), "place", "total")
 

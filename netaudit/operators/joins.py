@@ -14,6 +14,13 @@ from pyspark.sql.window import Window
 from netaudit.functions.values import is_root_code
 
 
+def join_heads(rows: DataFrame, heads: DataFrame, keys: list[str], most: int = 20_000) -> DataFrame:
+    """Inner join of rows with heads, a written table of one row a key. Up to `most` heads are broadcast, so rows stay where they are however many a key has; rows meet more heads
+    by the key, and heads are hashed, so rows are not sorted."""
+    few = heads.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(heads) if few else heads.hint("shuffle_hash"), keys)
+
+
 def unpivot_ends(rows: DataFrame, ends: dict[str, Column], keep: list[str]) -> DataFrame:
     """One row (keep…, side, ref) for each non-blank end."""
     pairs = F.array(*[F.struct(F.lit(side).alias("side"), c.cast("string").alias("ref")) for side, c in ends.items()])

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from netaudit.functions import geo
 from netaudit.functions.values import classify_table, null_if_token
+from netaudit.operators.cut import cut
+from netaudit.operators.joins import join_heads
 from netaudit.operators.ranks import numbered
 from netaudit.operators.windows import detect_header
 
@@ -103,15 +105,25 @@ def rank_projects(candidates: DataFrame, bonus: str, survey: str) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(w.orderBy(*order))).drop("_best")
 
 
+def _below_header(sheets: DataFrame) -> DataFrame:
+    """(project_id, file, sheet, row_no, cells, fields): rows below the detected header, with the names and places, from 0, of the header's columns; of equal names the first."""
+    keys = ["project_id", "file", "sheet"]
+    top = cut(sheets.where("row_no <= 10"))  # headers are looked for in these rows only
+    head = detect_header(top, keys, "row_no", "cells")
+    names = top.join(head, keys).where("row_no = header_row").select(*keys, "header_row", F.transform("cells", lambda c, i: F.when(F.trim(c) != "", F.concat(F.trim(c), F.lit(""))).otherwise(F.concat(F.lit("Col_"), (i + 1).cast("string")))).alias("names"))
+    firsts = F.filter(F.transform("names", lambda n, i: F.struct(n.alias("key"), i.alias("at"))), lambda f: F.array_position("names", f["key"]) == f["at"] + 1)
+    rows = join_heads(sheets, cut(names.select(*keys, "header_row", firsts.alias("fields"))), keys).where("row_no > header_row")
+    return rows.select(*keys, "row_no", "cells", "fields")
+
+
+def _record() -> Column:
+    held = F.filter("fields", lambda f: f["at"] < F.size("cells"))
+    return F.map_from_entries(F.transform(held, lambda f: F.struct(f["key"].alias("key"), F.trim(F.get("cells", f["at"])).alias("value")))).alias("record")
+
+
 def sheet_records(sheets: DataFrame) -> DataFrame:
     """(project_id, file, sheet, row_no, record): rows below the detected header as maps from header to trimmed cell; blank headers are Col_i."""
-    keys = ["project_id", "file", "sheet"]
-    head = detect_header(sheets, keys, "row_no", "cells")
-    names = sheets.join(head, keys).where("row_no = header_row").select(*keys, "header_row", F.transform("cells", lambda c, i: F.when(F.trim(c) != "", F.concat(F.trim(c), F.lit(""))).otherwise(F.concat(F.lit("Col_"), (i + 1).cast("string")))).alias("names"))
-    rows = sheets.join(names, keys).where("row_no > header_row")
-    pairs = F.arrays_zip(F.slice("names", 1, F.least(F.size("names"), F.size("cells"))).alias("k"), F.slice("cells", 1, F.least(F.size("names"), F.size("cells"))).alias("v"))
-    firsts = F.filter(pairs, lambda p, i: F.array_position(F.col("names"), p["k"]) == i + 1)
-    return rows.select(*keys, "row_no", F.map_from_entries(F.transform(firsts, lambda p: F.struct(p["k"].alias("key"), F.trim(p["v"]).alias("value")))).alias("record"))
+    return _below_header(sheets).select("project_id", "file", "sheet", "row_no", _record())
 
 
 def workbook_summary(sheets: DataFrame, samples: int = 3) -> DataFrame:
@@ -140,14 +152,22 @@ def read_sheets_multi(sheets: DataFrame, names: list[str], limit: int = 200) ->
 
 def sheet_pages(sheets: DataFrame, number: int, size: int, word: str | None = None, names: list[str] | None = None) -> DataFrame:
     """(project_id, file, sheet, row_no, record, place, total): one page of the records of each sheet, below its detected header, that hold the word in any cell, in any
-    case, with their place among these and how many there are."""
+    case, with their place among these and how many there are.
+
+    The first thousand rows of a sheet are found by a limited rank, of which a task holds no more than these of a sheet; pages beyond them by a range sort."""
     chosen = sheets if names is None else sheets.where(F.col("sheet").isin(*names))
-    records = sheet_records(chosen)
+    records = _below_header(chosen)
     if word:
-        records = records.where(F.exists(F.map_values("record"), lambda v: F.contains(F.lower(v), F.lit(word.lower()))))
+        records = records.where(F.exists("fields", lambda f: F.contains(F.lower(F.trim(F.get("cells", f["at"]))), F.lit(word.lower()))))
     keys = ["project_id", "file", "sheet"]
     size = min(max(size, 1), 1000)
-    return numbered(records, keys, ["row_no"], "place").where(F.col("place").between((number - 1) * size + 1, number * size))
+    on_page = F.col("place").between((number - 1) * size + 1, number * size)
+    if number * size > 1000:
+        return numbered(records, keys, ["row_no"], "place").where(on_page).select(*keys, "row_no", _record(), "place", "total")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("row_no"))
+    rows = records.withColumn("place", place).where(on_page).select(*keys, "row_no", _record(), F.col("place").cast("bigint").alias("place"))
+    totals = records.groupBy(*keys).agg(F.count("*").alias("total"))
+    return rows.join(totals, keys).select(*keys, "row_no", "record", "place", "total")
 
 
 def read_domain_list(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -155,3 +155,15 @@ def test_submissions_by_hours_take_no_rounds(spark):
     assert {r.id for r in S.dedupe_batch(df, "t", ["c"], 12.0).collect()} == want and len(want) > 200
     few = df.where("t < timestamp'2024-01-03'")
     assert sorted(S.dedupe_batch(few, "t", ["c"], 12.0, most=3).collect()) == sorted(S.dedupe_batch(few, "t", ["c"], 12.0).collect())
+
+
+def test_early_pages_are_found_by_a_limited_rank(spark):
+    """No range sort of all records, and the same rows as a page beyond the limit takes; equal and short columns as in the records."""
+    cells = [("p", "f", "s", k, row) for k, row in enumerate([["CODE", "a", "CODE", " "]] + [[f" C{k} ", "seven" if k % 3 else None, "hidden"][: 1 + k % 3] for k in range(1300)], 1)]
+    sheets = spark.createDataFrame(cells, SHEETS).repartition(3)
+    early = R.sheet_pages(sheets, 2, 400, "SEVEN")
+    assert "WindowGroupLimit" in early._jdf.queryExecution().optimizedPlan().toString()
+    want = [k for k in range(1300) if k % 3][400:800]
+    assert [(r.record["CODE"], r.place, r.total) for r in early.orderBy("place").collect()] == [(f"C{k}", n, 866) for n, k in enumerate(want, 401)]
+    assert R.sheet_pages(sheets, 1, 1000, "hidden").count() == 0
+    assert [r.record["CODE"] for r in R.sheet_pages(sheets, 2, 700).orderBy("place").limit(2).collect()] == ["C700", "C701"]
