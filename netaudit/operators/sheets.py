@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from netaudit import config
 from netaudit.functions import values as V
-from netaudit.operators.joins import orphans, unpivot_ends
+from netaudit.operators.cut import cut
+from netaudit.operators.joins import join_heads, orphans, unpivot_ends
 from netaudit.operators.lookup import bom_codes
 from netaudit.operators.windows import fiber_core_repeats, fill_down, repeat_of_first
 
@@ -45,15 +46,28 @@ def sheets_to_features(sheets: DataFrame) -> DataFrame:
     filled row of the first five; blank rows are left out, blank cells are empty, of equal headers the last one holds. feature_seq follows file, sheet and
     row within a layer; it comes from one number a sheet, so no window runs over a layer's rows."""
     layer = F.coalesce(V.sheet_layer(F.col("sheet")), F.when(F.upper(F.trim("sheet")) == config.BOM_SHEET.upper(), F.trim("sheet")))
-    rows = sheets.withColumn("layer", layer).where(F.col("layer").isNotNull() & F.exists("cells", lambda c: F.trim(c) != ""))
-    head = rows.where("row_no <= 5").groupBy(*KEYS, "layer").agg(F.min(F.struct("row_no", "cells")).alias("h")).select(*KEYS, F.col("h.row_no").alias("head_row"), normalize_headers(F.col("h.cells"), F.col("layer")).alias("names"))
-    ends = rows.groupBy(*KEYS, "layer").agg(F.max("row_no").alias("rows"))
-    before = F.coalesce(F.sum("rows").over(Window.partitionBy("project_id", "layer").orderBy("file", "sheet").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    body = rows.join(head.join(ends.select(*KEYS, before.alias("before")), KEYS), KEYS).where("row_no > head_row")
-    width = F.least(F.size("names"), F.size("cells"))
-    pairs = F.arrays_zip(F.slice("names", 1, width).alias("k"), F.slice("cells", 1, width).alias("v"))
-    last = F.filter(pairs, lambda p, i: (p["k"] != "") & ~F.array_contains(F.slice("names", i + 2, F.greatest(width - i - 1, F.lit(0))), p["k"]))
-    props = F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"].alias("key"), F.when(F.trim(p["v"]) == "", "").otherwise(F.coalesce(p["v"], F.lit(""))).alias("value"))))
+    filled = lambda df: df.where(F.exists("cells", lambda c: F.trim(c) != ""))
+    top = cut(filled(sheets.where("row_no <= 5")).select(*KEYS, "row_no", "cells"))
+    # the layer is told once a name, not once a row
+    named = cut(cut(top.select("sheet").distinct()).withColumn("layer", layer).where("layer IS NOT NULL"))
+    rows = join_heads(filled(sheets), named, ["sheet"])
+    head = cut(top.join(named, "sheet").groupBy(*KEYS, "layer").agg(F.min(F.struct("row_no", "cells")).alias("h")).select(*KEYS, "layer", F.col("h.row_no").alias("head_row"), normalize_headers(F.col("h.cells"), F.col("layer")).alias("names")))
+    # only of layers of several sheets are the rows counted
+    several = cut(head.groupBy("project_id", "layer").agg(F.count("*").alias("n")).where("n > 1").select("project_id", "layer"))
+    if several.isEmpty():
+        ends = head.select(*KEYS, F.lit(0).alias("before"))
+    else:
+        rows_of = rows.groupBy(*KEYS, "layer").agg(F.max("row_no").alias("rows"))
+        before = F.coalesce(F.sum("rows").over(Window.partitionBy("project_id", "layer").orderBy("file", "sheet").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ends = rows_of.select(*KEYS, before.alias("before"))
+    # once a sheet: each named column with the place of the next one of that name, so a row needs no search
+    again = lambda n, i: F.array_position(F.slice("names", i + 2, F.size("names")), n)
+    fields = F.filter(F.transform("names", lambda n, i: F.struct(n.alias("key"), i.alias("at"), F.when(again(n, i) > 0, i + again(n, i)).alias("next"))), lambda f: f["key"] != "")
+    heads = cut(head.join(ends, KEYS).select(*KEYS, "head_row", "before", fields.alias("fields")))
+    body = join_heads(rows, heads, KEYS).where("row_no > head_row")
+    last = F.filter("fields", lambda f: (f["at"] < F.size("cells")) & (f["next"].isNull() | (f["next"] >= F.size("cells"))))
+    value = lambda v: F.when(F.trim(v) == "", "").otherwise(F.coalesce(v, F.lit("")))
+    props = F.map_from_entries(F.transform(last, lambda f: F.struct(f["key"].alias("key"), value(F.get("cells", f["at"])).alias("value"))))
     nth = F.col("row_no") - F.col("head_row")
     return body.select("project_id", "layer", F.col("sheet").alias("source_layer"), F.concat_ws("-", F.lit("EXCEL"), "layer", nth.cast("string")).alias("feature_id"), (F.col("before") + nth).cast("bigint").alias("feature_seq"), props.alias("props"))
 
@@ -210,11 +224,17 @@ def with_suggestion(issues: DataFrame) -> DataFrame:
     return issues.withColumn("blocking_reason", F.format_string("rule %s: %s - %s", rule, what, why)).withColumn("fix_suggestion", fix)
 
 
-def _case_rows(sheets: DataFrame, sheet: Column, columns: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(project_id, sheet, row_no, named cells…) below the header, which is row 1 of each sheet."""
+def _case_heads(sheets: DataFrame) -> DataFrame:
+    """The first row of each sheet, written, so it is looked for once."""
+    return cut(sheets.where("row_no = 1").select(*[k for k in KEYS if k in sheets.columns], "cells"))
+
+
+def _case_rows(sheets: DataFrame, sheet: Column, columns: dict[str, tuple[str, ...]], heads: DataFrame | None = None) -> DataFrame:
+    """(project_id, sheet, row_no, named cells…) below the header, which is row 1 of each sheet (`heads`, if they are at hand)."""
     rows, keys = sheets.where(sheet), [k for k in KEYS if k in sheets.columns]
-    head = rows.where("row_no = 1").select(*keys, *[column_at(F.col("cells"), *names).alias(f"_{n}") for n, names in columns.items()])
-    return rows.where("row_no > 1").join(head, keys).select("project_id", "sheet", "row_no", *[cell(F.col("cells"), F.col(f"_{n}")).alias(n) for n in columns])
+    heads = _case_heads(rows) if heads is None else heads.where(sheet)
+    head = heads.select(*keys, *[column_at(F.col("cells"), *names).alias(f"_{n}") for n, names in columns.items()])
+    return join_heads(rows.where("row_no > 1"), head, keys).select("project_id", "sheet", "row_no", *[cell(F.col("cells"), F.col(f"_{n}")).alias(n) for n in columns])
 
 
 def case_code_empty(sheets: DataFrame) -> DataFrame:
@@ -244,16 +264,17 @@ def check_case(sheets: DataFrame, known: DataFrame | None = None, projects: Data
     known holds material codes; without any, the bill is not judged."""
     issue = lambda df, rule, what, why: df.select("project_id", F.lit(rule).alias("rule_id"), what.alias("object"), why.alias("message"))
     every = sheets.select("project_id", "sheet") if projects is None else sheets.select("project_id", "sheet").unionByName(projects.select("project_id", F.lit(None).cast("string").alias("sheet")))
-    present = every.groupBy("project_id").agg(F.collect_set("sheet").alias("held"))
+    present = cut(every.distinct()).groupBy("project_id").agg(F.collect_set("sheet").alias("held"))
     absent = present.select("project_id", F.explode(F.array_except(F.array(*map(F.lit, config.EXPECTED_SHEETS)), "held")).alias("sheet"))
     out = [issue(absent, "R-FILE-001", F.col("sheet"), F.concat(F.lit("sheet is missing: "), "sheet"))]
 
-    coded = _case_rows(sheets, F.col("sheet").isin(*config.LAYERS), {"code": ("CODE",)})
+    heads = _case_heads(sheets)
+    coded = _case_rows(sheets, F.col("sheet").isin(*config.LAYERS), {"code": ("CODE",)}, heads)
     out.append(issue(coded.where("code IS NULL"), "R-FLD-001", F.format_string("%s R%d", "sheet", F.col("row_no") - 1), F.format_string("no code in row %d", "row_no")))
     twice = repeat_of_first(coded.dropna(subset=["code"]), ["project_id", "sheet", "code"], "row_no")
     out.append(issue(twice, "R-FLD-002", F.format_string("%s CODE=%s", "sheet", "code"), F.format_string("code of row %d stands in row %d already", "row_no", "first_row")))
 
-    cables = _case_rows(sheets, F.col("sheet") == "CABLE", {"code": ("CODE",), "start": ("起点", "ORIGINE"), "end": ("终点", "EXTREMITE")})
+    cables = _case_rows(sheets, F.col("sheet") == "CABLE", {"code": ("CODE",), "start": ("起点", "ORIGINE"), "end": ("终点", "EXTREMITE")}, heads)
     ends = unpivot_ends(cables, {"start": F.col("start"), "end": F.col("end")}, ["project_id", "code"])
     devices = coded.where(F.col("sheet").isin(*config.CASE_DEVICES)).dropna(subset=["code"])
     dangling = orphans(ends, ["project_id", "ref"], devices, ["project_id", "code"], V.is_root_code(F.col("ref")))
@@ -262,7 +283,7 @@ def check_case(sheets: DataFrame, known: DataFrame | None = None, projects: Data
     lonely = orphans(boxes, ["project_id", "code"], ends, ["project_id", "ref"])
     out.append(issue(lonely, "R-REL-001", F.concat(F.lit("BOITE "), "code"), F.lit("no cable refers to it")))
 
-    cores = _case_rows(sheets, F.col("sheet") == config.FIBER_SHEET, {"node": ("所属节点",), "tray": ("托盘编号",), "splitter": ("光分路器",), "out": ("OUT",)}).fillna("", ["node", "tray", "splitter", "out"])
+    cores = _case_rows(sheets, F.col("sheet") == config.FIBER_SHEET, {"node": ("所属节点",), "tray": ("托盘编号",), "splitter": ("光分路器",), "out": ("OUT",)}, heads).fillna("", ["node", "tray", "splitter", "out"])
     most = F.try_element_at(F.regexp_extract_all("splitter", F.lit("[0-9]+"), F.lit(0)), F.lit(-1)).try_cast("bigint")
     used = cores.groupBy("project_id", "node", "tray", "splitter").agg(F.count_distinct("out").alias("n")).withColumn("most", most).where("most > 0 AND n > most")
     out.append(issue(used, "R-DAT-001", F.concat_ws("/", "node", "tray", "splitter"), F.format_string("%d outputs of %d", "n", "most")))
@@ -270,7 +291,7 @@ def check_case(sheets: DataFrame, known: DataFrame | None = None, projects: Data
     out.append(issue(again, "R-FIBER-001", F.format_string("%s R%d", "sheet", "row_no"), F.format_string("core %s stands in row %d already", "core", "first_row")))
 
     if known is not None:
-        bill = _case_rows(sheets, F.col("sheet") == config.BOM_SHEET, {"code": ("Material Code", "物料编码")})
+        bill = _case_rows(sheets, F.col("sheet") == config.BOM_SHEET, {"code": ("Material Code", "物料编码")}, heads)
         strange = orphans(bill, ["code"], known, ["code"]).join(known.select("code").dropna().limit(1).select(F.lit(1).alias("_any")), F.col("_any") == 1, "left_semi")
         out.append(issue(strange, "R-BOM-001", F.concat(F.lit("BOM "), "code"), F.lit("no known material")))
     return reduce(DataFrame.unionByName, out)

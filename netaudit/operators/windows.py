@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from netaudit.operators.cut import cut
+from netaudit.operators.joins import join_heads
+
 
 def repeat_of_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Each later row of a key with the first row's number; n equal rows give n - 1. First rows come from an aggregate, so a hot key is not one task's."""
-    first = rows.groupBy(*keys).agg(F.min(order).alias("first_row"))
-    a = first.select(*[F.col(k).alias(f"_{k}") for k in keys], "first_row")
+    first = rows.groupBy(*keys).agg(F.min(order).alias("first_row"), F.max(order).alias("_last"))
+    a = first.where("_last > first_row").select(*[F.col(k).alias(f"_{k}") for k in keys], "first_row")
     return rows.join(a, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).where(F.col(order) > F.col("first_row")).drop(*[f"_{k}" for k in keys])
 
 
@@ -41,20 +44,19 @@ def fiber_core_repeats(sheets: DataFrame) -> DataFrame:
     """sheets(project_id, sheet, row_no, cells): rows that use a fibre core again, with the first row. The header stands in the first eight rows; a sheet takes the
     first shape whose columns it has; rows with a splitter, or with a blank key, are left out."""
     keys = ["project_id", "sheet"]
-    trimmed = sheets.withColumn("cells", F.transform("cells", lambda c: F.trim(c)))
-    shape = None
-    for k, (names, _) in enumerate(FIBER_SHAPES):
+    trimmed = cut(sheets.where("row_no <= 8")).withColumn("cells", F.transform("cells", lambda c: F.trim(c)))
+    shape, at, free = None, None, None
+    place = lambda name: F.array_position("cells", F.lit(name)).cast("int") - 1
+    for k, (names, exempt) in enumerate(FIBER_SHAPES):
         has = F.size(F.array_except(F.array(*map(F.lit, names)), F.col("cells"))) == 0
         shape = F.when(has, k) if shape is None else shape.when(has, k)
-    heads = trimmed.where("row_no <= 8").select(*keys, "row_no", F.col("cells").alias("head"), shape.alias("shape")).where("shape IS NOT NULL")
-    best = heads.groupBy(*keys).agg(F.min(F.struct("shape", "row_no", "head")).alias("h")).select(*keys, "h.shape", F.col("h.row_no").alias("head_row"), "h.head")
-    body = trimmed.join(best, keys).where("row_no > head_row")
-    cell = lambda name: F.coalesce(F.get("cells", F.array_position("head", F.lit(name)).cast("int") - 1), F.lit(""))
-    key, free = None, None
-    for k, (names, exempt) in enumerate(FIBER_SHAPES):
-        values = F.array(*map(cell, names))
-        key = F.when(F.col("shape") == k, values) if key is None else key.when(F.col("shape") == k, values)
-        if exempt:
-            free = (F.col("shape") == k) & ~cell(exempt).isin("", "无")
-    rows = body.withColumn("core", key).where(~free & ~F.exists("core", lambda c: c == "")).select(*keys, "row_no", F.array_join("core", "/").alias("core"))
+        places = F.array(*map(place, names))
+        at = F.when(has, places) if at is None else at.when(has, places)
+        free = F.when(has, place(exempt) if exempt else F.lit(-1)) if free is None else free.when(has, place(exempt) if exempt else F.lit(-1))
+    heads = trimmed.select(*keys, "row_no", at.alias("at"), free.alias("free"), shape.alias("shape")).where("shape IS NOT NULL")
+    best = heads.groupBy(*keys).agg(F.min(F.struct("shape", "row_no", "at", "free")).alias("h")).select(*keys, F.col("h.row_no").alias("head_row"), "h.at", "h.free")
+    body = join_heads(sheets, cut(best), keys).where("row_no > head_row")
+    cell = lambda k: F.coalesce(F.trim(F.get("cells", k)), F.lit(""))
+    rows = body.where(cell(F.col("free")).isin("", "无")).select(*keys, "row_no", F.transform("at", cell).alias("core"))
+    rows = rows.where(~F.exists("core", lambda c: c == "")).select(*keys, "row_no", F.array_join("core", "/").alias("core"))
     return repeat_of_first(rows, [*keys, "core"], "row_no")

@@ -93,3 +93,28 @@ def test_audit_of_sheets(spark):
     found, summary = audit(spark.createDataFrame([], FEATURES), projects, rule_ids=["R-REL-001", "R-FLD-001"], sheets=s)
     assert sorted((r.rule_id, r.object_id) for r in found.collect()) == [("R-FLD-001", "BOITE R2"), ("R-REL-001", "BOITE b1")]
     assert [r.project_id for r in summary.collect()] == ["p"]
+
+
+def test_sheets_of_many_cases_and_of_one_case(spark, monkeypatch):
+    """Heads that are broadcast and heads that are hashed give the same, and rows of a sheet that stands for a whole nation stay where they are."""
+    import netaudit.operators.joins as J
+
+    rows = [("p", "f", "BOITE", 1, ["CODE"])] + [("p", "f", "BOITE", k, [f"b{k % 90}"]) for k in range(2, 200)] + [("q", "f", "BOITE", 1, ["x", "CODE"]), ("q", "f", "BOITE", 2, ["", "b1"])]
+    s = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    columns = {"code": ("CODE",)}
+    few = S._case_rows(s, F.col("sheet") == "BOITE", columns)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan and "Window" not in plan
+    heads = S._case_heads(s)
+    many = J.join_heads(s.where("row_no > 1"), heads.withColumnRenamed("cells", "head"), S.KEYS, 1)
+    assert "shuffle_hash" in many._jdf.queryExecution().optimizedPlan().toString()
+    assert many.count() == few.count() == 199
+    features = sorted((r.project_id, r.feature_seq, r.props["CODE"]) for r in S.sheets_to_features(s).collect())
+    assert features[0] == ("p", 1, "b2") and features[-1] == ("q", 1, "b1") and len(features) == 199
+    assert S.check_case(s).where("rule_id = 'R-FLD-002'").count() == 198 - 90
+
+
+def test_equal_headers_and_short_rows(spark):
+    """The last of equal headers that a row reaches holds."""
+    s = book(spark, BOITE=[["CODE", "编码", "x", "CODE"], ["a"], ["a", "b"], ["a", "b", "c", "d"], ["a", "b", "c", None, "beyond"]])
+    assert [r.props for r in S.sheets_to_features(s).orderBy("feature_seq").collect()] == [{"CODE": "a"}, {"CODE": "b"}, {"X": "c", "CODE": "d"}, {"X": "c", "CODE": ""}]
