@@ -215,3 +215,26 @@ def test_a_nearer_end_in_metres_closes_the_gap(spark):
     got = {(r.object_id, r.field) for r in R.run_rule(R.Context(features(spark, rows)), "R023").collect()}
     assert ("A", "start") not in got and ("E", "start") not in got and ("N", "start") in got
     assert square(0, 0, 1, 1).startswith("POLYGON") and row_issues(R.Context(features(spark, rows)).features, {})[0].count() == 0
+
+
+def test_places_meet_once_however_many_ends_they_hold(spark):
+    """Many ends at a place, of one code and of several: brute force, and pairs that grow with the places."""
+    rnd = random.Random(20)
+    spots = [(rnd.uniform(0, 1), rnd.uniform(0, 1)) for _ in range(40)]
+    rows = [(k, rnd.choice("abc") if p % 4 else "a", *spots[p]) for k, p in enumerate(rnd.choice(range(40)) for _ in range(2000))] + [(5000, None, 0.5, 0.5), (5001, "b", None, 0.1)]
+    df = spark.createDataFrame(rows, "id int, code string, x double, y double")
+    got = {r.id: (r.d, r.nearest) for r in G.nearest_other(df, [], ["id"], "code", 0.3).collect()}
+    assert len(got) == 2002 and got[5000] == got[5001] == (None, None)
+    places = {(c, x, y) for _, c, x, y in rows if c and x is not None}
+    for k, c, x, y in rows[:2000]:
+        d, n = min((math.hypot(x - a, y - b), o) for o, a, b in places if o != c)
+        assert got[k][0] == pytest.approx(d, abs=1e-12) and got[k][1] == n
+    lone = G.nearest_other(df.where("code = 'a'"), [], ["id"], "code", 0.3).collect()
+    assert lone and all(r.d is None and r.nearest is None for r in lone)
+    before, pairs, near = G.near_points, [], G.near_points
+    try:
+        G.near_points = lambda *a: pairs.append(a[1].count()) or near(*a)
+        G.nearest_other(df, [], ["id"], "code", 0.3).count()
+    finally:
+        G.near_points = before
+    assert max(pairs) <= 80  # two codes a place, not 2000 ends
